@@ -131,7 +131,7 @@ def shingles_of(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
         out[to + step] = mix64(held[begin + step])
     for i in np.flatnonzero((count > 0) & (count < k)):
         w = words[first[i] : first[i + 1]]
-        out[out_first[i]] = mix64(((w * factors[: len(w)]).sum() + np.uint64(len(w)) * np.uint64(0xA0761D6478BD642F)).reshape(1))[0]
+        out[out_first[i]] = mix64((w * factors[: len(w)]).sum(keepdims=True) + np.array([len(w)], np.uint64) * np.uint64(0xA0761D6478BD642F))[0]
     return out, out_first
 
 
