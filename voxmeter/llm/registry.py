@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm import bpe, embeddings, minhash, packing, sharding, toxicity
+from voxmeter.llm import bpe, embeddings, html, minhash, packing, sharding, toxicity
 from voxmeter.sources.session import prepare
 
 
@@ -31,6 +31,10 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     digest = ("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_topk": op3_topk,
+    "op4_html": op4_html,
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
     "op7_embeddings": op7_embeddings,
