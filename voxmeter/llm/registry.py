@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm import bpe, embeddings, html, minhash, packing, sharding, toxicity
+from voxmeter.llm import bpe, counts, embeddings, html, minhash, packing, sharding, toxicity
 from voxmeter.sources.session import prepare
 
 
@@ -45,6 +45,18 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits of each: a cut, a word put in, and a new end."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.length("text")
+    edit = lambda a, b, text: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), text.alias("text"))
+    cut = edit(F.floor(n / 4), F.floor(n / 4) + F.least(F.lit(40), F.floor(n / 8)), F.lit(""))
+    put = edit(F.floor(n / 2), F.floor(n / 2), F.coalesce("source", F.lit("")))
+    end = edit(F.greatest(n - 10, F.floor(n / 2)), n, F.lit(" end."))
+    trees = counts.build_trees(docs.withColumn("edits", F.array(cut, put, end)), keep=["edits"])
+    return counts.apply_edits(trees).select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+
+
 def held_out(col: str) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 4 == 2, F.lit(False))
@@ -65,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
     "op7_embeddings": op7_embeddings,
+    "op9_counts": op9_counts,
     "op10_toxicity": op10_toxicity,
 }
 
