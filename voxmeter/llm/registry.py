@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm import bpe, counts, embeddings, html, minhash, packing, sharding, toxicity
+from voxmeter.llm import bpe, counts, embeddings, html, minhash, packing, passages, sharding, toxicity
 from voxmeter.sources.session import prepare
 
 
@@ -45,6 +45,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits of each: a cut, a word put in, and a new end."""
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_minhash": op6_minhash,
     "op7_embeddings": op7_embeddings,
+    "op8_passages": op8_passages,
     "op9_counts": op9_counts,
     "op10_toxicity": op10_toxicity,
 }
