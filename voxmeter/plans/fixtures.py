@@ -49,7 +49,7 @@ utt AS (SELECT *, CASE WHEN n > 0 THEN err / n WHEN err > 0 THEN 1.0 ELSE 0.0 EN
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec, spk, seg, start, end: each event from its time for value seconds, in whole microseconds of seconds."""
     e = read(spark, sf_dir, "events")
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(F.col("user_id").alias("rec"), F.col("event_type").alias("spk"), F.col("event_id").alias("seg"), at.alias("start"), (at + F.bround(F.col("value") * 1000000, 0).cast("long")).alias("end"))
 
 

@@ -1,0 +1,361 @@
+"""Queries about keyed relations, sequences, intervals, vectors, samples and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxmeter.functions import hashing, vectors
+from voxmeter.operators import aggregates as agg
+from voxmeter.operators import audit, intervals, joins, sampling, windows
+from voxmeter.plans.evaluation import r6
+from voxmeter.plans.fixtures import SEG_SQL, UTT_SQL, read, segments, utterances
+from voxmeter.plans.registry import query
+from voxmeter.streaming import events as streams
+
+
+@query("j1_matched_and_missed", """SELECT c_mktsegment, count(DISTINCT c_custkey) FILTER (o_orderkey IS NOT NULL) AS matched, count(DISTINCT c_custkey) FILTER (o_orderkey IS NULL) AS missed FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
+def matched(spark, d):
+    """Manifest rows with and without a result."""
+    c = read(spark, d, "customer").withColumnRenamed("c_custkey", "k")
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    hit, miss = joins.matched(c, o, "k")
+    both = hit.withColumn("hit", F.lit(True)).unionByName(miss.withColumn("hit", F.lit(False)))
+    return both.groupBy("c_mktsegment").agg(agg.count_if(F.col("hit")).alias("matched"), agg.count_if(~F.col("hit")).alias("missed"))
+
+
+@query("j2_left_default", """SELECT coalesce(toxic, -1) AS toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def left_default(spark, d):
+    """A missing verdict gets a default."""
+    out = joins.left_default(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id", {"toxic": -1})
+    return out.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j4_overlay", """SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN n_name ELSE s_name END AS s_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def overlay(spark, d):
+    """Names replaced where the route says so."""
+    n = read(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    return joins.overlay(read(spark, d, "supplier"), n, "s_nationkey", "s_name", "n_name", F.col("n_regionkey") == 1).select("s_suppkey", "s_name")
+
+
+@query("j6_anti", """SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 30)""")
+def anti(spark, d):
+    """Parts without a large return."""
+    gone = read(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    return read(spark, d, "part").join(gone, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@query("j7_intersection", """SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') JOIN events USING (user_id) GROUP BY user_id""")
+def intersection(spark, d):
+    """Keys that several runs have."""
+    e = read(spark, d, "events")
+    both = e.where("event_type = 'click'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
+    return e.join(both, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+TAGS_SQL = "a AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events WHERE value > 50 GROUP BY user_id), b AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events WHERE value < 10 GROUP BY user_id)"
+
+
+@query("j8_annotators", f"""WITH {TAGS_SQL}, o AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.t, []) AS x, coalesce(b.t, []) AS y FROM a FULL JOIN b USING (user_id))
+SELECT user_id, array_to_string(list_sort(list_intersect(x, y)), '|') AS both, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), '|') AS only_a, array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(x, v))), '|') AS only_b FROM o""")
+def annotators(spark, d):
+    """Two sets for each key: common ones, and each side's own."""
+    e = read(spark, d, "events")
+    side = lambda c: e.where(c).groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    o = joins.outer_sets(side("value > 50"), side("value < 10"), "user_id", "t")
+    text = lambda c: F.array_join(F.array_sort(c), "|")
+    return o.select("user_id", text(F.array_intersect("a", "b")).alias("both"), text(F.array_except("a", "b")).alias("only_a"), text(F.array_except("b", "a")).alias("only_b"))
+
+
+@query("a24_set_differences", f"""WITH {TAGS_SQL}, o AS (SELECT coalesce(a.t, []) AS x, coalesce(b.t, []) AS y FROM a FULL JOIN b USING (user_id)) SELECT tag, count(*) AS n FROM (SELECT unnest(list_filter(x, lambda v: NOT list_contains(y, v))) AS tag FROM o) GROUP BY tag""")
+def set_differences(spark, d):
+    """Tags that one side alone gave, counted."""
+    e = read(spark, d, "events")
+    side = lambda c: e.where(c).groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    o = joins.outer_sets(side("value > 50"), side("value < 10"), "user_id", "t")
+    return o.select(F.explode(F.array_except("a", "b")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j9_first_source", """WITH s AS (SELECT o_custkey AS k, max(o_totalprice) AS v, 0 AS source FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal, 2 FROM customer)
+SELECT k, v, source::INT AS source FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source) AS r FROM s) WHERE r = 1""")
+def first_source(spark, d):
+    """The first of three sources that has a key."""
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    best = lambda w: o.where(w).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    return joins.first_source([best("o_orderpriority = '1-URGENT'"), best("o_orderstatus = 'O'"), c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))], "k")
+
+
+@query("j10_choose_version", """WITH r AS (SELECT l_partkey AS k, max(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), a AS (SELECT l_partkey AS k, max(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY 1)
+SELECT p_partkey AS k, CASE WHEN p_type = 'SMALL' THEN coalesce(a.v, r.v) ELSE coalesce(r.v, a.v) END AS v, CASE WHEN (CASE WHEN p_type = 'SMALL' THEN a.v ELSE r.v END) IS NOT NULL THEN 'wanted' WHEN coalesce(a.v, r.v) IS NOT NULL THEN 'other' ELSE 'missing' END AS how
+FROM part LEFT JOIN r ON r.k = p_partkey LEFT JOIN a ON a.k = p_partkey""")
+def choose_version(spark, d):
+    """One of two versions by a rule, the other where it is missing."""
+    li = read(spark, d, "lineitem")
+    best = lambda w: li.where(w).groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_extendedprice").alias("v"))
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_type")
+    return joins.choose(p, best("l_returnflag = 'R'"), best("l_returnflag = 'A' AND l_quantity > 40"), "k", "v", F.col("p_type") == "SMALL").select("k", "v", "how")
+
+
+@query("j15_common_members", """WITH m AS (SELECT DISTINCT source, lang FROM documents) SELECT x.source AS a, y.source AS b, count(*) AS common FROM m x JOIN m y ON x.lang = y.lang AND x.source < y.source GROUP BY 1, 2 HAVING count(*) >= 3""")
+def common_members(spark, d):
+    """Pairs of sources with three languages in common."""
+    return joins.common_members(read(spark, d, "documents"), "source", "lang", 3)
+
+
+@query("j17_overlap_join", f"""WITH {SEG_SQL} SELECT a.spk, b.spk AS other, count(*) AS n, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS overlap_us FROM seg a JOIN seg b ON a.rec = b.rec AND a.spk <> b.spk AND a.s < b.e AND b.s < a.e GROUP BY 1, 2""")
+def overlap_join(spark, d):
+    """How long two kinds of segments of a recording overlap."""
+    s = segments(spark, d)
+    met = joins.overlapping(s.drop("seg"), s.select("rec", "start", "end", F.col("spk").alias("other")), "rec", 600e6).where("spk <> other")
+    return met.groupBy("spk", "other").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("end", "other_end") - F.greatest("start", "other_start")).alias("overlap_us"))
+
+
+@query("w13_nth_of_key", """WITH r AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), i AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT k, o_orderkey, event_id FROM r JOIN i USING (k, n)""")
+def nth_of_key(spark, d):
+    """Each request takes the next item of its key."""
+    r = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    i = read(spark, d, "events").select(F.col("user_id").alias("k"), "event_id")
+    return joins.nth_of_key(r, i, "k", "o_orderkey", "event_id")
+
+
+@query("a13_weighted_mean", """SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS discount FROM lineitem GROUP BY 1""")
+def weighted_mean(spark, d):
+    """Means by weight."""
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(agg.weighted_mean(F.col("l_discount"), F.col("l_quantity")), "discount"))
+
+
+@query("a15_volatility", """WITH v AS (SELECT user_id, event_type, count(DISTINCT props) > 1 AS varies FROM events GROUP BY 1, 2) SELECT event_type, count(*) AS n, round(avg(varies::INT), 6) AS volatility FROM v GROUP BY 1""")
+def volatility(spark, d):
+    """Keys whose value changes from run to run."""
+    return agg.volatility(read(spark, d, "events"), ["user_id", "event_type"], "props", "event_type").withColumn("volatility", F.round("volatility", 6))
+
+
+@query("a16_top_values", """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, event_type, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f, event_type) AS rank FROM c) WHERE rank <= 3""")
+def top_values(spark, d):
+    """The three most frequent values of each key."""
+    return agg.top_values(read(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("a17_spread", """SELECT user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, max(value) AS most FROM events GROUP BY 1""")
+def spread(spark, d):
+    """Mean, population deviation and maximum."""
+    return read(spark, d, "events").groupBy("user_id").agg(r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "sd"), F.max("value").alias("most"))
+
+
+@query("a20_percentiles", """WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), q AS (SELECT unnest([0.1, 0.5, 0.9]) AS q)
+SELECT q::DOUBLE AS q, round((SELECT quantile_cont(value, 0.1) FROM events) * (q = 0.1)::INT + (SELECT quantile_cont(value, 0.5) FROM events) * (q = 0.5)::INT + (SELECT quantile_cont(value, 0.9) FROM events) * (q = 0.9)::INT, 6) AS linear,
+ (SELECT value FROM s WHERE i = round_even((n - 1) * q, 0)) AS nearest, (SELECT value FROM s WHERE i = least(floor(n * q), n - 1)) AS by_floor FROM q""")
+def percentiles(spark, d):
+    """Three conventions of a percentile, from cumulative counts."""
+    e = read(spark, d, "events")
+    told = windows.cumulative(e, "value", {"n": F.count(F.lit(1))})
+    linear = e.agg(*[F.percentile("value", F.lit(q)).alias(f"l{i}") for i, q in enumerate((0.1, 0.5, 0.9))])
+    qs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"l{i}").alias("linear")) for i, q in enumerate((0.1, 0.5, 0.9))])
+    rows = told.crossJoin(F.broadcast(linear)).select("value", "n", "n_upto", "n_all", F.explode(qs).alias("x")).select("*", "x.q", "x.linear")
+    has = lambda i: F.max(F.when((i >= F.col("n_upto") - F.col("n")) & (i < F.col("n_upto")), F.col("value")))
+    q, n = F.col("q"), F.col("n_all")
+    return rows.groupBy("q").agg(r6(F.first("linear"), "linear"), has(F.bround((n - 1) * q, 0)).alias("nearest"), has(F.least(F.floor(n * q), n - 1)).alias("by_floor"))
+
+
+@query("a23_vocabulary", """SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1""")
+def vocabulary(spark, d):
+    """How often each value occurs."""
+    return read(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w2_islands", """WITH x AS (SELECT DISTINCT user_id, date_diff('day', DATE '1970-01-01', ts::DATE) AS d FROM events), i AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM x)
+SELECT user_id, min(d)::INT AS "start", (max(d) + 1)::INT AS "end" FROM i GROUP BY user_id, g HAVING count(*) >= 2""")
+def day_islands(spark, d):
+    """Runs of days with events."""
+    e = read(spark, d, "events").select("user_id", F.unix_date(F.to_date("ts")).alias("d"))
+    return windows.islands(e, ["user_id"], "d", 2)
+
+
+@query("w3_merge_intervals", f"""WITH {SEG_SQL}, m AS (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM seg WHERE e > s), i AS (SELECT *, sum((top IS NULL OR s > top)::INT) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT rec, min(s) AS "start", max(e) AS "end" FROM i GROUP BY rec, g""")
+def merged(spark, d):
+    """Union of a recording's segments."""
+    return windows.merge_intervals(segments(spark, d), ["rec"])
+
+
+@query("w4_padded", f"""WITH {SEG_SQL}, t AS (SELECT rec, max(s) + 1000000 AS total FROM seg GROUP BY rec), x AS (SELECT seg.*, row_number() OVER w AS k, coalesce(lead(s) OVER w, total) AS nxt FROM seg JOIN t USING (rec) WINDOW w AS (PARTITION BY rec ORDER BY s))
+SELECT seg, CASE WHEN k = 1 THEN greatest(0, s - 200000) ELSE s END AS "start", least(e + 200000, nxt) AS "end" FROM x""")
+def padded(spark, d):
+    """Segments padded up to the next one."""
+    s = segments(spark, d)
+    t = s.groupBy("rec").agg((F.max("start") + 1000000).alias("total"))
+    p = windows.padded(s.join(t, "rec"), ["rec"], 200000, F.col("total"))
+    return p.select("seg", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("w5_overlap_depth", f"""WITH {SEG_SQL}, t AS (SELECT rec, t, sum(d) AS d FROM (SELECT rec, s AS t, 1 AS d FROM seg WHERE e > s UNION ALL SELECT rec, e, -1 FROM seg WHERE e > s) GROUP BY rec, t), p AS (SELECT rec, t, lead(t) OVER w AS u, sum(d) OVER w AS depth FROM t WINDOW w AS (PARTITION BY rec ORDER BY t))
+SELECT rec, sum(u - t) FILTER (depth >= 1)::BIGINT AS speech_us, coalesce(sum(u - t) FILTER (depth >= 2), 0)::BIGINT AS overlap_us FROM p WHERE u IS NOT NULL AND depth > 0 GROUP BY rec""")
+def overlap_depth(spark, d):
+    """Speech and overlapped speech of each recording."""
+    p = windows.pieces(segments(spark, d), ["rec"])
+    n = F.col("end") - F.col("start")
+    return p.groupBy("rec").agg(F.sum(n).alias("speech_us"), F.sum(F.when(F.col("depth") >= 2, n).otherwise(0)).alias("overlap_us"))
+
+
+@query("i2_stno_frames", f"""WITH {SEG_SQL}, f AS (SELECT DISTINCT rec, spk, unnest(range(s // 1000000, (e - 1) // 1000000 + 1)) AS frame FROM seg WHERE e > s), g AS (SELECT rec, frame, bool_or(spk = 'click') AS tgt, bool_or(spk <> 'click') AS oth FROM f GROUP BY 1, 2)
+SELECT rec, count(*) FILTER (tgt AND NOT oth) AS target, count(*) FILTER (NOT tgt) AS others, count(*) FILTER (tgt AND oth) AS overlap FROM g GROUP BY rec""")
+def stno(spark, d):
+    """Seconds by who speaks: the target, others, both."""
+    f = intervals.frames(segments(spark, d), ["rec", "spk"], 1_000_000)
+    return intervals.stno(f, "rec", "spk", "frame", "click")
+
+
+@query("w6_window_schedule", """WITH n AS (SELECT event_id, CAST(ceil(value) AS INT) AS n FROM events), w AS (SELECT DISTINCT event_id, unnest(CASE WHEN n <= 15 THEN [0] ELSE list_concat(range(0, n - 14, 10), [n - 15]) END) AS "start" FROM n) SELECT event_id, "start"::INT AS "start" FROM w""")
+def schedule(spark, d):
+    """Windows of a signal, the last at its end."""
+    n = F.ceil("value").cast("int")
+    return read(spark, d, "events").select("event_id", F.explode(windows.window_starts(n, 15, 10)).alias("start"))
+
+
+@query("w8_mean_ranks", """SELECT c_custkey, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS rank FROM customer""")
+def mean_ranks(spark, d):
+    """Ranks with ties shared."""
+    c = read(spark, d, "customer")
+    return c.join(windows.mean_ranks(c, "c_nationkey").drop("n"), "c_nationkey").select("c_custkey", F.col("rank").cast("double").alias("rank"))
+
+
+@query("w14_round_robin", """SELECT turn::INT AS turn, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS turn FROM customer) GROUP BY 1""")
+def turns(spark, d):
+    """Strata take turns."""
+    return windows.round_robin(read(spark, d, "customer"), "c_mktsegment", "c_custkey").groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w15_cap", """SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 5""")
+def capped(spark, d):
+    """At most five rows of each key: the sampling operator."""
+    return windows.cap(read(spark, d, "events"), "user_id", [F.desc("value"), "event_id"], 5).select("user_id", "event_id")
+
+
+@query("o4_top_share", """WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(avg(value), 6) AS top_mean FROM s WHERE k <= greatest(ceil(n * 0.25), 1) GROUP BY 1""")
+def top_share(spark, d):
+    """Mean of each key's top quarter."""
+    return intervals.top_share_mean(read(spark, d, "events"), "user_id", "value", "event_id", 0.25).select("user_id", r6(F.col("top_mean"), "top_mean"))
+
+
+@query("v2_argmax_anchor", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY 1, 2), a AS (SELECT label AS anchor, list(m ORDER BY i) AS c FROM p GROUP BY 1),
+s AS (SELECT vec_id, anchor, list_cosine_similarity(v, c) AS sim FROM e, a), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, anchor) AS k FROM s) SELECT vec_id, anchor, round(sim, 6) AS max_sim FROM r WHERE k = 1""")
+def argmax_anchor(spark, d):
+    """The class whose mean vector is nearest: classes are few by their meaning, and their count is checked."""
+    e = read(spark, d, "embeddings")
+    return intervals.nearest_anchor(e, "vec_id", "embedding", "label").select("vec_id", "anchor", r6(F.col("max_sim"), "max_sim"))
+
+
+@query("u4_common_sets", """WITH t AS (SELECT user_id, date_trunc('week', ts) AS w, event_type FROM events GROUP BY 1, 2, 3), n AS (SELECT user_id, count(DISTINCT w) AS weeks FROM t GROUP BY 1), c AS (SELECT user_id, event_type, count(*) AS k FROM t GROUP BY 1, 2)
+SELECT n.user_id, coalesce(string_agg(event_type, '|' ORDER BY event_type), '') AS always FROM n LEFT JOIN c ON c.user_id = n.user_id AND k = weeks GROUP BY 1""")
+def common_sets(spark, d):
+    """Tags that all of a key's non-empty sets hold."""
+    t = read(spark, d, "events").groupBy("user_id", F.date_trunc("week", "ts").alias("w")).agg(F.collect_set("event_type").alias("s"))
+    each = t.groupBy("user_id").agg(F.collect_list("s").alias("sets"))
+    held = F.aggregate(F.slice("sets", 2, 1000), F.col("sets")[0], lambda a, b: F.array_intersect(a, b))
+    return each.select("user_id", F.array_join(F.array_sort(held), "|").alias("always"))
+
+
+@query("u5_split_overlap", """WITH x AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'train' ELSE 'dev' END AS split, o_custkey, o_orderpriority FROM orders), l AS (SELECT DISTINCT split, 'o_custkey' AS field, o_custkey::VARCHAR AS value FROM x UNION SELECT DISTINCT split, 'o_orderpriority', o_orderpriority FROM x)
+SELECT field, value, string_agg(split, '|' ORDER BY split) AS splits FROM l GROUP BY 1, 2 HAVING count(*) > 1""")
+def split_overlap(spark, d):
+    """Identities that two splits share."""
+    o = read(spark, d, "orders").withColumn("split", F.when(F.col("o_orderdate") < "1998-01-01", "train").otherwise("dev"))
+    return audit.split_overlap(o, "split", ["o_custkey", "o_orderpriority"])
+
+
+@query("qa2_group_contract", """WITH g AS (SELECT l_orderkey, count(*) >= 2 AS two_lines, count(DISTINCT l_suppkey) = count(*) AS one_supplier_each FROM lineitem GROUP BY 1) SELECT 'two_lines' AS rule, l_orderkey FROM g WHERE NOT two_lines UNION ALL SELECT 'one_supplier_each', l_orderkey FROM g WHERE NOT one_supplier_each""")
+def group_contract(spark, d):
+    """Groups that break a rule."""
+    n = F.count(F.lit(1))
+    return audit.group_contract(read(spark, d, "lineitem"), "l_orderkey", {"two_lines": n >= 2, "one_supplier_each": F.countDistinct("l_suppkey") == n})
+
+
+@query("qa3_dependencies", """SELECT p_name, count(DISTINCT p_brand) AS n_values FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
+def dependencies(spark, d):
+    """Keys with more than one value."""
+    return audit.depends(read(spark, d, "part"), "p_name", "p_brand")
+
+
+@query("qa6_duplicates", """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicates(spark, d):
+    """Repeated keys."""
+    return audit.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("c1_disjoint_split", """WITH u AS (SELECT *, ('0x' || substr(md5(concat(o_custkey, '|split|3')), 1, 8))::BIGINT / 4294967296.0 AS h FROM orders) SELECT CASE WHEN h < 0.8 THEN 'train' WHEN h < 0.9 THEN 'dev' ELSE 'final' END AS split, count(*) AS n, count(DISTINCT o_custkey) AS speakers FROM u GROUP BY 1""")
+def disjoint_split(spark, d):
+    """Splits by speaker."""
+    s = sampling.disjoint_split(read(spark, d, "orders"), "o_custkey", [("train", 0.8), ("dev", 0.1), ("final", 0.1)], 3)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("speakers"))
+
+
+@query("c3_stratified", """WITH s AS (SELECT c_mktsegment, greatest(1, round_even(count(*) * 200 / sum(count(*)) OVER (), 0))::INT AS take FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat(c_custkey, '|5')), c_custkey) AS k FROM customer)
+SELECT c_custkey, c_mktsegment FROM r JOIN s USING (c_mktsegment) WHERE k <= take""")
+def stratified(spark, d):
+    """A stratified sample: the sampling operator."""
+    return sampling.stratified(read(spark, d, "customer"), "c_mktsegment", "c_custkey", 200, 5).select("c_custkey", "c_mktsegment")
+
+
+@query("c7_eligible", """SELECT o_custkey, count(DISTINCT o_orderdate) AS items FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderdate) >= 12""")
+def eligible(spark, d):
+    """Speakers with items enough."""
+    return sampling.eligible(read(spark, d, "orders"), "o_custkey", "o_orderdate", 12)
+
+
+@query("c9_chunks", """WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(concat(s_suppkey, '|0')), s_suppkey) - 1 AS n FROM supplier) SELECT s_suppkey, s_nationkey, (n // 3)::INT AS chunk, (n % 3)::INT AS place FROM r""")
+def chunks(spark, d):
+    """Disjoint triples."""
+    return sampling.chunks(read(spark, d, "supplier"), "s_nationkey", "s_suppkey", 3).select("s_suppkey", "s_nationkey", "chunk", "place")
+
+
+@query("c10_counterfactuals", """SELECT role, role <> 'C' AS present, count(*) AS n FROM orders, (VALUES ('A'), ('B'), ('C')) t(role) GROUP BY 1, 2""")
+def counterfactuals(spark, d):
+    """Three queries of each mixture."""
+    return sampling.counterfactuals(read(spark, d, "orders"), "o_orderkey").groupBy("role", "present").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f10_fingerprint", """SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', n_nationkey, n_name, n_regionkey)), 1, 12))::BIGINT)::VARCHAR AS digest FROM nation""")
+def fingerprint(spark, d):
+    """A digest of a relation's rows in any order."""
+    return audit.fingerprint(read(spark, d, "nation")).select("n", F.col("digest").cast("string").alias("digest"))
+
+
+@query("f13_roles", """SELECT ['A', 'B', 'C'][((o_orderkey + o_custkey) % 3 + 1)::INT] AS role, count(*) AS n FROM orders GROUP BY 1""")
+def roles(spark, d):
+    """Roles in rotation."""
+    return read(spark, d, "orders").groupBy(hashing.role(F.col("o_orderkey"), F.col("o_custkey")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f8_z_scores", f"""WITH {UTT_SQL} SELECT uid, round((sim - avg(sim) OVER ()) / stddev_pop(sim) OVER (), 6) AS z FROM utt""")
+def z_scores(spark, d):
+    """Distances from the mean."""
+    from voxmeter.operators.stats import z_score
+
+    return z_score(utterances(spark, d), "sim", "z").select("uid", r6(F.col("z"), "z"))
+
+
+@query("u1_union_export", """SELECT concat('pos_', l_orderkey) AS id, l_quantity AS v FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT concat('neg_', l_orderkey), l_quantity FROM lineitem WHERE l_returnflag = 'A'""")
+def union_export(spark, d):
+    """Two submissions as one, with prefixes."""
+    li = read(spark, d, "lineitem")
+    side = lambda p, f: li.where(F.col("l_returnflag") == f).select(F.concat(F.lit(p), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_quantity").alias("v"))
+    return side("pos_", "R").unionByName(side("neg_", "A"))
+
+
+@query("v1_top_cosine", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS norm FROM e GROUP BY 1""")
+def norms(spark, d):
+    """Lengths of vectors by class."""
+    return read(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(vectors.norm(F.col("embedding"))), "norm"))
+
+
+@query("s1_stream_windows", """SELECT time_bucket(INTERVAL '1 hour', ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_windows(spark, d):
+    """Tumbling windows by a stream over the events table, to the end of its input."""
+    out = streams.windowed(spark, f"{d}/events.parquet", "1 hour")
+    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("s2_sessions", """WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '6 hours')::INT AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "start", count(*) AS n FROM s GROUP BY user_id, k""")
+def sessions(spark, d):
+    """Sessions with a gap of six hours."""
+    return streams.sessions(read(spark, d, "events"), "6 hours").select("user_id", "start", "n")
