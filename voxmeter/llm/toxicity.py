@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ LEAST_WEIGHT = 0.2
 #: Words whose weights a task keeps; beyond them it starts anew.
 KEPT_WORDS = 300_000
 #: The classifier is fitted on so many labelled documents of each class at most: those of the smallest hashes of doc_id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1800
 #: Evidence (likelihood ratio) and lift from which a feature of toxic documents tags its tokens.
 EVIDENCE, LIFT = 25.0, 12.0
 #: Marginals below this add nothing to a document's score; spans are reported from the second on.
@@ -126,17 +126,20 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model | None:
     flat, counts = [], []
     for text in texts:
         ws = [number.setdefault(w.lower(), len(number)) for w in WORD.findall(text or "")]
-        flat.append(np.array(ws, np.int64))
+        flat.append(np.array(ws, np.int32))
         counts.append(len(ws))
     counts, tokens = np.array(counts), np.concatenate(flat)
     if not len(tokens):
         return None
-    lists = [features(w) for w in number]
-    width = np.array([len(x) for x in lists])
-    of = np.repeat(np.arange(len(lists)), width)
     names: dict[str, int] = {}
-    feature = np.array([names.setdefault(f, len(names)) for x in lists for f in x], np.int64)
-    total = len(names)
+    width, ids = np.zeros(len(number), np.int64), array("i")
+    for i, w in enumerate(number):
+        held = features(w)
+        width[i] = len(held)
+        ids.extend(names.setdefault(f, len(names)) for f in held)
+    feature, n_words, total = np.frombuffer(ids, np.int32), len(number), len(names)
+    of = np.repeat(np.arange(n_words, dtype=np.int32), width)
+    del number
     at = np.cumsum(width) - width
     # The distinct features of each text.
     own = []
@@ -145,14 +148,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model | None:
         n = width[ws]
         own.append(np.unique(feature[np.repeat(at[ws], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]))
     strong, stems = _telling(own, y, total, of, feature, at)
-    strong_word = np.bincount(of, strong[feature], len(lists)) > 0
+    strong_word = np.bincount(of, strong[feature], n_words) > 0
     shared = stems & strong
     shared[feature[at]] = True
     begin, size, doc = _chains(counts)
     place = np.minimum(begin[:, None] + np.arange(CHAIN)[None], len(tokens) - 1)
     inside = np.arange(CHAIN)[None] < size[:, None]
     words = tokens[place]
-    tags = (strong_word[words] & (y[doc] == 1)[:, None] & inside).astype(np.float64)
+    tags = strong_word[words] & (y[doc] == 1)[:, None] & inside
     seen = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
@@ -160,9 +163,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model | None:
     weights, bias, stay = np.zeros(total), -2.0, np.zeros((2, 2))
     grown, grown_bias, grown_stay = np.full(total, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        word_score = np.bincount(of, weights[feature], len(lists)) + bias
-        p, pairs = marginals(word_score[words], size, stay)
-        gap = np.bincount(words[inside], (tags - p)[inside], len(lists))
+        word_score = np.bincount(of, weights[feature], n_words) + bias
+        gap, pairs = np.zeros(n_words), np.zeros((2, 2))
+        for at_chain in range(0, len(words), 4096):
+            part = slice(at_chain, at_chain + 4096)
+            p, met = marginals(word_score[words[part]], size[part], stay)
+            pairs += met
+            gap += np.bincount(words[part][inside[part]], (tags[part] - p)[inside[part]], n_words)
         g = np.bincount(feature, gap[of], total) - 0.02 * weights
         g[~shared] = 0
         g_bias, g_stay = gap.sum(), seen - pairs - 0.02 * stay
