@@ -46,6 +46,10 @@ def minimizers(batch_text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, n
         keep[best[run]] = True
         keep &= real
     at = np.flatnonzero(keep)
+    # Of a run of equal seeds (a text that repeats a short phrase) the first and the last say as much.
+    if len(at):
+        same = (held[at][1:] == held[at][:-1]) & (row[at][1:] == row[at][:-1])
+        at = at[~(np.append(False, same) & np.append(same, False))]
     return row[at], at - begin[:-1][row[at]], held[at]
 
 
