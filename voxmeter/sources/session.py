@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,10 +11,30 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Spark's own bound on an Arrow batch, and the smaller one that is set in its place: several batches are held at a time.
+ARROW_DEFAULT, ARROW_BYTES = "67108864b", "8m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it; elsewhere it comes by --py-files."""
+    """Let Python workers import this package from where the driver has it; elsewhere it comes by --py-files.
+
+    Arrow batches get a smaller bound, unless the session has set its own.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) == ARROW_DEFAULT:
+        spark.conf.set(bound, ARROW_BYTES)
     held = spark.sparkContext.environment
     paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         held["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxmeter-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
