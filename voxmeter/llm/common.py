@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmeter.sources.session import shared_dir
+
 #: A side of a join is broadcast only up to so many estimated bytes; beyond them Spark shuffles both sides.
 BROADCAST_BYTES = 16 << 20
 #: Texts are worked on in slices of about so many bytes, so a task's memory does not follow the batch size.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxmeter-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
+SLICE_BYTES = 1 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,9 +26,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 24) -> DataFrame:
-    """Join with `right` (a materialized table), broadcast only if its counted rows fit BROADCAST_BYTES; else a shuffle join."""
-    return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right.hint("merge"), on, how)
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 24, size: int | None = None) -> DataFrame:
+    """Join with `right` (a materialized table), broadcast only if its size fits BROADCAST_BYTES; else a shuffle join.
+
+    The size is that of its counted rows, or the measured one if given.
+    """
+    size = right.count() * row_bytes if size is None else size
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

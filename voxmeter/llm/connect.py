@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import materialize
+from voxmeter.llm.common import join_small, materialize
 
 #: Rows of a group that one comparison holds on a side, and bytes of their payloads.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
@@ -124,21 +124,24 @@ def link_groups(rows: DataFrame, similar: Similar) -> DataFrame:
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     sizes = materialize(sizes.where("n > 1").select("grp", parts.alias("parts")), "sizes")
-    few = rows.join(sizes.where("parts <= 1").select("grp"), "grp", "left_semi")
+    few = join_small(rows, sizes.where("parts <= 1").select("grp"), "grp", "left_semi")
     few = few.groupBy("grp").agg(F.collect_list(F.struct("id", "payload")).alias("x")).select(F.col("x.id").alias("ids"), F.col("x.payload").alias("held"))
     edges = few.mapInArrow(functools.partial(_whole, similar=similar), "a long, b long")
     large = sizes.where("parts > 1")
     if large.isEmpty():
         return edges
-    many = rows.join(large.select("grp"), "grp", "left_semi")
+    many = join_small(rows, large.select("grp"), "grp", "left_semi")
     leaders = many.groupBy("grp").agg(F.min(F.struct("id", "payload")).alias("l")).select("grp", F.col("l.id").alias("leader"), F.col("l.payload").alias("lead"))
-    led = many.join(leaders, "grp").select("grp", "id", "payload", "lead", "leader")
+    leaders = materialize(leaders, "leaders")
+    heavy = leaders.agg(F.sum(F.length("lead") + 32)).first()[0]
+    # With few leaders rows stay where they are: a large group isn't gathered in one task.
+    led = join_small(many, leaders, "grp", "inner", size=heavy).select("grp", "id", "payload", "lead", "leader")
     led = materialize(led.mapInArrow(functools.partial(_led, similar=similar), f"grp {rows.schema['grp'].dataType.simpleString()}, id long, payload binary, leader long, linked boolean"), "led")
     edges = edges.unionByName(led.where("linked and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
     rest = led.where(~F.col("linked"))
     left = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes")).select("grp", parts.alias("rest_parts"))
     at = F.xxhash64("id")
-    led = led.join(left, "grp").join(large, "grp")
+    led = join_small(join_small(led, materialize(left, "left"), "grp", "inner"), large.select("grp", "parts"), "grp", "inner")
     lone = led.where(~F.col("linked")).select("grp", F.pmod(at, "rest_parts").cast("int").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("v"), "id", "payload", F.lit(True).alias("left"))
     every = led.select("grp", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)).alias("u"), F.pmod(at, "parts").cast("int").alias("v"), "id", "payload", F.lit(False).alias("left"))
     item = F.struct("id", "payload")

@@ -56,7 +56,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path = path ^ (path >> np.uint64(29))
             out.append(path.reshape(-1).view(np.int64))
         row = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, out)], names=["id", "payload", *(f"p{d}" for d in range(DEPTH))])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *map(pa.array, out)], names=["id", *(f"p{d}" for d in range(DEPTH))])
 
 
 def _alike(least: float, left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +115,20 @@ def candidates(distinct: DataFrame, percent: int) -> DataFrame:
     """
     s = percent / 100
     least = s - 4.5 * (s * (1 - s) / SIGNATURE) ** 0.5
-    kind = "id long, payload binary, " + ", ".join(f"p{d} long" for d in range(DEPTH))
-    paths = distinct.mapInArrow(_paths, kind)
+    paths = distinct.mapInArrow(_paths, "id long, " + ", ".join(f"p{d} long" for d in range(DEPTH)))
     leaves = None
     for depth in range(DEPTH):
         at = f"p{depth}"
-        counts = paths.groupBy(at).count()
-        end = counts.where("count > 1" if depth == DEPTH - 1 else f"count between 2 and {LEAF}")
-        ended = paths.join(end.select(at), at, "left_semi").select(F.col(at).alias("grp"), "id", "payload")
+        counts = materialize(paths.groupBy(at).count().where("count > 1"), "counts")
+        end = counts if depth == DEPTH - 1 else counts.where(f"count <= {LEAF}")
+        ended = join_small(paths, end.select(at), at, "left_semi").select(F.col(at).alias("grp"), "id")
         leaves = ended if leaves is None else leaves.unionByName(ended)
-        if depth < DEPTH - 1:
-            paths = materialize(paths.join(counts.where(f"count > {LEAF}").select(at), at, "left_semi"), "nodes")
-            if paths.isEmpty():
-                break
-    return link_groups(materialize(leaves, "leaves"), functools.partial(_alike, least))
+        large = counts.where(f"count > {LEAF}").select(at)
+        if depth == DEPTH - 1 or large.isEmpty():
+            break
+        paths = materialize(join_small(paths, large, at, "left_semi"), "nodes")
+    # Paths are short; signatures join only the few documents that share a leaf.
+    return link_groups(materialize(leaves.join(distinct, "id").select("grp", "id", "payload"), "leaves"), functools.partial(_alike, least))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
