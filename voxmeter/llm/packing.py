@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxmeter.llm import tokens
-from voxmeter.llm.common import materialize, slices
+from voxmeter.llm.common import join_small, materialize, slices
 
 WINDOW = 2048
 
@@ -75,6 +75,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     totals = told.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     # One row for each partition of the input goes through this window, whatever the rows in it.
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    placed = told.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("base"), "doc_tokens", "ids")
+    placed = join_small(told, bases, "part", "inner", 32).select("doc_id", (F.col("base") + F.col("before")).alias("base"), "doc_tokens", "ids")
     last = "ids_crc32 long" if digest else "ids array<int>"
     return placed.mapInArrow(functools.partial(_cut, window=window, wide=wide, crc=digest), f"doc_id {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")
