@@ -156,7 +156,7 @@ def test_counts_fuzz():
                 a = rng.randint(at, len(text))
                 at = rng.randint(a, min(len(text), a + rng.choice([0, 1, 3, 20])))
                 edits.append((a, at, "".join(rng.choice(parts) for _ in range(rng.randint(0, 3)))))
-            text, lengths, tree, _ = c.edit(text, lengths, tree, edits)
+            ((text, lengths, tree, _),) = c.edit([(text, lengths, tree, edits)])
             assert tree[1 if len(tree) > 1 else 0] == len(ids_of(text))
             assert counts.prefix(tree, len(lengths)) == tree[1 if len(tree) > 1 else 0] or len(tree) == 1
 
@@ -165,7 +165,7 @@ def test_counts_encode_little():
     c = counts.Counter(tokens.default_path())
     text = "some words here " * 5000
     ((lengths, tree),) = c.build([text])
-    _, _, _, encoded = c.edit(text, lengths, tree, [(40000, 40004, "other")])
+    ((_, _, _, encoded),) = c.edit([(text, lengths, tree, [(40000, 40004, "other")])])
     assert encoded < 30
 
 

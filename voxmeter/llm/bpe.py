@@ -103,6 +103,8 @@ class Words:
             self.number[f"\0{name}"] = len(self.number)
         self.ids = np.array([self.merger.vocabulary.special[x] for x in self.names], np.int64)
         self.n = np.ones(len(self.names), np.int64)
+        #: Characters of each word; a special token's carries a mark before it.
+        self.chars = np.array([len(x) for x in self.names], np.int64)
         self.at = np.arange(len(self.names))
 
     def pretokens(self, text: str) -> list[str]:
@@ -121,6 +123,7 @@ class Words:
             for w in new:
                 number[w] = len(number)
             self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+            self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), np.int64, len(new))])
             self.at = np.cumsum(self.n) - self.n
         return [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in words]
 

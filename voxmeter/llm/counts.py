@@ -31,15 +31,14 @@ def tree_of(leaves: np.ndarray) -> np.ndarray:
     return tree
 
 
-def update(tree: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """Set leaves and renew the sums above them, level by level."""
-    node = at + len(tree) // 2
-    tree[node] = values
-    node = np.unique(node // 2)
-    while len(node) and node[0] >= 1:
-        tree[node] = tree[2 * node] + tree[2 * node + 1]
-        node = np.unique(node // 2)
-        node = node[node >= 1]
+def update(tree: np.ndarray, first: int, values: np.ndarray) -> None:
+    """Set leaves from `first` on and renew the sums above them, level by level."""
+    low = first + len(tree) // 2
+    high = low + len(values)
+    tree[low:high] = values
+    while low > 1:
+        low, high = low // 2, (high + 1) // 2
+        tree[low:high] = tree[2 * low : 2 * high : 2] + tree[2 * low + 1 : 2 * high : 2]
 
 
 def prefix(tree: np.ndarray, leaf: int) -> int:
@@ -67,18 +66,16 @@ class Counter:
 
     def build(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Lengths of each text's pre-tokens in characters, and the tree of their token counts."""
-        split = [self.words.pretokens(t) for t in texts]
-        numbers = self.words.numbers(split)
-        return [(np.fromiter(map(size_of, ws), np.int64, len(ws)), tree_of(self.words.n[x])) for ws, x in zip(split, numbers, strict=True)]
+        numbers = self.words.numbers([self.words.pretokens(t) for t in texts])
+        return [(self.words.chars[x], tree_of(self.words.n[x])) for x in numbers]
 
-    def edit(self, text: str, lengths: np.ndarray, tree: np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[str, np.ndarray, np.ndarray, int]:
-        """The new text, lengths and tree, and how many pre-tokens were encoded for it. Edits are in order and do not overlap."""
+    def regions(self, text: str, lengths: np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, list[str]]]]:
+        """The new text, and the regions (first leaf, last leaf, pre-tokens in their place) that the edits touch.
+
+        Edits are in order and do not overlap. A text without leaves is one region as a whole.
+        """
         if not edits:
-            return text, lengths, tree, 0
-        if not len(lengths):
-            new = "".join(x[2] for x in edits)
-            lengths, tree = self.build([new])[0]
-            return new, lengths, tree, len(lengths)
+            return text, []
         ends = np.cumsum(lengths)
         starts = ends - lengths
         parts, at, shift, placed = [], 0, 0, []
@@ -88,49 +85,66 @@ class Counter:
             shift += len(word) - (b - a)
             at = b
         new = "".join([*parts, text[at:]])
-        lengths, tree, k, encoded = lengths.copy(), tree.copy(), 0, 0
+        if not len(lengths):
+            return new, [(0, 0, self.words.pretokens(new))] if new else []
+        out, k = [], 0
+        reached = lambda i: int(np.searchsorted(ends, placed[i][0] - self.reach, "right"))
         while k < len(placed):
-            first = min(int(np.searchsorted(ends, placed[k][0] - self.reach, "right")), len(lengths) - 1)
+            first = min(reached(k), len(lengths) - 1)
             begin = int(starts[first]) + (placed[k - 1][3] - placed[k - 1][1] if k else 0)
             window, found, last = AHEAD, [], None
             while last is None:
                 stop = min(len(new), placed[k][3] + self.reach + window)
-                found, place, last = [], begin, None
                 sure = stop if stop == len(new) else stop - self.reach - 2
+                found, place = [], begin
                 for word in self.words.pretokens(new[begin:stop]):
-                    moved = placed[k][1] - placed[k][3]
                     if place >= placed[k][3]:
-                        leaf = int(np.searchsorted(starts, place + moved))
-                        if leaf < len(starts) and starts[leaf] == place + moved and leaf > first:
-                            # The rest is split as before, unless the next edit is within reach.
-                            if k + 1 < len(placed) and int(np.searchsorted(ends, placed[k + 1][0] - self.reach, "right")) < leaf:
-                                k += 1
-                                if placed[k][3] + self.reach > stop:
-                                    place = -1
-                                    break
-                            else:
+                        old = place + placed[k][1] - placed[k][3]
+                        leaf = int(np.searchsorted(starts, old))
+                        if first < leaf < len(starts) and starts[leaf] == old:
+                            if k + 1 == len(placed) or reached(k + 1) >= leaf:
+                                # From here on the text is split as before.
                                 last = leaf
                                 break
-                    if place + size_of(word) > sure:
-                        place = -1
+                            k += 1
+                    if place + size_of(word) > sure or placed[k][3] + self.reach > stop < len(new):
                         break
                     found.append(word)
                     place += size_of(word)
                 else:
                     if stop == len(new):
-                        if k + 1 < len(placed):
-                            k = len(placed) - 1
-                        last = len(lengths)
+                        k, last = len(placed) - 1, len(lengths)
                 window *= 2
-            numbers = self.words.numbers([found])[0]
-            count = int(self.words.n[numbers].sum())
+            out.append((first, last, found))
+            k += 1
+        return new, out
+
+    def apply(self, lengths: np.ndarray, tree: np.ndarray, regions: list[tuple[int, int, list[str]]], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths and the tree with the regions' new pre-tokens, given by number: the first leaf of a region holds them all."""
+        if not regions:
+            return lengths, tree
+        if not len(lengths):
+            return self.words.chars[numbers[0]], tree_of(self.words.n[numbers[0]])
+        lengths, tree = lengths.copy(), tree.copy()
+        for (first, last, _), x in zip(regions, numbers, strict=True):
             values, sizes = np.zeros(last - first, np.int64), np.zeros(last - first, np.int64)
-            values[0], sizes[0] = count, sum(map(size_of, found))
-            update(tree, np.arange(first, last), values)
+            values[0], sizes[0] = self.words.n[x].sum(), self.words.chars[x].sum()
+            update(tree, first, values)
             lengths[first:last] = sizes
-            encoded += len(found)
-            k += 1
-        return new, lengths, tree, encoded
+        return lengths, tree
+
+    def edit(self, rows: list[tuple[str, np.ndarray, np.ndarray, list[tuple[int, int, str]]]]) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
+        """Of each (text, lengths, tree, edits) the new text, lengths and tree, and how many pre-tokens were encoded for it.
+
+        The new words of all rows are encoded together.
+        """
+        told = [self.regions(text, lengths, edits) for text, lengths, _, edits in rows]
+        numbers = iter(self.words.numbers([found for _, regions in told for _, _, found in regions]))
+        out = []
+        for (_, lengths, tree, _), (new, regions) in zip(rows, told, strict=True):
+            x = [next(numbers) for _ in regions]
+            out.append((new, *self.apply(lengths, tree, regions, x), sum(map(len, x))))
+        return out
 
 
 def _build(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -148,7 +162,7 @@ def _edit(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
         for batch in slices(whole, "text"):
             lists = [batch.column(i) for i in (2, 3)]
             flat = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in lists]
-            texts, lengths, trees, encoded = [], [], [], []
+            rows = []
             for i, (text, edits) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 text = text or ""
                 clean, at = [], 0
@@ -157,16 +171,12 @@ def _edit(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
                     b = min(max(e["end"] if e["end"] is not None else a, a), len(text))
                     clean.append((a, b, e["text"] or ""))
                     at = b
-                own = [v[o[i] : o[i + 1]].astype(np.int64) for v, o in flat]
-                t, n, tree, k = counter.edit(text, *own, clean)
-                texts.append(t)
-                lengths.append(n.astype(np.int32))
-                trees.append(tree.astype(np.int32))
-                encoded.append(k)
+                rows.append((text, *(v[o[i] : o[i + 1]].astype(np.int64) for v, o in flat), clean))
+            texts, lengths, trees, encoded = ([*x] for x in zip(*counter.edit(rows), strict=True))
             before = pa.array([int(v[o[i] + 1]) if o[i + 1] - o[i] > 1 else 0 for v, o in flat[1:] for i in range(batch.num_rows)], pa.int64())
             after = pa.array([int(t[1]) if len(t) > 1 else 0 for t in trees], pa.int64())
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lengths, kind), pa.array(trees, kind), before, after, pa.array(encoded, pa.int64())], names=["doc_id", "text", "lengths", "tree", "n_tokens_before", "n_tokens", "n_encoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([x.astype(np.int32) for x in lengths], kind), pa.array([x.astype(np.int32) for x in trees], kind), before, after, pa.array(encoded, pa.int64())], names=["doc_id", "text", "lengths", "tree", "n_tokens_before", "n_tokens", "n_encoded"])
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
