@@ -21,9 +21,9 @@ CHAIN = 64
 #: Weights smaller than this are dropped from a fitted model.
 LEAST_WEIGHT = 0.2
 #: Words whose weights a task keeps; beyond them it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: The classifier is fitted on so many labelled documents of each class at most: those of the smallest hashes of doc_id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1800
+TOXIC_SAMPLE, CLEAN_SAMPLE = 500, 1500
 #: Evidence (likelihood ratio) and lift from which a feature of toxic documents tags its tokens.
 EVIDENCE, LIFT = 25.0, 12.0
 #: Marginals below this add nothing to a document's score; spans are reported from the second on.
