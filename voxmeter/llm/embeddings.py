@@ -17,9 +17,10 @@ from voxmeter.llm.connect import _edges, components, labels
 
 THRESHOLD = 0.98
 #: Share of links at the threshold that the tables together may miss, at most.
-MISS = 1e-6
-#: Vectors that an average bucket should hold, and vectors of a bucket that one comparison takes on a side.
-BUCKET, BLOCK = 8, 512
+MISS = 1e-5
+#: Vectors that an average bucket of all labels together should hold, and vectors that one comparison takes on a side.
+#: Larger buckets need fewer bits, so fewer tables, so less to shuffle; comparing some hundred vectors costs little.
+BUCKET, BLOCK = 512, 512
 SEED = 5
 #: Vectors in a block of an approximation file; queries in a block.
 CELL_BLOCK, QUERY_BLOCK, BITS = 4096, 512, 6
@@ -33,9 +34,9 @@ def plan_tables(rows: int, threshold: float, miss: float = MISS) -> tuple[int, i
 
 
 def _codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Each vector with its length made 1, and its code in every table. Planes depend on the seed and dimension alone."""
+    """Each vector, in 32 bits if that loses nothing, and its code in every table. Planes depend on the seed and dimension alone."""
     planes: dict[int, np.ndarray] = {}
-    weights = 1 << np.arange(bits, dtype=np.int64)
+    weights = 1 << np.arange(bits, dtype=np.int32)
     for batch in batches:
         lists = batch.column(2)
         size = np.diff(lists.offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
@@ -43,12 +44,23 @@ def _codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterato
             at = np.flatnonzero(size == d)
             part = batch.take(pa.array(at))
             x = part.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, d)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
             if d not in planes:
                 planes[d] = np.random.default_rng(SEED).standard_normal((d, bits * tables))
-            code = ((x @ planes[d] > 0).reshape(len(x), tables, bits) * weights).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.full(len(at), d, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(code), pa.list_(pa.int64()))], names=["rep", "label", "n", "dim", "unit", "codes"])
+            code = ((_units(x) @ planes[d] > 0).reshape(len(x), tables, bits) * weights).sum(axis=2, dtype=np.int32)
+            with np.errstate(over="ignore", under="ignore"):
+                short = x.astype(np.float32)
+            x = short if (short == x).all() else x
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(np.full(len(at), d, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(code), pa.list_(pa.int32()))], names=["rep", "label", "n", "dim", "held", "codes"])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """The vectors with their lengths made 1, in double precision, whatever the lengths."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _stack(held: list[bytes], d: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * d else np.float64) for v in held]).astype(np.float64)
 
 
 def _links(ids: np.ndarray, n: np.ndarray, x: np.ndarray, codes: np.ndarray, other: tuple | None, table: int, threshold: float) -> tuple:
@@ -76,9 +88,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                     sides.append(None)
                     continue
                 ids, n = np.array(items.field("rep")), np.array(items.field("n"))
-                held = items.field("unit").to_pylist()
+                held, d = items.field("held").to_pylist(), items.field("dim")[0].as_py()
                 codes = np.array(items.field("codes").flatten()).reshape(len(ids), -1)
-                sides.append((ids, n, np.frombuffer(b"".join(held), np.float64).reshape(len(ids), -1), codes))
+                sides.append((ids, n, _units(_stack(held, d)), codes))
             if sides[0] is None:
                 continue
             i, j, new = _links(*sides[0], sides[1], table, threshold)
@@ -126,11 +138,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     count = rows.count()
     bits, tables = plan_tables(count, threshold)
     label = rows.schema["label"].dataType.simpleString()
-    coded = materialize(classes.select("rep", "label", "v", "n").mapInArrow(functools.partial(_codes, bits=bits, tables=tables), f"rep long, label {label}, n long, dim int, unit binary, codes array<long>"), "codes")
-    spread = coded.select("rep", "n", "unit", "codes", "label", "dim", F.posexplode("codes").alias("table", "code")).select("rep", "n", "unit", "codes", "table", F.xxhash64("label", "dim", "table", "code").alias("bucket"))
+    coded = materialize(classes.select("rep", "label", "v", "n").mapInArrow(functools.partial(_codes, bits=bits, tables=tables), f"rep long, label {label}, n long, dim int, held binary, codes array<int>"), "codes")
+    spread = coded.select("rep", "n", "dim", "held", "codes", "label", F.posexplode("codes").alias("table", "code")).select("rep", "n", "dim", "held", "codes", "table", F.xxhash64("label", "dim", "table", "code").alias("bucket"))
     sizes = coded.select("label", "dim", F.posexplode("codes").alias("table", "code")).groupBy(F.xxhash64("label", "dim", "table", "code").alias("bucket")).agg(F.count(F.lit(1)).alias("m"))
     sizes = materialize(sizes.where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "buckets")
-    item = F.struct("rep", "n", "unit", "codes")
+    item = F.struct("rep", "n", "dim", "held", "codes")
     few = join_small(spread, sizes.where("parts = 1").select("bucket"), "bucket", "left_semi")
     met = few.groupBy("bucket", "table").agg(F.collect_list(item).alias("x")).select("table", "x", F.filter("x", lambda _: F.lit(False)).alias("y"))
     many = join_small(spread, sizes.where("parts > 1"), "bucket", "inner").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
