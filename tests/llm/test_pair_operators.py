@@ -197,6 +197,28 @@ def test_passages(spark):
     assert passages.passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_passages_down_to_the_threshold(spark):
+    rng = random.Random(3)
+    run = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(160):
+        n = rng.choice((50, 60, 80))
+        text = run(n)
+        # Either evenly spread or anywhere but at the ends; a fifth of the words at most.
+        changed = set(range(2, n, 5)) if i % 4 == 0 else set(rng.sample(range(1, n - 1), rng.randint(n // 8, n // 5)))
+        copy = [f"x{i}-{j}" if j in changed else w for j, w in enumerate(text)]
+        rows += [(2 * i, run(30) + text + run(30)), (2 * i + 1, run(12) + copy + run(12))]
+        want.add(2 * i + 1)
+    for i in range(400, 440, 2):
+        text = run(60)
+        copy = [f"x{i}-{j}" if j % 3 == 1 else w for j, w in enumerate(text)]
+        rows += [(i, text), (i + 1, copy)]
+    df = spark.createDataFrame([(i, " ".join(w), "en", 1, 2, 9) for i, w in rows], SCHEMA).repartition(4)
+    found = passages.passages(df).collect()
+    assert {r["doc_id"] for r in found} == want
+    assert all(12 <= r["start_word"] <= r["end_word"] - 50 and r["end_word"] <= len(rows[r["doc_id"]][1]) - 12 for r in found)
+
+
 def test_chains_by_brute_force():
     """The Fenwick sweep finds as good a chain as trying every predecessor."""
     rng = random.Random(6)

@@ -9,55 +9,112 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voxmeter.llm.common import BROADCAST_BYTES, join_small, materialize, shingles_of, slices, text_buffers, words_of
 
-#: Words of a seed, and seeds of which the least hash is kept: any K + WINDOW - 1 common words hold a common seed.
-K, WINDOW = 7, 6
+#: Words of a seed. Every k-mer is one: 50 words of which any 10 differ still share 7 (50 - K + 1 - 10 * K).
+K = 4
 #: Words that a passage has at least, and share of them that is equal in both texts.
 LEAST_WORDS, SIMILAR = 50, 0.8
-#: Words that a chain covers at least; cost of a word between anchors; words between anchors that are still aligned.
-LEAST_CHAIN, GAP, WIDEST = 14, 0.2, 60
+#: Words that a chain covers at least (7 neighbouring seeds do); cost of a word between anchors; words between anchors that are still aligned.
+LEAST_CHAIN, GAP, WIDEST = 10, 0.2, 60
 #: Words between two spans of a document that are one passage.
 BRIDGE = 3
 #: Ungapped extension ends when its score falls so far.
 DROP = 4
+#: Bytes of text whose seeds make a bucket, and seeds that are packed by bucket at once.
+BUCKET, PACKED = 8 << 20, 2 << 20
 
 
-def minimizers(batch_text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word position and hash of each row's seeds: k-mers that are the least of some WINDOW neighbours."""
+def seeds_of(batch_text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word position and hash of every k-mer of each row."""
     words, _, _, first = words_of(*batch_text)
-    count = np.diff(first)
     held, begin = shingles_of(words, first, K)
-    n = np.where(count >= K, np.diff(begin), 0)
-    row = np.repeat(np.arange(len(count)), np.diff(begin))
-    real = n[row] > 0
-    keep = np.zeros(len(held), bool)
-    if len(held):
-        m = len(held)
-        # The least of each run of WINDOW k-mers of one row; shorter rows have one run.
-        best = np.arange(m)
-        last = np.repeat(begin[1:], np.diff(begin)) - 1
-        for step in range(1, WINDOW):
-            j = np.minimum(np.arange(m) + step, last)
-            best = np.where(held[j] < held[best], j, best)
-        run = (np.arange(m) + WINDOW - 1 <= last) | (np.arange(m) == begin[:-1][row])
-        keep[best[run]] = True
-        keep &= real
-    at = np.flatnonzero(keep)
-    # Of a run of equal seeds (a text that repeats a short phrase) the first and the last say as much.
-    if len(at):
-        same = (held[at][1:] == held[at][:-1]) & (row[at][1:] == row[at][:-1])
-        at = at[~(np.append(False, same) & np.append(same, False))]
+    n = np.diff(begin)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero((np.diff(first) >= K)[row])
     return row[at], at - begin[:-1][row[at]], held[at]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones before all second ones: those that are equal compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: type, width: int) -> np.ndarray:
+    n = len(data) // width
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(kind)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Seeds by bucket, packed: a bucket is a range of hashes, told by the upper 16 bits; the lower 48 stay in a seed."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def packed() -> pa.RecordBatch:
+        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        at = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        h, doc, pos = h[order], doc[order], pos[order]
+        to = np.searchsorted(at[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(to))
+        cut = [slice(to[i], to[i + 1]) for i in some]
+        low = h.view(np.uint8).reshape(-1, 8)[:, :6]
+        columns = [[low[c].T.tobytes() for c in cut], [_planes(doc[c]) for c in cut], [_planes(pos[c]) for c in cut]]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "h", "doc", "pos"])
+
     for whole in batches:
         for batch in slices(whole, "text"):
-            row, pos, h = minimizers(text_buffers(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["h", "doc", "pos"])
+            row, pos, h = seeds_of(text_buffers(batch.column(1)))
+            held.append((h, batch.column(0).to_numpy()[row], pos.astype(np.uint32)))
+            if sum(len(x[0]) for x in held) >= PACKED:
+                yield packed()
+    if held:
+        yield packed()
+
+
+def links(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each occurrence of a seed with that in the first document that has it, and in the document before: doc, owner, x, y."""
+    order = np.lexsort((pos, doc, h))
+    h, doc, pos = h[order], doc[order], pos[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    i = np.flatnonzero(doc != doc[first])
+    a = first[i]
+    b = i - 1
+    more = (doc[b] != doc[i]) & (doc[b] != doc[a])
+    i, o = np.append(i, i[more]), np.append(a, b[more])
+    return doc[i], doc[o], pos[i], pos[o]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition's buckets, which come in order, one bucket at a time."""
+    held: list[tuple[bytes, bytes, bytes]] = []
+    last = None
+
+    def met() -> Iterator[pa.RecordBatch]:
+        h, doc, pos = (np.concatenate([_unplanes(x[k], kind, width) for x in held]) for k, kind, width in ((0, np.uint64, 6), (1, np.int64, 8), (2, np.uint32, 4)))
+        held.clear()
+        d, o, x, y = links(h, doc, pos.astype(np.int64))
+        # Those of a pair of documents lie together, so that they are one list before the shuffle.
+        order = np.lexsort((x, o, d))
+        d, o, m = d[order], o[order], (x << 32 | y)[order]
+        begin = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (o[1:] != o[:-1]))[: len(d)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(d)).astype(np.int32)), pa.array(m))
+        out = pa.RecordBatch.from_arrays([pa.array(d[begin]), pa.array(o[begin]), lists], names=["doc", "owner", "m"])
+        for at in range(0, out.num_rows, 10_000):
+            yield out.slice(at, 10_000)
+
+    for batch in batches:
+        for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and held:
+                yield from met()
+            last = bucket
+            held.append(tuple(packed))
+    if held:
+        yield from met()
 
 
 class Fenwick:
@@ -141,10 +198,13 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, owner, held = [], [], []
         rows = batch.column(2)
         offsets, items = rows.offsets.to_numpy(), rows.values
-        x, y = items.field("x").to_numpy(), items.field("y").to_numpy()
+        parts, flat = items.offsets.to_numpy(), items.values.to_numpy()
         for i, (d, o) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            a, b = offsets[i], offsets[i + 1]
-            for chain in chains(anchors(x[a:b].astype(np.int64), y[a:b].astype(np.int64))):
+            m = np.unique(flat[parts[offsets[i]] : parts[offsets[i + 1]]])
+            found = anchors(m >> 32, m & 0xFFFFFFFF)
+            if sum(n for _, _, n in found) < LEAST_CHAIN:
+                continue
+            for chain in chains(found):
                 doc.append(d)
                 owner.append(o)
                 held.append([{"x": p, "y": q, "n": n} for p, q, n in chain])
@@ -184,21 +244,61 @@ def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return best, int(same[:best].sum())
 
 
-def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+def grown(x: np.ndarray, y: np.ndarray, far: bool) -> np.ndarray:
+    """Equal words of each length of the best ungapped beginning of both, from 0; or of all until its score has fallen by DROP."""
+    n = min(len(x), len(y)) if far else extend(x, y)[0]
+    same = x[:n] == y[:n]
+    total = np.cumsum(np.where(same, 1, -1))
+    stop = np.flatnonzero(np.maximum(np.maximum.accumulate(total), 0) - total >= DROP) if n else []
+    return np.append(0, np.cumsum(same[: stop[0] if len(stop) else n]))
+
+
+def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
     """Passages (begin and end in x, begin and end in y) along the chain whose words are equal in a share of SIMILAR at least."""
     out = []
-    bx, by, n = chain[0]
-    ex, ey, same = bx + n, by + n, n
+    # Begin and end of each piece in both texts, and the equal words between it and the piece before.
+    held: list[tuple[int, int, int, int, int]] = []
 
     def close() -> None:
-        a, a_same = extend(x[max(0, bx - 400) : bx][::-1], y[max(0, by - 400) : by][::-1])
-        b, b_same = extend(x[ex : ex + 400], y[ey : ey + 400])
-        p, q, r, s, t = bx - a, ex + b, by - a, ey + b, same + a_same + b_same
-        if t >= SIMILAR * max(q - p, s - r):
-            out.append((p, q, r, s))
-        elif same >= SIMILAR * max(ex - bx, ey - by):
-            out.append((bx, ex, by, ey))
+        """The longest stretch of pieces that is equal in the share, then those before and behind it."""
+        told = np.array(held, np.int64).T
+        held.clear()
+        todo = [(0, told.shape[1])]
+        total_ = np.cumsum(told[4])
+        while todo:
+            lo, hi = todo.pop()
+            if lo >= hi:
+                continue
+            bx, ex, by, ey = told[:4, lo:hi]
+            total, own, found = total_[lo:hi], ex - bx, (0, 0, 0)
+            for i in range(hi - lo):
+                if found[0] >= max(ex[-1] - bx[i], ey[-1] - by[i]):
+                    break
+                length = np.maximum(ex[i:] - bx[i], ey[i:] - by[i])
+                fit = np.flatnonzero(total[i:] - total[i] + own[i] >= SIMILAR * length)
+                if length[fit[-1]] > found[0]:
+                    found = int(length[fit[-1]]), i, i + int(fit[-1])
+            _, i, j = found
+            p, q, r, s = int(bx[i]), int(ex[j]), int(by[i]), int(ey[j])
+            low = (int(ex[i - 1]), int(ey[i - 1])) if i else (0, 0)
+            top = (int(bx[j + 1]), int(by[j + 1])) if j + 1 < hi - lo else (len(x), len(y))
+            before, behind = (x[max(low[0], p - 400) : p][::-1], y[max(low[1], r - 400) : r][::-1]), (x[q : min(top[0], q + 400)], y[s : min(top[1], s + 400)])
+            # Of both ends together the most that leaves the share; ends that match badly only where the passage needs them.
+            for far in (False, True):
+                e, f = grown(*before, far), grown(*behind, far)
+                equal = int(total[j] - total[i] + own[i]) + e[:, None] + f[None, :]
+                reach = np.arange(len(e))[:, None] + np.arange(len(f))[None, :]
+                ends = np.append(True, np.diff(e) > 0)[:, None] & np.append(True, np.diff(f) > 0)[None, :]
+                fit = ends & (equal >= SIMILAR * (max(q - p, s - r) + reach))
+                a, b = np.unravel_index(int(np.where(fit, reach, -1).argmax()), reach.shape)
+                if q - p + a + b >= least:
+                    break
+            out.append((p - int(a), q + int(b), r - int(a), s + int(b)))
+            todo += [(lo, lo + i), (lo + j + 1, hi)]
 
+    bx, by, n = chain[0]
+    ex, ey = bx + n, by + n
+    held.append((bx, ex, by, ey, n))
     for cx, cy, n in chain[1:]:
         over = max(ex - cx, ey - cy, 0)
         cx, cy, n = cx + over, cy + over, n - over
@@ -207,15 +307,14 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]]) -> li
         dx, dy = cx - ex, cy - ey
         if max(dx, dy) > WIDEST:
             close()
-            bx, by, same = cx, cy, 0
-        elif dx and dy:
-            same += common(x[ex:cx].tolist(), y[ey:cy].tolist())
-        ex, ey, same = cx + n, cy + n, same + n
+        between = common(x[ex:cx].tolist(), y[ey:cy].tolist()) if held and dx and dy else 0
+        ex, ey = cx + n, cy + n
+        held.append((cx, ex, cy, ey, n + between))
     close()
     return out
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         chains_, left, right = batch.column(2), batch.column(3), batch.column(4)
@@ -223,7 +322,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = chains_[i].values
             chain = list(zip(*(items.field(k).to_pylist() for k in ("x", "y", "n")), strict=True))
             x, y = (np.frombuffer(c[i].as_buffer(), np.uint32) for c in (left, right))
-            out += [(d, o, *p) for p in align(x, y, chain)]
+            out += [(d, o, *p) for p in align(x, y, chain, least)]
         columns = list(zip(*out, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "owner", "start", "end", "source_start", "source_end"])
 
@@ -264,7 +363,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """A row for each passage of `least` words or more that an earlier document (smaller id) has too, exactly or nearly.
 
     doc_id, start_word, end_word (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, from 0, end excluded), source_id (the
-    smallest document it was found in), source_ids. Seeds are k-mers of words that are least among their neighbours; each
+    smallest document it was found in), source_ids. Seeds are all k-mers of words; each
     occurrence is joined with the seed's first document and with the one before it, never with all, so a passage that very
     many documents share costs two rows for each. Matches of a pair of documents are chained with gap costs and aligned;
     aligned stretches of one document that touch are one passage, whatever documents hold its parts. Documents of equal
@@ -278,17 +377,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     firsts = firsts.where("rep <> most").select("digest", "rep")
     copies = materialize(digests.join(firsts, "digest").where("doc <> rep").select("doc", "rep"), "copies")
     distinct = join_small(source, copies.select("doc"), "doc", "left_anti")
-    seeds = distinct.select("doc", "text").mapInArrow(_seeds, "h long, doc long, pos int")
-    by = Window.partitionBy("h").orderBy("doc", "pos")
-    seen = seeds.select("*", F.first(F.struct("doc", "pos")).over(by).alias("a"), F.lag(F.struct("doc", "pos")).over(by).alias("b"))
-    met = seen.where("doc <> a.doc")
-    links = met.select("doc", "pos", F.explode(F.when((F.col("b.doc") != F.col("a.doc")) & (F.col("b.doc") != F.col("doc")), F.array("a", "b")).otherwise(F.array("a"))).alias("o"))
-    pairs = links.select("doc", F.col("o.doc").alias("owner"), F.struct(F.col("pos").alias("x"), F.col("o.pos").alias("y")).alias("m")).groupBy("doc", "owner").agg(F.collect_list("m").alias("matches")).where("size(matches) > 1")
+    size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(size // BUCKET, 16), 1 << 16)
+    seeds = distinct.select("doc", "text").mapInArrow(functools.partial(_seeds, buckets=buckets), "bucket int, h binary, doc binary, pos binary")
+    met = seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, "doc long, owner long, m array<long>")
+    # A chain of LEAST_CHAIN words has three seeds at least.
+    pairs = met.groupBy("doc", "owner").agg(F.collect_list("m").alias("matches")).where("aggregate(matches, 0, (n, m) -> n + size(m)) > 2")
     found = materialize(pairs.mapInArrow(_chains, "doc long, owner long, chain array<struct<x:int,y:int,n:int>>"), "chains")
     wanted = materialize(found.select("doc").unionByName(found.select(F.col("owner").alias("doc"))).distinct(), "wanted")
     words = materialize(join_small(source, wanted, "doc", "left_semi").select("doc", "text").mapInArrow(_words, "doc long, words binary"), "words")
     both = found.join(words, "doc").join(words.select(F.col("doc").alias("owner"), F.col("words").alias("other")), "owner")
-    aligned = both.select("doc", "owner", "chain", "words", "other").mapInArrow(_align, "doc long, owner long, start long, end long, source_start long, source_end long")
+    aligned = both.select("doc", "owner", "chain", "words", "other").mapInArrow(functools.partial(_align, least=least), "doc long, owner long, start long, end long, source_start long, source_end long")
     spans = aligned.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "owner")).alias("spans"))
     merged = spans.mapInArrow(functools.partial(_merge, least=least), RESULT)
     whole = source.join(F.broadcast(copies), "doc") if copies.count() * 24 <= BROADCAST_BYTES else source.join(copies, "doc")
