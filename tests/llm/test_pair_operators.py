@@ -219,6 +219,19 @@ def test_passages_down_to_the_threshold(spark):
     assert all(12 <= r["start_word"] <= r["end_word"] - 50 and r["end_word"] <= len(rows[r["doc_id"]][1]) - 12 for r in found)
 
 
+def test_passages_that_repeat_a_phrase(spark):
+    rng = random.Random(5)
+    run = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows, want = [], {}
+    for i, period in enumerate((1, 2, 3, 4, 5, 6, 7, 9, 12)):
+        text = (run(period) * 100)[: 100 + i]
+        longer = (text * 3)[: 2 * period * (100 // period)] if period < 4 else text
+        rows += [run(20) + longer + run(20), run(33) + text + run(10)]
+        want[2 * i + 1] = (33, 133 + i)
+    df = spark.createDataFrame([(i, " ".join(w), "en", 1, 2, 9) for i, w in enumerate(rows)], SCHEMA).repartition(4)
+    assert {r["doc_id"]: (r["start_word"], r["end_word"]) for r in passages.passages(df).collect()} == want
+
+
 def test_chains_by_brute_force():
     """The Fenwick sweep finds as good a chain as trying every predecessor."""
     rng = random.Random(6)

@@ -76,17 +76,31 @@ def _seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 
 def links(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each occurrence of a seed with that in the first document that has it, and in the document before: doc, owner, x, y."""
+    """Occurrences of a seed with those in the first document that has it, and in the document before: doc, owner, x, y.
+
+    The n-th occurrence of a document meets the n-th of the other one, counted from the front and from the back (or the
+    last there is): a text that repeats a phrase meets its copy along its whole length, in as many links as it has words.
+    """
     order = np.lexsort((pos, doc, h))
     h, doc, pos = h[order], doc[order], pos[order]
     new = np.append(True, h[1:] != h[:-1])[: len(h)]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    i = np.flatnonzero(doc != doc[first])
-    a = first[i]
-    b = i - 1
-    more = (doc[b] != doc[i]) & (doc[b] != doc[a])
-    i, o = np.append(i, i[more]), np.append(a, b[more])
-    return doc[i], doc[o], pos[i], pos[o]
+    fresh = new | np.append(True, doc[1:] != doc[:-1])[: len(h)]
+    # Runs of one seed in one document: begin, end, and the seed's first run.
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], len(h))
+    head = np.flatnonzero(new[begin])[np.cumsum(new[begin]) - 1] if len(begin) else begin
+    later = np.flatnonzero(head != np.arange(len(begin)))
+    far = later[later - 1 != head[later]]
+    run, to = np.append(later, far), np.append(head[later], far - 1)
+    n, m = end[run] - begin[run], end[to] - begin[to]
+    at = np.repeat(np.arange(len(run)), n)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    x = begin[run][at] + rank
+    front = begin[to][at] + np.minimum(rank, m[at] - 1)
+    back = end[to][at] - np.minimum(n[at] - rank, m[at])
+    more = np.flatnonzero(front != back)
+    x, y = np.append(x, x[more]), np.append(front, back[more])
+    return doc[x], doc[y], pos[x], pos[y]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
