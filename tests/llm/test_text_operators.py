@@ -123,6 +123,13 @@ def test_html_of_copies_keeps_their_text(spark):
     assert {r["text"] for r in out.collect()} == {"T&1\n\nOne 1 two\n\nThree bold 1.\n\nFollow us for more\n\nx1\n\ny"}
 
 
+def test_html_template_forgives_a_tenth_of_the_pages(spark):
+    page = lambda i: f"<article><p>One {i}</p>" + ("" if i < 3 else f"<div>{'Follow us' if i != 20 else 'Follow them'}</div>") + f"<h2>Two {i}</h2></article>"
+    df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    out = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert all(out[i] == f"One {i}\n\n{'Follow them' + chr(10) * 2 if i == 20 else ''}Two {i}" for i in range(40))
+
+
 def test_tree_matching():
     a, b = (html.slots(html.parse(t)) for t in ("<ul><li>a<li>b<li>c</ul><p>x</p>", "<ul><li>a<li>c</ul><h2>h</h2><p>x</p>"))
     assert html.matched(a, b, {}) == 5  # the root, ul, two li, p
