@@ -130,6 +130,14 @@ def test_html_template_forgives_a_tenth_of_the_pages(spark):
     assert all(out[i] == f"One {i}\n\n{'Follow them' + chr(10) * 2 if i == 20 else ''}Two {i}" for i in range(40))
 
 
+def test_html_template_behind_long_lists(spark):
+    page = lambda i: "<article>" + "".join(f"<p>{i} {j}</p>" for j in range(70 + 40 * (i % 9))) + "<p>About us</p></article>"
+    df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(9)], "page_id long, url string, html string")
+    assert not [r for r in html.main_text(df).collect() if "About us" in r["text"]]
+    a, b = (html.slots(html.parse(page(i))) for i in (0, 5))
+    assert len(html.align(a, b).children[0].children) == 271
+
+
 def test_tree_matching():
     a, b = (html.slots(html.parse(t)) for t in ("<ul><li>a<li>b<li>c</ul><p>x</p>", "<ul><li>a<li>c</ul><h2>h</h2><p>x</p>"))
     assert html.matched(a, b, {}) == 5  # the root, ul, two li, p
