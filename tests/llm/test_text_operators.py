@@ -123,6 +123,15 @@ def test_html_of_copies_keeps_their_text(spark):
     assert {r["text"] for r in out.collect()} == {"T&1\n\nOne 1 two\n\nThree bold 1.\n\nFollow us for more\n\nx1\n\ny"}
 
 
+def test_html_counts_distinct_pages_whatever_the_partitions(spark):
+    text = "<article><p>Long {n}</p><p>Only here {n}</p></article>"
+    rows = [(i, "http://a.example/x", text.format(n=1)) for i in range(10)] + [(10, "http://a.example/x", "<article><p>Long 2</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 11):
+        out = {r["page_id"]: r["text"] for r in html.main_text(df.repartition(parts, "page_id")).collect()}
+        assert out[0] == "Long 1\n\nOnly here 1"
+
+
 def test_html_template_forgives_a_tenth_of_the_pages(spark):
     page = lambda i: f"<article><p>One {i}</p>" + ("" if i < 3 else f"<div>{'Follow us' if i != 20 else 'Follow them'}</div>") + f"<h2>Two {i}</h2></article>"
     df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
