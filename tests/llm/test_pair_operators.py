@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,19 @@ def test_minhash(spark, percent):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_keep_threshold_pairs_at_full_depth(percent):
+    """Where every node is large, pairs must still share one of the deepest."""
+    rng, n = np.random.default_rng(1), 6000
+    held = minhash.trees(percent) * minhash.DEPTH
+    a = rng.integers(0, 1 << 32, (n, held), np.uint32)
+    b = np.where(rng.random(a.shape) < percent / 100, a, rng.integers(0, 1 << 32, a.shape, np.uint32))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n), 2)), pa.array([x.tobytes() for x in np.concatenate([a, b])], pa.binary())], names=["id", "payload"])
+    deepest = np.concatenate([x.column(minhash.DEPTH).to_numpy() for x in minhash._paths(iter([rows]), percent)]).reshape(2, n, -1)
+    assert (deepest[0] == deepest[1]).any(axis=1).all()
+    assert minhash.width(percent) >= held
+
+
 def test_large_groups_are_linked_whole(spark):
     """Rows that the group's first one isn't like still find each other, across blocks."""
     old, connect.BLOCK_ROWS = connect.BLOCK_ROWS, 8

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,21 @@ from voxmeter.llm.common import BROADCAST_BYTES, join_small, materialize, seeded
 from voxmeter.llm.connect import components, link_groups
 
 SHINGLE, PERCENT = 5, 80
-#: Independent trees, their depth, minwise tokens kept of a document, and the size from which a node is a leaf.
-TREES, DEPTH, SIGNATURE, LEAF = 10, 4, 64, 64
-FACTORS = seeded(SIGNATURE, 23) | np.uint64(1)
+#: Depth of a tree, the size up to which a node is a leaf, and the share of threshold pairs that all trees may miss.
+DEPTH, LEAF, MISSED = 4, 64, 2e-6
+#: Minwise tokens kept of a document at least.
+LEAST_SIGNATURE = 64
+
+
+def trees(percent: int) -> int:
+    """Independent trees that keep the missed share even where every node is so large that all go to the full depth."""
+    whole = (percent / 100) ** DEPTH
+    return 1 if whole >= 1 else math.ceil(math.log(MISSED) / math.log1p(-whole))
+
+
+def width(percent: int) -> int:
+    """Minwise tokens of a signature: no two levels or trees share one."""
+    return max(LEAST_SIGNATURE, trees(percent) * DEPTH)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,43 +43,44 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return held[keep], np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))))
 
 
-def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], k: int, tokens_of: int) -> Iterator[pa.RecordBatch]:
+    factors = seeded(tokens_of, 23) | np.uint64(1)
     for whole in batches:
         for batch in slices(whole, "text"):
             held, begin = _sets(batch, k)
             n = np.diff(begin)
             some = np.flatnonzero(n)
-            tokens = np.zeros((batch.num_rows, SIGNATURE), np.uint32)
-            for j, factor in enumerate(FACTORS if len(some) else ()):
+            tokens = np.zeros((batch.num_rows, tokens_of), np.uint32)
+            for j, factor in enumerate(factors if len(some) else ()):
                 tokens[some, j] = np.minimum.reduceat(held * factor, begin[some]) >> np.uint64(32)
             digests = [hashlib.md5(held[a:b].tobytes()).digest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in tokens], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each document and tree the hash of its path at each depth: the minwise tokens chosen so far."""
-    factors = seeded(DEPTH, 31) | np.uint64(1)
+    factors, n = seeded(DEPTH, 31) | np.uint64(1), trees(percent)
     for batch in batches:
-        tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE).astype(np.uint64)
-        chosen = tokens[:, : TREES * DEPTH].reshape(-1, TREES, DEPTH)
-        path = np.broadcast_to(seeded(TREES, 37), chosen.shape[:2])
+        tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
+        chosen = tokens[:, : n * DEPTH].reshape(-1, n, DEPTH)
+        path = np.broadcast_to(seeded(n, 37), chosen.shape[:2])
         out = []
         for depth in range(DEPTH):
             path = (path ^ (chosen[:, :, depth] * np.uint64(0x9E3779B97F4A7C15))) * factors[depth]
             path = path ^ (path >> np.uint64(29))
             out.append(path.reshape(-1).view(np.int64))
-        row = pa.array(np.repeat(np.arange(batch.num_rows), TREES))
+        row = pa.array(np.repeat(np.arange(batch.num_rows), n))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *map(pa.array, out)], names=["id", *(f"p{d}" for d in range(DEPTH))])
 
 
 def _alike(least: float, left: list[bytes], right: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose signatures agree in that share of tokens at least."""
-    a = np.frombuffer(b"".join(left), np.uint32).reshape(-1, SIGNATURE)
-    b = a if right is None else np.frombuffer(b"".join(right), np.uint32).reshape(-1, SIGNATURE)
-    same = np.zeros((len(a), len(b)), np.uint8)
-    for j in range(SIGNATURE):
+    a = np.frombuffer(b"".join(left), np.uint32).reshape(len(left), -1)
+    b = a if right is None else np.frombuffer(b"".join(right), np.uint32).reshape(len(right), -1)
+    same = np.zeros((len(a), len(b)), np.uint8 if a.shape[1] < 256 else np.uint16)
+    for j in range(a.shape[1]):
         same += a[:, None, j] == b[None, :, j]
-    i, j = np.nonzero(same >= least * SIGNATURE)
+    i, j = np.nonzero(same >= least * a.shape[1])
     return (i[i < j], j[i < j]) if right is None else (i, j)
 
 
@@ -109,13 +123,13 @@ def candidates(distinct: DataFrame, percent: int) -> DataFrame:
     """Edges between the ids of (id, payload: signature) that share a leaf in one of the trees and look alike there.
 
     A node of at most LEAF documents is a leaf; a larger one branches by the next chosen minwise token, down to DEPTH. Of
-    documents of similarity s a tree that stops at depth d keeps a share s^d together, so TREES trees miss
-    (1 - s^d)^TREES of them: 2e-6 at s = 0.85, d = 2. Only branches beyond the first token, that is large nodes,
-    go deeper. Signatures agree within 4.5 standard deviations of the threshold.
+    documents of similarity s a tree that stops at depth d keeps a share s^d together, so n trees miss (1 - s^d)^n of
+    them. Their number is that for d = DEPTH: MISSED at the threshold however large the nodes are, less in small nodes.
+    Signatures agree within 4.5 standard deviations of the threshold.
     """
     s = percent / 100
-    least = s - 4.5 * (s * (1 - s) / SIGNATURE) ** 0.5
-    paths = distinct.mapInArrow(_paths, "id long, " + ", ".join(f"p{d} long" for d in range(DEPTH)))
+    least = s - 4.5 * (s * (1 - s) / width(percent)) ** 0.5
+    paths = distinct.mapInArrow(functools.partial(_paths, percent=percent), "id long, " + ", ".join(f"p{d} long" for d in range(DEPTH)))
     leaves = None
     for depth in range(DEPTH):
         at = f"p{depth}"
@@ -142,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose doc_id is null is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = materialize(source.mapInArrow(functools.partial(_features, k=k), "doc_id long, n_shingles long, digest binary, signature binary"), "features")
+    told = materialize(source.mapInArrow(functools.partial(_features, k=k, tokens_of=width(percent)), "doc_id long, n_shingles long, digest binary, signature binary"), "features")
     some = told.where("n_shingles > 0 and doc_id is not null")
     # Of equal sets the smallest id takes part; partial minima are taken before the shuffle.
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature", True).alias("signature"), F.count(F.lit(1)).alias("n"))
