@@ -54,3 +54,23 @@ def test_kinds_batches_and_controls(spark):
     assert b.select("id").distinct().count() == b.count() > 950
     p = rows(protocol.permuted(spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "c", 0)], "k int, v string, g int"), "k", "v", "g"), "k")
     assert [r[1] for r in p] == ["b", "c", "a"]
+
+
+def test_batches_leave_one_remainder_at_most(spark):
+    from voxmeter.operators import protocol as operators
+
+    out = operators.batches(spark.range(1000).withColumnRenamed("id", "k"), "k", 32).groupBy("batch").count().collect()
+    assert sorted(r["batch"] for r in out) == list(range(31))
+    assert {r["count"] for r in out} == {32}
+
+
+def test_clusters_refuse_huge_recordings(spark, monkeypatch):
+    import pytest
+
+    from voxmeter.operators import intervals
+
+    df = spark.createDataFrame([("a", [1.0, float(i)]) for i in range(5)], "rec string, v array<double>")
+    assert intervals.clusters(df, "rec", "v", 0.5).first()["n"] == 5
+    monkeypatch.setattr(intervals, "WINDOWS", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        intervals.clusters(df, "rec", "v", 0.5)

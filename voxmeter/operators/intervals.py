@@ -11,6 +11,8 @@ from voxmeter.operators.aggregates import count_if
 
 #: Anchors are broadcast up to so many; a table of more is no set of classes.
 ANCHORS = 10_000
+#: Vectors of a recording that are clustered; a recording of more is refused.
+WINDOWS = 2_000
 
 
 def frames(df: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -53,11 +55,15 @@ def nearest_anchor(df: DataFrame, id_col: str, vector: str, label: str) -> DataF
 def clusters(df: DataFrame, rec: str, vector: str, cutoff: float) -> DataFrame:
     """rec, n, clusters: average-linkage clusters of a recording's vectors by cosine distance, merged up to the cutoff.
 
-    A recording's windows are few (minutes of sound), so one recording is one group.
+    A recording's windows are few (minutes of sound), so one recording is one group; more than WINDOWS raise.
     """
     import numpy as np
     import pandas as pd
 
+    most = df.groupBy(rec).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > WINDOWS:
+        raise ValueError(f"a recording has {most} vectors, more than {WINDOWS}")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.asarray(v, float) for v in pdf[vector]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)

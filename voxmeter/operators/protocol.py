@@ -88,13 +88,17 @@ def dominant(df: DataFrame, key: str, kind: str, priority: list[str]) -> DataFra
 
 
 def batches(df: DataFrame, key: str, size: int, seed: int = 0, parts: int = 64) -> DataFrame:
-    """Column batch: rows in a seeded order, `size` to a batch, numbered within each of `parts` hash ranges; short batches go."""
+    """Column batch: rows in a seeded order, `size` to a batch, numbered over all of `parts` hash ranges; one short batch at most goes."""
     from voxmeter.functions.hashing import unit_hash
 
     told = df.withColumns({"_u": unit_hash(F.col(key), seed=seed)}).withColumn("_p", F.floor(F.col("_u") * parts).cast("int"))
+    counts = told.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    # A row for each range: the rows of the ranges before it, and all rows.
+    every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(every).alias("_n"))
     n = F.row_number().over(Window.partitionBy("_p").orderBy("_u", key)) - 1
-    told = told.withColumns({"_b": F.floor(n / size).cast("int"), "_n": F.count(F.lit(1)).over(Window.partitionBy("_p"))})
-    return told.where((F.col("_b") + 1) * size <= F.col("_n")).withColumn("batch", F.concat_ws("-", F.col("_p"), F.col("_b"))).drop("_u", "_p", "_b", "_n")
+    told = told.withColumn("_r", n).join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_o") + F.col("_r")) / size))
+    return told.where((F.col("batch") + 1) * size <= F.col("_n")).drop("_u", "_p", "_r", "_o", "_n")
 
 
 def permuted(df: DataFrame, key: str, value: str, group: str) -> DataFrame:
