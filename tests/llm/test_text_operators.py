@@ -1,14 +1,15 @@
-"""Packing, BPE, sharding, HTML, counts and toxicity against brute force, and their defined results in odd cases."""
+"""Packing, BPE, sharding, counts and toxicity against brute force, and their defined results in odd cases."""
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmeter.llm import bpe, counts, html, packing, sharding, tokens, toxicity
+from voxmeter.llm import bpe, counts, packing, sharding, tokens, toxicity
 
 ODD = ["", None, "<|endoftext|>", "a<|endoftext|> b", "aaaaaaaaaaaaaaa", "  \n\n  x", "²½ 12٣ don't I'LL", "  　x", "日本語テキスト" * 50, " " * 100, "\0x", "é" * 33, "🙂🙂👍🏽", "word " * 3000, "word " * 3000]
 SCHEMA = "doc_id long, text string, row string, shard string, ids string, score double"
@@ -75,8 +76,30 @@ def test_bpe_merges_like_the_library():
     rng, words = random.Random(5), bpe.Words(tokens.default_path())
     texts = ["".join(rng.choice("aab  \n'st0é日🙂<|") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     assert [x.tolist() for x in words.encode(texts)] == [ids_of(t) for t in texts]
-    encode = tokens.encoder(tokens.default_path())
-    assert [encode(t) for t in texts] == [ids_of(t) for t in texts]
+    assert [x.tolist() for x in packing.encoder(tokens.default_path())(texts)] == [ids_of(t) for t in texts]
+
+
+def test_long_words_merge_like_the_library_and_fast():
+    rng, words = random.Random(6), bpe.Words(tokens.default_path())
+    letters = lambda n, some="etaoinshrdlucmfwypvbgkqjxz": "".join(rng.choice(some) for _ in range(n))
+    texts = [letters(n) for n in (255, 256, 257, 300, 5000)] + [letters(3000, "ab"), "a" * 999, letters(2000, "aé日"), letters(700) + " short " + letters(900)]
+    assert [x.tolist() for x in words.encode(texts)] == [ids_of(t) for t in texts]
+    for text, least in ((letters(60_000), 2), (letters(300_000), 20), (" " * 1_000_000 + "x", 10), ("ab" * 200_000, 10)):
+        began = time.time()
+        (got,) = words.encode([text])
+        assert time.time() - began < least
+        assert got.tolist() == ids_of(text)
+    assert words.kept > bpe.KEPT_CHARS / 8
+    assert len(words.encode(["x y"] * 2)) == 2
+
+
+def test_packing_of_very_long_texts(spark):
+    texts = [" " * 1_000_000 + "x", "".join(random.Random(1).choice("abcdefgh") for _ in range(300_000)), ""]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), digest=True).collect()
+    for i, text in enumerate(texts):
+        own, want = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i), [*ids_of(text), 1]
+        assert own == [(a, n, crc(want[a : a + n])) for a, n, _ in own]
+        assert sum(n for _, n, _ in own) == len(want)
 
 
 def test_sharding(docs, none, spark):
@@ -100,61 +123,6 @@ def test_sharding(docs, none, spark):
     assert "Arrow" not in names
 
 
-PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav><div class='ad box'>Buy!</div><article><h1>T&amp;{n}</h1><p>One {n}<br>two<p>Three <b>bold</b> {n}.<div>Follow us for more</div><ul><li>x{n}<li>y</ul><script>var a='</p>'</script><!-- c --></article><section id=comments><p>Nice</p></section><form>Mail</form><footer>c</footer></body></html>"
-
-
-def test_html(spark):
-    rows = [(i, "http://a.example/x", PAGE.format(n=i)) for i in range(6)] + [(6, "http://a.example/x", PAGE.format(n=5))]
-    rows += [(7, "https://u@B.example:80/", PAGE.format(n=7)), (8, None, "<p>plain &lt;b&gt; text"), (9, "odd", None), (10, "http://c.example/", ""), (None, "http://c.example/", "<b>open <i>mark")]
-    out = {r["page_id"]: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("marks", F.lit("m"))).collect()}
-    # What all pages of a host say in one place is template; a host of one page has none.
-    assert out[0]["text"] == "T&0\n\nOne 0 two\n\nThree bold 0.\n\nx0"
-    assert out[6]["text"] == "T&5\n\nOne 5 two\n\nThree bold 5.\n\nx5"
-    assert out[7]["text"] == "T&7\n\nOne 7 two\n\nThree bold 7.\n\nFollow us for more\n\nx7\n\ny"
-    assert out[8]["text"] == "plain <b> text"
-    assert (out[9]["text"], out[10]["text"], out[None]["text"]) == ("", "", "open mark")
-    assert all(r["n_chars"] == len(r["text"]) for r in out.values())
-    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_html_of_copies_keeps_their_text(spark):
-    rows = [(i, "http://a.example/x", PAGE.format(n=1)) for i in range(8)]
-    out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert {r["text"] for r in out.collect()} == {"T&1\n\nOne 1 two\n\nThree bold 1.\n\nFollow us for more\n\nx1\n\ny"}
-
-
-def test_html_counts_distinct_pages_whatever_the_partitions(spark):
-    text = "<article><p>Long {n}</p><p>Only here {n}</p></article>"
-    rows = [(i, "http://a.example/x", text.format(n=1)) for i in range(10)] + [(10, "http://a.example/x", "<article><p>Long 2</p></article>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for parts in (1, 11):
-        out = {r["page_id"]: r["text"] for r in html.main_text(df.repartition(parts, "page_id")).collect()}
-        assert out[0] == "Long 1\n\nOnly here 1"
-
-
-def test_html_template_forgives_a_tenth_of_the_pages(spark):
-    page = lambda i: f"<article><p>One {i}</p>" + ("" if i < 3 else f"<div>{'Follow us' if i != 20 else 'Follow them'}</div>") + f"<h2>Two {i}</h2></article>"
-    df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
-    out = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
-    assert all(out[i] == f"One {i}\n\n{'Follow them' + chr(10) * 2 if i == 20 else ''}Two {i}" for i in range(40))
-
-
-def test_html_template_behind_long_lists(spark):
-    page = lambda i: "<article>" + "".join(f"<p>{i} {j}</p>" for j in range(70 + 40 * (i % 9))) + "<p>About us</p></article>"
-    df = spark.createDataFrame([(i, "http://a.example/x", page(i)) for i in range(9)], "page_id long, url string, html string")
-    assert not [r for r in html.main_text(df).collect() if "About us" in r["text"]]
-    a, b = (html.slots(html.parse(page(i))) for i in (0, 5))
-    assert len(html.align(a, b).children[0].children) == 271
-
-
-def test_tree_matching():
-    a, b = (html.slots(html.parse(t)) for t in ("<ul><li>a<li>b<li>c</ul><p>x</p>", "<ul><li>a<li>c</ul><h2>h</h2><p>x</p>"))
-    assert html.matched(a, b, {}) == 5  # the root, ul, two li, p
-    both = html.align(a, b)
-    ul = both.children[0]
-    assert [c.pages for c in ul.children] == [2, 1, 2]
-
-
 def test_counts(docs, none):
     edits = F.array(*[F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("end"), F.lit(t).alias("text")) for a, b, t in ((2, 5, "'s"), (0, 0, "<|end"), (7, None, "x y"), (4, 6, ""), (10**6, 10**6, "!"), (None, 3, "no"))])
     trees = counts.build_trees(docs.withColumn("edits", edits), keep=["edits"])

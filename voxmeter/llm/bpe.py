@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 from voxmeter.llm import tokens
 from voxmeter.llm.common import slices
 
-#: Encoded words that a task keeps; beyond them it starts anew, so memory stays bounded.
-KEPT_WORDS = 200_000
+#: Encoded words that a task keeps, and characters in them; beyond either it starts anew, so memory stays bounded.
+KEPT_WORDS, KEPT_CHARS = 200_000, 4 << 20
+#: Bytes from which a word goes through rounds that touch only the places of their merges.
+LONG = 256
 NO_RANK = np.int64(1 << 62)
 
 
+def every_second(joined: np.ndarray) -> np.ndarray:
+    """Of items of which some are joined with the next (joined: for all but the last), every second of each run, from its first."""
+    first = np.append(True, ~joined)
+    begin = np.flatnonzero(first)
+    return (np.arange(len(first)) - begin[np.cumsum(first) - 1]) % 2 == 0
+
+
 class Merger:
     """Merge rounds: the symbols of many words lie in one flat array; each round merges every word's lowest-ranked pair."""
 
@@ -32,6 +41,7 @@ class Merger:
         keys = merges[:, 0] * self.width + merges[:, 1]
         order = np.argsort(keys)
         self.keys, self.rank, self.product = keys[order], order.astype(np.int64), merges[order, 2]
+        self.of_rank = np.argsort(order)
         self.of_byte = np.array([v.ids[bytes([b])] for b in range(256)], np.int64)
         pieces = [b""] * v.n
         for text, i in v.ids.items():
@@ -42,17 +52,34 @@ class Merger:
         self.bytes_n = np.array([len(x) for x in pieces], np.int64)
         self.bytes_at = np.cumsum(self.bytes_n) - self.bytes_n
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols (NO_RANK if none merges them), and where it stands among the sorted keys."""
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.rank[at], NO_RANK), at
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words and the number of each word's ids."""
-        count = np.array([len(w) for w in words], np.int64)
-        live = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), count)
+        long = np.array([len(w) > LONG for w in words], bool)
+        parts = [(self._rounds, np.flatnonzero(~long)), (self._long_rounds, np.flatnonzero(long))]
+        held = [(merge([words[i] for i in some]), some) for merge, some in parts if len(some)]
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, of = np.concatenate([x[0] for x, _ in held]), np.concatenate([some[x[1]] for x, some in held])
+        order = np.argsort(of, kind="stable")
+        return ids[order], np.bincount(of, minlength=len(words))
+
+    def _flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words, a byte each, and the word that each belongs to."""
+        return self.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+    def _rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their words: each round merges every word's lowest-ranked pair; words that have none are done."""
+        live, owner = self._flat(words)
         done_ids, done_owner = [], []
         while len(live):
-            pair = live[:-1] * self.width + live[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            known = (self.keys[at] == pair) & (owner[:-1] == owner[1:])
-            rank = np.append(np.where(known, self.rank[at], NO_RANK), NO_RANK)
+            rank, at = self.ranks(live[:-1], live[1:])
+            rank = np.append(np.where(owner[:-1] == owner[1:], rank, NO_RANK), NO_RANK)
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             size = np.diff(np.append(begin, len(live)))
             best = np.repeat(np.minimum.reduceat(rank, begin), size)
@@ -63,17 +90,44 @@ class Merger:
             chosen = np.flatnonzero((rank == best) & ~ended)
             # Equal symbols in a row give overlapping pairs: of each run every second one merges, from the left.
             if len(chosen):
-                run = np.cumsum(np.append(True, np.diff(chosen) > 1)) - 1
-                first = np.flatnonzero(np.append(True, np.diff(chosen) > 1))
-                chosen = chosen[(np.arange(len(chosen)) - first[run]) % 2 == 0]
+                chosen = chosen[every_second(np.diff(chosen) == 1)]
                 live[chosen] = self.product[at[chosen]]
                 ended[chosen + 1] = True
             live, owner = live[~ended], owner[~ended]
-        if not done_ids:
-            return np.zeros(0, np.int64), count
-        ids, of = np.concatenate(done_ids), np.concatenate(done_owner)
-        order = np.argsort(of, kind="stable")
-        return ids[order], np.bincount(of, minlength=len(words))
+        return (np.concatenate(done_ids), np.concatenate(done_owner)) if done_ids else (live, owner)
+
+    def _long_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long words, in one order of ranks for all: a round looks up only pairs beside its merges.
+
+        Merged symbols stay as gaps between linked neighbours until half of the array is gaps.
+        """
+        live, owner = self._flat(words)
+        live, owner = np.append(live, 0), np.append(owner, -1)  # the end is no word's
+        while True:
+            n = len(live) - 1
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            rank = np.full(n + 1, NO_RANK)
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(live[:-1], live[1:])[0], NO_RANK)
+            dead = np.zeros(n + 1, bool)
+            gaps = 0
+            while gaps * 2 <= n:
+                best = rank.min()
+                if best == NO_RANK:
+                    return live[~dead][:-1], owner[~dead][:-1]
+                chosen = np.flatnonzero(rank == best)
+                if len(chosen) > 1:
+                    chosen = chosen[every_second(after[chosen[:-1]] == chosen[1:])]
+                gone = after[chosen]
+                live[chosen] = self.product[self.of_rank[best]]
+                after[chosen] = after[gone]
+                before[after[gone]] = chosen
+                dead[gone], rank[gone] = True, NO_RANK
+                gaps += len(gone)
+                touched = np.concatenate([chosen, before[chosen]])
+                touched = touched[touched >= 0]
+                follower = after[touched]
+                rank[touched] = np.where(owner[touched] == owner[follower], self.ranks(live[touched], live[follower])[0], NO_RANK)
+            live, owner = live[~dead], owner[~dead]
 
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.bytes_n[ids]
@@ -106,6 +160,7 @@ class Words:
         #: Characters of each word; a special token's carries a mark before it.
         self.chars = np.array([len(x) for x in self.names], np.int64)
         self.at = np.arange(len(self.names))
+        self.kept = 0
 
     def pretokens(self, text: str) -> list[str]:
         if self.special is None or not any(x in text for x in self.names):
@@ -114,7 +169,7 @@ class Words:
 
     def numbers(self, words: list[list[str]]) -> list[np.ndarray]:
         """The number of each pre-token of each text, after new ones have been encoded together."""
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > KEPT_WORDS or self.kept > KEPT_CHARS:
             self.clear()
         number = self.number
         new = list({w for ws in words for w in ws if w not in number})
@@ -125,6 +180,7 @@ class Words:
             self.ids, self.n = np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
             self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), np.int64, len(new))])
             self.at = np.cumsum(self.n) - self.n
+            self.kept += int(self.chars[-len(new) :].sum())
         return [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in words]
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:

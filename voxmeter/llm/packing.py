@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmeter.llm import tokens
+from voxmeter.llm import bpe, tokens
 from voxmeter.llm.common import join_small, materialize, slices
 
 WINDOW = 2048
 
 
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts -> ids as the file's library gives them without added special tokens: by merge rounds, or by the library itself
+    where the file isn't a plain byte-level vocabulary."""
+    if tokens.vocabulary(path).plain:
+        return bpe.Words(path).encode
+    return lambda texts: [np.array(x.ids, np.int64) for x in tokens.library(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, wide: bool) -> Iterator[pa.RecordBatch]:
-    encode, part, at = tokens.encoder(path), TaskContext.get().partitionId(), 0
+    encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
     kind = np.dtype("<u4" if wide else "<u2")
     tail = [] if end_id is None else [end_id]
     for whole in batches:
         for batch in slices(whole, "text"):
-            lengths, ids = [], []
-            for text in batch.column(1).to_pylist():
-                held = np.array(encode(text or "") + tail, kind)
-                lengths.append(len(held))
-                ids.append(held.tobytes())
-            n = np.array(lengths, np.int64)
+            held = [np.append(x, tail).astype(kind) for x in encode([text or "" for text in batch.column(1).to_pylist()])]
+            n = np.array([len(x) for x in held], np.int64)
             before = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "before", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.array([x.tobytes() for x in held], pa.binary())], names=["doc_id", "part", "before", "doc_tokens", "ids"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, wide: bool, crc: bool) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     told = materialize(source.mapInArrow(functools.partial(_tokenize, path=path, end_id=end_id, wide=wide), f"doc_id {kind}, part int, before long, doc_tokens long, ids binary"), "tokens")
     totals = told.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     # One row for each partition of the input goes through this window, whatever the rows in it.
-    bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    placed = join_small(told, bases, "part", "inner", 32).select("doc_id", (F.col("base") + F.col("before")).alias("base"), "doc_tokens", "ids")
+    bases = materialize(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "bases")
+    placed = join_small(told, bases, "part", "inner").select("doc_id", (F.col("base") + F.col("before")).alias("base"), "doc_tokens", "ids")
     last = "ids_crc32 long" if digest else "ids array<int>"
     return placed.mapInArrow(functools.partial(_cut, window=window, wide=wide, crc=digest), f"doc_id {kind}, start long, length long, {last}, doc_tokens long, sequence_id long, offset long")

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Callable
-
 import public_tokenizers
-import tiktoken
 from tokenizers import Tokenizer
 
 #: Pre-tokens of the byte-level scheme: a fixed value of the vocabulary.
@@ -41,8 +38,6 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
         self.merges = [(raw[a], raw[b], raw[a + b]) for a, b in pairs] if self.plain else []
         self.n = max([*raw.values(), *self.special.values()], default=-1) + 1
-        #: The order of merges is the order of ids, so ranks and ids say the same.
-        self.ordered = self.plain and all(m[2] == 256 + i for i, m in enumerate(self.merges))
 
 
 @functools.lru_cache(4)
@@ -56,15 +51,3 @@ def library(path: str) -> Tokenizer:
     t.no_truncation()
     t.no_padding()
     return t
-
-
-@functools.lru_cache(4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids without added special tokens; a special token's own text becomes its id, as in the file's library."""
-    v = vocabulary(path)
-    if v.ordered:
-        fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
-        names = set(v.special)
-        return lambda text: fast.encode(text, allowed_special=names, disallowed_special=())
-    slow = library(path)
-    return lambda text: slow.encode(text, add_special_tokens=False).ids
