@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmeter.sources.session import shared_dir
 
-#: A side of a join is broadcast only up to so many estimated bytes; beyond them Spark shuffles both sides.
+#: A side of a join is broadcast only up to so many measured bytes; beyond them Spark shuffles both sides.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of a row in a hash table besides its columns.
+ROW_BYTES = 48
 #: Texts are worked on in slices of about so many bytes, so a task's memory does not follow the batch size.
 SLICE_BYTES = 1 << 20
 
@@ -26,13 +29,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 24, size: int | None = None) -> DataFrame:
-    """Join with `right` (a materialized table), broadcast only if its size fits BROADCAST_BYTES; else a shuffle join.
+def byte_size(value: F.Column, kind: T.DataType) -> F.Column:
+    """Bytes that a value takes in a row: its own, those of its items, and a word for each of them."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType)
+        size = F.size(value) * 8 + 24 if fixed else F.aggregate(value, F.lit(24).cast("long"), lambda n, x: n + byte_size(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((byte_size(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    elif isinstance(kind, T.MapType):
+        return byte_size(F.map_keys(value), T.ArrayType(kind.keyType)) + byte_size(F.map_values(value), T.ArrayType(kind.valueType))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(8))
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of all rows of a materialized table in a broadcast's hash table, from the rows themselves."""
+    row = sum((byte_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row)).first()[0] or 0
 
-    The size is that of its counted rows, or the measured one if given.
-    """
-    size = right.count() * row_bytes if size is None else size
-    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right.hint("merge"), on, how)
+
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join with `right` (a materialized table), broadcast only if its measured bytes fit BROADCAST_BYTES; else a shuffle join."""
+    return left.join(F.broadcast(right) if measured(right) <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +149,3 @@ def shingles_of(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
         w = words[first[i] : first[i + 1]]
         out[out_first[i]] = mix64((w * factors[: len(w)]).sum(keepdims=True) + np.array([len(w)], np.uint64) * np.uint64(0xA0761D6478BD642F))[0]
     return out, out_first
-
-
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())

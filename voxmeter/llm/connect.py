@@ -133,9 +133,8 @@ def link_groups(rows: DataFrame, similar: Similar) -> DataFrame:
     many = join_small(rows, large.select("grp"), "grp", "left_semi")
     leaders = many.groupBy("grp").agg(F.min(F.struct("id", "payload")).alias("l")).select("grp", F.col("l.id").alias("leader"), F.col("l.payload").alias("lead"))
     leaders = materialize(leaders, "leaders")
-    heavy = leaders.agg(F.sum(F.length("lead") + 32)).first()[0]
     # With few leaders rows stay where they are: a large group isn't gathered in one task.
-    led = join_small(many, leaders, "grp", "inner", size=heavy).select("grp", "id", "payload", "lead", "leader")
+    led = join_small(many, leaders, "grp", "inner").select("grp", "id", "payload", "lead", "leader")
     led = materialize(led.mapInArrow(functools.partial(_led, similar=similar), f"grp {rows.schema['grp'].dataType.simpleString()}, id long, payload binary, leader long, linked boolean"), "led")
     edges = edges.unionByName(led.where("linked and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
     rest = led.where(~F.col("linked"))

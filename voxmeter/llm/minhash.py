@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import BROADCAST_BYTES, join_small, materialize, seeded, shingles_of, slices, text_buffers, words_of
+from voxmeter.llm.common import join_small, materialize, seeded, shingles_of, slices, text_buffers, words_of
 from voxmeter.llm.connect import components, link_groups
 
 SHINGLE, PERCENT = 5, 80
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = candidates(classes.select(F.col("rep").alias("id"), F.col("signature").alias("payload")), percent)
     maybe = materialize(components(found), "maybe")
     wanted = maybe.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
-    near = source.join(F.broadcast(wanted), "doc_id") if maybe.count() * 24 <= BROADCAST_BYTES else source.join(wanted, "doc_id")
+    near = join_small(source, wanted, "doc_id", "inner")
     full = near.select("doc_id", "text", "grp").mapInArrow(functools.partial(_payloads, k=k), "grp long, id long, payload binary")
     linked = components(link_groups(materialize(full, "sets"), functools.partial(_close, percent)))
     linked = materialize(linked.withColumnRenamed("id", "rep"), "linked")
@@ -176,5 +176,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         moved = joined.select("digest", F.coalesce("component", "rep").alias("component_id"))
         # Only sets with more than one document, or with a link, say anything new.
         news = materialize(moved.join(classes.where("n > 1").select("digest", F.lit(True).alias("many")), "digest", "left").join(linked.select(F.col("component").alias("component_id")).distinct().withColumn("met", F.lit(True)), "component_id", "left").where("many or met").select("digest", "component_id"), "news")
-        named = join_small(told, news, "digest", "left", 48).withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+        named = join_small(told, news, "digest", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmeter.llm.common import BROADCAST_BYTES, join_small, materialize, shingles_of, slices, text_buffers, words_of
+from voxmeter.llm.common import join_small, materialize, shingles_of, slices, text_buffers, words_of
 
 #: Words of a seed. Every k-mer is one: 50 words of which any 10 differ still share 7 (50 - K + 1 - 10 * K).
 K = 4
@@ -404,7 +404,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     aligned = both.select("doc", "owner", "chain", "words", "other").mapInArrow(functools.partial(_align, least=least), "doc long, owner long, start long, end long, source_start long, source_end long")
     spans = aligned.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "owner")).alias("spans"))
     merged = spans.mapInArrow(functools.partial(_merge, least=least), RESULT)
-    whole = source.join(F.broadcast(copies), "doc") if copies.count() * 24 <= BROADCAST_BYTES else source.join(copies, "doc")
+    whole = join_small(source, copies, "doc", "inner")
     return merged.unionByName(whole.select("doc", "text", "rep").mapInArrow(functools.partial(_count, least=least), RESULT))
 
 
@@ -435,7 +435,7 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     """
     spans = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), "spans")
     place = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_row")
-    marked = join_small(place, spans, "doc_id", "left", 64)
+    marked = join_small(place, spans, "doc_id", "left")
     plain = marked.where("spans is null").select("_row.*")
     kind = docs.schema
     texts = marked.where("spans is not null").select(F.struct("doc_id", "_row").alias("key"), "text", "spans")
