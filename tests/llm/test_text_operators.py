@@ -198,21 +198,48 @@ def test_toxicity(spark, docs, none):
 
 def test_marginals_are_those_of_all_tag_sequences():
     rng = np.random.default_rng(3)
-    emit, stay, size = rng.normal(size=(3, 5)), rng.normal(size=(2, 2)), np.array([5, 1, 3])
-    got, pairs = toxicity.marginals(emit, size, stay)
-    fast = toxicity._tags(emit, size, stay)
-    want, want_pairs = np.zeros((3, 5)), np.zeros((2, 2))
-    for r, n in enumerate(size):
-        total, one, two = 0.0, np.zeros(5), np.zeros((2, 2))
+    counts, stay = np.array([5, 1, 0, 3, 9]), rng.normal(size=(2, 2))
+    emit = rng.normal(size=counts.sum())
+    want, want_pairs = np.zeros(len(emit)), np.zeros((2, 2))
+    for at, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+        total, one, two = 0.0, np.zeros(n), np.zeros((2, 2))
         for code in range(2**n):
             y = [code >> k & 1 for k in range(n)]
-            w = np.exp(sum(emit[r, k] for k in range(n) if y[k]) + sum(stay[y[k - 1], y[k]] for k in range(1, n)))
+            w = np.exp(sum(emit[at + k] for k in range(n) if y[k]) + sum(stay[y[k - 1], y[k]] for k in range(1, n)))
             total += w
             for k in range(n):
                 one[k] += w * y[k]
             for k in range(1, n):
                 two[y[k - 1], y[k]] += w
-        want[r], want_pairs = one / total, want_pairs + two / total
-    assert np.allclose(got, want)
-    assert np.allclose(fast, want)
-    assert np.allclose(pairs, want_pairs)
+        want[at : at + n], want_pairs = one / total, want_pairs + two / total
+    for block in (1, 2, 3, 64):
+        got, pairs = toxicity.marginals(emit, counts, stay, block, True)
+        assert np.allclose(got, want)
+        assert np.allclose(pairs, want_pairs)
+
+
+def test_marginals_do_not_follow_the_block_length():
+    """A chain is a whole text: tokens 40 apart still tell of one another, and blocks change nothing."""
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 20_000, 0, 64, 65, 300, 128])
+    emit, stay = rng.normal(size=counts.sum()) * 8, np.array([[4.0, -4.0], [-4.0, 4.0]])
+    whole, pairs = toxicity.marginals(emit, counts, stay, 1 << 20, True)
+    for block in (1, 7, 64, 1000):
+        got, two = toxicity.marginals(emit, counts, stay, block, True)
+        assert np.allclose(got, whole, atol=1e-9)
+        assert np.allclose(pairs, two)
+    extreme, _ = toxicity.marginals(np.array([1e6, -1e6, np.float64(0)] * 500), np.array([1500]), stay)
+    assert np.isfinite(extreme).all()
+    far = np.zeros(200)
+    far[100] = 30.0
+    assert toxicity.marginals(far, np.array([200]), np.array([[5.0, -5.0], [-5.0, 5.0]]))[0][130] > 0.6
+
+
+def test_toxicity_sample_is_bounded_and_the_same_in_any_layout(spark):
+    rows = marked(300) + [(1000, "vilewort " * 200_000, 1), (0, "another text", 1), (0, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    models = [toxicity.learn(df.repartition(n), labels.repartition(n), sample_bytes=1 << 20) for n in (1, 7)]
+    assert models[0].weights == models[1].weights
+    assert np.array_equal(models[0].stay, models[1].stay)
+    assert toxicity.learn(df, labels, sample_bytes=80) is None

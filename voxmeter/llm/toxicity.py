@@ -12,18 +12,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from voxmeter.llm.common import shingles_of, slices, words_of
+from voxmeter.llm.common import materialize, shingles_of, slices, words_of
 
 WORD = re.compile(r"[^\W_]+")
-#: Tokens of a chain: a text is cut into chains of so many tokens, all of them scored.
-CHAIN = 64
+#: Tokens of a chain that are worked on at once; and tokens of whole texts that the fit takes at once.
+BLOCK, FIT_TOKENS = 64, 100_000
 #: Weights smaller than this are dropped from a fitted model.
 LEAST_WEIGHT = 0.2
 #: Words whose weights a task keeps; beyond them it starts anew.
 KEPT_WORDS = 150_000
 #: The classifier is fitted on so many labelled documents of each class at most: those of the smallest hashes of doc_id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 500, 1500
+#: Bytes of the texts of a class that the fit takes at most; texts of more than an eighth of that take no part.
+SAMPLE_BYTES = 8 << 20
+#: The fit ends when no weight moves by more than this in a round.
+LEAST_STEP = 0.01
 #: Evidence (likelihood ratio) and lift from which a feature of toxic documents tags its tokens.
 EVIDENCE, LIFT = 25.0, 12.0
 #: Marginals below this add nothing to a document's score; spans are reported from the second on.
@@ -54,62 +59,72 @@ def features(word: str) -> list[str]:
     return out
 
 
-def marginals(emit: np.ndarray, size: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(tag 1) of each token of chains (rows, padded to a width), and expected counts of tag pairs, by forward-backward."""
-    n, width = emit.shape
-    psi = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -30, 30))], axis=2)
-    inside = np.arange(width)[None, :] < size[:, None]
-    psi[~inside] = 1
-    t = np.exp(stay)
-    ahead, back = np.empty((width, n, 2)), np.empty((width, n, 2))
-    ahead[0] = psi[:, 0] / psi[:, 0].sum(axis=1, keepdims=True)
-    for k in range(1, width):
-        x = (ahead[k - 1] @ t) * psi[:, k]
-        ahead[k] = x / x.sum(axis=1, keepdims=True)
-    back[width - 1] = 0.5
-    for k in range(width - 2, -1, -1):
-        x = (psi[:, k + 1] * back[k + 1]) @ t.T
-        x = np.where(inside[:, k + 1, None], x, 1.0)
-        back[k] = x / x.sum(axis=1, keepdims=True)
-    both = ahead * back
-    p = (both[:, :, 1] / both.sum(axis=2)).T
-    pairs = np.zeros((2, 2))
-    for k in range(1, width):
-        joint = ahead[k - 1][:, :, None] * t[None] * (psi[:, k] * back[k])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        pairs += joint[inside[:, k]].sum(axis=0)
-    return np.where(inside, p, 0.0), pairs
-
-
-def _tags(emit: np.ndarray, size: np.ndarray, stay: np.ndarray) -> np.ndarray:
-    """P(tag 1), without the counts of pairs."""
-    n, width = emit.shape
-    inside = np.arange(width)[None, :] < size[:, None]
-    odds = np.where(inside, np.exp(np.clip(emit, -30, 30)), 1.0)
-    t = np.exp(stay)
-    ahead, back = np.empty((width, n)), np.empty((width, n))  # ratios of tag 1 to tag 0
-    x = odds[:, 0]
-    ahead[0] = x
-    for k in range(1, width):
-        x = (t[0, 1] + x * t[1, 1]) / (t[0, 0] + x * t[1, 0]) * odds[:, k]
-        ahead[k] = x
-    x = np.ones(n)
-    back[width - 1] = x
-    for k in range(width - 2, -1, -1):
-        y = x * odds[:, k + 1]
-        x = np.where(inside[:, k + 1], (t[1, 0] + y * t[1, 1]) / (t[0, 0] + y * t[0, 1]), 1.0)
-        back[k] = x
-    both = (ahead * back).T
-    return np.where(inside, both / (1 + both), 0.0)
-
-
-def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where chains begin in the flat tokens, their sizes, and their documents."""
-    n = -(-counts // CHAIN)
+def _ahead(odds: np.ndarray, counts: np.ndarray, t: np.ndarray, block: int) -> np.ndarray:
+    """Forward messages of chains that lie one after another, as ratios of tag 1 to tag 0, with each token's own odds.
+
+    Chains are whole texts. A step maps the message x to odds * (t01 + x t11) / (t00 + x t10); the maps of the tokens of a
+    block multiply as 2 x 2 matrices, for all blocks at once. So the message that enters each block comes from one short
+    pass over blocks, and all blocks then go on from it at once: the same messages as token by token.
+    """
+    n = -(-counts // block)
     doc = np.repeat(np.arange(len(counts)), n)
-    step = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    begin = np.repeat(np.cumsum(counts) - counts, n) + step * CHAIN
-    return begin, np.minimum(CHAIN, counts[doc] - step * CHAIN), doc
+    head = np.cumsum(n) - n
+    rank = np.arange(len(doc)) - head[doc]
+    size = np.minimum(block, counts[doc] - rank * block)
+    steps = np.arange(size.max())[:, None]
+    place = np.minimum((np.cumsum(counts) - counts)[doc] + rank * block + steps, len(odds) - 1)
+    o, first, enter = odds[place], rank == 0, np.ones(len(doc))
+    passed = np.flatnonzero(rank < n[doc] - 1)  # blocks that another one follows: all of them are full
+    if len(passed):
+        a, b, c, d = np.ones(len(passed)), np.zeros(len(passed)), np.zeros(len(passed)), np.ones(len(passed))
+        held, begins = o[:, passed], first[passed]
+        for k in range(block):
+            a, b, c, d = t[0, 0] * a + t[1, 0] * c, t[0, 0] * b + t[1, 0] * d, held[k] * (t[0, 1] * a + t[1, 1] * c), held[k] * (t[0, 1] * b + t[1, 1] * d)
+            if k == 0:
+                a, b, c, d = np.where(begins, 1.0, a), np.where(begins, 0.0, b), np.where(begins, held[0], c), np.where(begins, 0.0, d)
+            if k % 8 == 7:
+                total = a + b + c + d
+                a, b, c, d = a / total, b / total, c / total, d / total
+        at = np.zeros(len(doc), np.int64)
+        at[passed] = np.arange(len(passed))
+        by_size = head[np.argsort(-n, kind="stable")]
+        more = np.sort(n)[::-1]
+        for r in range(1, int(n.max())):
+            now = by_size[: np.searchsorted(-more, -r, "left")] + r
+            x, i = enter[now - 1], at[now - 1]
+            enter[now] = (c[i] + d[i] * x) / (a[i] + b[i] * x)
+    out = np.empty_like(o)
+    x = out[0] = np.where(first, o[0], o[0] * (t[0, 1] + enter * t[1, 1]) / (t[0, 0] + enter * t[1, 0]))
+    for k in range(1, len(o)):
+        x = out[k] = o[k] * (t[0, 1] + x * t[1, 1]) / (t[0, 0] + x * t[1, 0])
+    flat = np.empty(len(odds))
+    inside = steps < size
+    flat[place[inside]] = out[inside]
+    return flat
+
+
+def marginals(emit: np.ndarray, counts: np.ndarray, stay: np.ndarray, block: int = BLOCK, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(tag 1) of each token of the chains, by forward-backward over each whole chain; with pairs, expected counts of tag pairs.
+
+    emit: log odds of all chains' tokens, one chain after another; counts: tokens of each. `block` says how many tokens are
+    worked on at once, and changes nothing but rounding.
+    """
+    if not len(emit):
+        return np.zeros(0), np.zeros((2, 2)) if pairs else None
+    odds, t = np.exp(np.clip(emit, -30, 30)), np.exp(stay)
+    counts = counts[counts > 0]
+    ahead = _ahead(odds, counts, t, block)
+    # The way back is the way ahead along the reversed chain, with its transitions turned around.
+    back = _ahead(odds[::-1], counts[::-1], t.T, block)[::-1]
+    both = ahead * back / odds
+    if not pairs:
+        return both / (1 + both), None
+    later = np.ones(len(emit), bool)
+    later[np.cumsum(counts) - counts] = False
+    later = np.flatnonzero(later)
+    x, y = ahead[later - 1], back[later]
+    joint = np.stack([np.full(len(later), t[0, 0]), t[0, 1] * y, x * t[1, 0], x * t[1, 1] * y])
+    return both / (1 + both), (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model | None:
@@ -151,42 +166,42 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model | None:
     strong_word = np.bincount(of, strong[feature], n_words) > 0
     shared = stems & strong
     shared[feature[at]] = True
-    begin, size, doc = _chains(counts)
-    place = np.minimum(begin[:, None] + np.arange(CHAIN)[None], len(tokens) - 1)
-    inside = np.arange(CHAIN)[None] < size[:, None]
-    words = tokens[place]
-    tags = strong_word[words] & (y[doc] == 1)[:, None] & inside
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((tags[:, :-1] == i) & (tags[:, 1:] == j) & inside[:, 1:]).sum()
+    document = np.repeat(np.arange(len(counts)), counts)
+    tags = strong_word[tokens] & (y[document] == 1)
+    met = document[1:] == document[:-1]
+    seen = np.bincount(2 * tags[:-1][met] + tags[1:][met], minlength=4).reshape(2, 2).astype(float)
+    del document, met
+    # Whole texts, some thousand tokens at once.
+    ends = np.cumsum(counts)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // FIT_TOKENS)) + 1).tolist(), len(counts)]
+    parts = [(lo, hi, slice(int(ends[lo] - counts[lo]), int(ends[hi - 1]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if lo < hi]
     weights, bias, stay = np.zeros(total), -2.0, np.zeros((2, 2))
     grown, grown_bias, grown_stay = np.full(total, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(rounds):
         word_score = np.bincount(of, weights[feature], n_words) + bias
         gap, pairs = np.zeros(n_words), np.zeros((2, 2))
-        for at_chain in range(0, len(words), 4096):
-            part = slice(at_chain, at_chain + 4096)
-            p, met = marginals(word_score[words[part]], size[part], stay)
-            pairs += met
-            gap += np.bincount(words[part][inside[part]], (tags[part] - p)[inside[part]], n_words)
+        for lo, hi, part in parts:
+            p, two = marginals(word_score[tokens[part]], counts[lo:hi], stay, pairs=True)
+            pairs += two
+            gap += np.bincount(tokens[part], tags[part] - p, n_words)
         g = np.bincount(feature, gap[of], total) - 0.02 * weights
         g[~shared] = 0
         g_bias, g_stay = gap.sum(), seen - pairs - 0.02 * stay
         grown, grown_bias, grown_stay = grown + g * g, grown_bias + g_bias**2, grown_stay + g_stay**2
-        weights, bias, stay = weights + 0.5 * g / np.sqrt(grown), bias + 0.5 * g_bias / grown_bias**0.5, stay + 0.5 * g_stay / np.sqrt(grown_stay)
+        step, step_bias, step_stay = 0.5 * g / np.sqrt(grown), 0.5 * g_bias / grown_bias**0.5, 0.5 * g_stay / np.sqrt(grown_stay)
+        weights, bias, stay = weights + step, bias + step_bias, stay + step_stay
+        if max(np.abs(step).max(), abs(step_bias), np.abs(step_stay).max()) < LEAST_STEP:
+            break
     return Model({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) >= LEAST_WEIGHT}, float(bias), stay)
 
 
 def _originals(texts: list[str]) -> list[int]:
     """Texts that are no copies of earlier ones."""
-    data = [(t or "").encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in data])))
-    words, _, _, first = words_of(np.frombuffer(b"".join(data), np.uint8), offsets)
-    held, begin = shingles_of(words, first, 5)
     keep, seen = [], {}
-    for i, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-        least = np.sort(held[a:b])[:COPY_OF].tolist()
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        words, _, _, first = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        least = np.sort(shingles_of(words, first, 5)[0])[:COPY_OF].tolist()
         met: dict[int, int] = {}
         for x in least:
             if x in seen:
@@ -232,14 +247,21 @@ def _telling(own: list[np.ndarray], y: np.ndarray, features: int, of: np.ndarray
     return strong, stems
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Fit on a bounded sample of labelled documents. labels: doc_id, toxic (null counts as unlabelled).
 
-    Of each class at most toxic_sample and clean_sample documents take part, those of the smallest hashes of doc_id.
+    Of each class at most toxic_sample and clean_sample documents take part, those of the smallest hashes of doc_id, and of
+    these, in that order, as many as hold sample_bytes; texts of more than an eighth of it are left out. Of rows with one
+    doc_id the smallest text counts, and the larger label, so the sample is the same whatever the layout.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id"))
     pick = known.where("toxic = 1").orderBy("h", "id").limit(toxic_sample).unionByName(known.where("toxic = 0").orderBy("h", "id").limit(clean_sample))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id").select("id", "text", "toxic").dropDuplicates(["id"]).toPandas().sort_values("id")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
+    held = materialize(held.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("h").alias("h")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "labelled")
+    # A row for each document of the sample.
+    order = Window.partitionBy("toxic").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = held.where(F.col("bytes") <= sample_bytes // 8).select("id", F.sum("bytes").over(order).alias("sum")).where(F.col("sum") <= sample_bytes)
+    rows = held.join(fits.select("id"), "id", "left_semi").select("id", "text", "toxic").toPandas().sort_values("id")
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
@@ -261,20 +283,16 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[p
                 emit = np.append(emit, np.array([sum(weight(f, 0.0) for f in features(w)) + model.bias for w in new], np.float32))
                 counts = np.array([len(ws) for ws in lists], np.int64)
                 flat = np.fromiter((number[w] for ws in lists for w in ws), np.int64, counts.sum())
-                begin, size, doc = _chains(counts)
-                if len(begin):
-                    place = np.minimum(begin[:, None] + np.arange(CHAIN)[None], len(flat) - 1)
-                    p = _tags(emit[flat[place]].astype(np.float64), size, model.stay)
-                    row, col = np.nonzero(p >= FLOOR)
-                    miss = np.ones(len(texts))
-                    np.multiply.at(miss, doc[row], 1 - np.minimum(p[row, col], 1 - 1e-9))
-                    score = 1 - miss
-                    at = np.cumsum(counts) - counts
-                    hit = p[row, col] >= SPAN
-                    for d in np.unique(doc[row[hit]]).tolist():
-                        own = hit & (doc[row] == d)
-                        marked = dict(zip((begin[row[own]] + col[own] - at[d]).tolist(), p[row[own], col[own]].tolist(), strict=True))
-                        spans[d] = [{"start": m.start(), "end": m.end(), "score": marked[i]} for i, m in enumerate(WORD.finditer(texts[d])) if i in marked]
+                p, _ = marginals(emit[flat].astype(np.float64), counts, model.stay)
+                at = np.flatnonzero(p >= FLOOR)
+                doc = np.repeat(np.arange(len(texts)), counts)[at]
+                miss = np.ones(len(texts))
+                np.multiply.at(miss, doc, 1 - np.minimum(p[at], 1 - 1e-9))
+                score = 1 - miss
+                begin = np.cumsum(counts) - counts
+                for d in np.unique(doc[p[at] >= SPAN]).tolist():
+                    own = p[begin[d] : begin[d] + counts[d]].tolist()
+                    spans[d] = [{"start": m.start(), "end": m.end(), "score": q} for q, m in zip(own, WORD.finditer(texts[d]), strict=True) if q >= SPAN]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
 
