@@ -126,9 +126,9 @@ def test_sharding(docs, none, spark):
 def test_counts(docs, none):
     edits = F.array(*[F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("end"), F.lit(t).alias("text")) for a, b, t in ((2, 5, "'s"), (0, 0, "<|end"), (7, None, "x y"), (4, 6, ""), (10**6, 10**6, "!"), (None, 3, "no"))])
     trees = counts.build_trees(docs.withColumn("edits", edits), keep=["edits"])
-    for r in trees.select("text", "n_tokens", "lengths", "tree").collect():
+    for r in trees.select("text", "n_tokens", "chars").collect():
         assert r["n_tokens"] == len(ids_of(r["text"]))
-        assert sum(r["lengths"]) == len(r["text"])
+        assert np.frombuffer(r["chars"], "<i4")[1] == len(r["text"])
     for r in counts.apply_edits(trees).collect():
         assert r["n_tokens"] == len(ids_of(r["text"])), r["text"]
     assert counts.apply_edits(counts.build_trees(none.withColumn("edits", edits), keep=["edits"])).count() == 0
@@ -136,29 +136,61 @@ def test_counts(docs, none):
     assert all(r["n_tokens"] == r["n_tokens_before"] and r["n_encoded"] == 0 for r in same)
 
 
+def whole(document):
+    """The leaves hold the pre-tokens' characters, and all sums are right."""
+    for tree in (document.chars, document.tokens):
+        half = len(tree) // 2
+        assert (tree[1:half] == tree[2::2] + tree[3::2]).all()
+        assert (tree >= 0).all()
+
+
 def test_counts_fuzz():
     rng, c = random.Random(2), counts.Counter(tokens.default_path())
     parts = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "23", "é", "日本", "<|endoftext|>", "<|", "|>", "...", "hello", " world", "x" * 30]
-    for _ in range(400):
+    for _ in range(300):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
-        ((lengths, tree),) = c.build([text])
-        for _ in range(2):
+        (document,) = c.build([text])
+        for _ in range(3):
             edits, at = [], 0
             for _ in range(rng.randint(0, 4)):
                 a = rng.randint(at, len(text))
                 at = rng.randint(a, min(len(text), a + rng.choice([0, 1, 3, 20])))
-                edits.append((a, at, "".join(rng.choice(parts) for _ in range(rng.randint(0, 3)))))
-            ((text, lengths, tree, _),) = c.edit([(text, lengths, tree, edits)])
-            assert tree[1 if len(tree) > 1 else 0] == len(ids_of(text))
-            assert counts.prefix(tree, len(lengths)) == tree[1 if len(tree) > 1 else 0] or len(tree) == 1
+                edits.append((a, at, "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 200])))))
+            ((text, _),) = c.edit([(text, document, edits)])
+            whole(document)
+            assert document.tokens[1] == len(ids_of(text))
+            assert document.leaves(0, document.n)[0].tolist() == [counts.size_of(w) for w in c.words.pretokens(text)]
+            assert counts.prefix(document.tokens, document.n) == document.tokens[1]
 
 
-def test_counts_encode_little():
-    c = counts.Counter(tokens.default_path())
+def test_counts_encode_little_however_often_a_text_is_edited():
+    """100 rounds on one document, a long insertion first: the tree stays over pre-tokens, and each edit encodes few."""
+    rng, c = random.Random(3), counts.Counter(tokens.default_path())
     text = "some words here " * 5000
-    ((lengths, tree),) = c.build([text])
-    ((_, _, _, encoded),) = c.edit([(text, lengths, tree, [(40000, 40004, "other")])])
-    assert encoded < 30
+    (document,) = c.build([text])
+    ((text, _),) = c.edit([(text, document, [(40000, 40004, " long insertion" * 3000)])])
+    for k in range(100):
+        a = rng.randint(0, len(text)) if k % 2 else 41000
+        ((text, encoded),) = c.edit([(text, document, [(a, min(len(text), a + rng.choice([0, 3])), rng.choice(["other", "", " two words", "x"]))])])
+        assert encoded < 60
+        assert document.chars[document.n :].max() < 40
+    whole(document)
+    assert document.tokens[1] == len(ids_of(text))
+    assert document.n < 6 * len(c.words.pretokens(text))
+
+
+def test_counts_hold_for_trees_edited_again(spark):
+    """What apply_edits returns is the input of the next one."""
+    df = spark.createDataFrame([(1, "one two three"), (2, None), (3, "x" * 500)], "doc_id long, text string")
+    trees = counts.build_trees(df)
+    for k in range(4):
+        edits = F.array(F.struct(F.lit(3 * k).alias("start"), F.lit(3 * k + 1).alias("end"), F.lit(f" new{k} words").alias("text")))
+        trees = counts.apply_edits(trees.withColumn("edits", edits))
+    for r in trees.collect():
+        assert r["n_tokens"] == len(ids_of(r["text"]))
+        assert "new3" in r["text"]
+    with pytest.raises(ValueError, match="names"):
+        counts.build_trees(df.withColumn("tree", F.lit(1)), keep=["tree"])
 
 
 def marked(n, seed=1):

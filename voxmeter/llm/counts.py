@@ -1,4 +1,4 @@
-"""Edit-aware token counts: a segment tree over each document's pre-tokens; edits re-encode only the regions that they touch."""
+"""Edit-aware token counts: segment trees over each document's pre-tokens; edits re-encode only the regions that they touch."""
 
 from __future__ import annotations
 
@@ -17,22 +17,12 @@ from voxmeter.llm.common import slices
 EDITS = "array<struct<start:int,end:int,text:string>>"
 #: Characters past an edit that are split again at first; doubled until the old boundaries are met.
 AHEAD = 64
-
-
-def tree_of(leaves: np.ndarray) -> np.ndarray:
-    """A segment tree in one array: node k has children 2k and 2k + 1, leaves begin at the half; node 1 is the sum."""
-    size = 1 << max(0, len(leaves) - 1).bit_length()
-    tree = np.zeros(2 * size, np.int64)
-    tree[size : size + len(leaves)] = leaves
-    level = size
-    while level > 1:
-        tree[level // 2 : level] = tree[level : 2 * level : 2] + tree[level + 1 : 2 * level : 2]
-        level //= 2
-    return tree
+#: Leaves of a chunk; built trees leave a quarter of them free, for leaves to come, and so do chunks that are dealt anew.
+CHUNK, FULL = 32, 24
 
 
 def update(tree: np.ndarray, first: int, values: np.ndarray) -> None:
-    """Set leaves from `first` on and renew the sums above them, level by level."""
+    """Set leaves from `first` on and renew the sums above them, level by level. Node k has children 2k and 2k + 1."""
     low = first + len(tree) // 2
     high = low + len(values)
     tree[low:high] = values
@@ -41,8 +31,20 @@ def update(tree: np.ndarray, first: int, values: np.ndarray) -> None:
         tree[low:high] = tree[2 * low : 2 * high : 2] + tree[2 * low + 1 : 2 * high : 2]
 
 
+def find(tree: np.ndarray, place: int) -> tuple[int, int]:
+    """The leaf that holds the given unit of the sum, and the sum before it, in logarithmic time."""
+    half, node, before = len(tree) // 2, 1, 0
+    while node < half:
+        left = int(tree[2 * node])
+        node *= 2
+        if place >= before + left:
+            before += left
+            node += 1
+    return node - half, before
+
+
 def prefix(tree: np.ndarray, leaf: int) -> int:
-    """Tokens of the leaves before `leaf`, in logarithmic time."""
+    """The sum of the leaves before `leaf`, in logarithmic time."""
     node, total = leaf + len(tree) // 2, 0
     if leaf >= len(tree) // 2:
         return int(tree[1])
@@ -58,147 +60,202 @@ def size_of(word: str) -> int:
     return len(word) - (word[:1] == "\0" and len(word) > 1)
 
 
+def spread(values: np.ndarray, chunks: int) -> np.ndarray:
+    """The values dealt evenly to chunks, in order, each chunk filled from its left, with zeros behind."""
+    out = np.zeros((chunks, CHUNK), np.int64)
+    n = len(values)
+    chunk = np.arange(n) * chunks // max(n, 1)
+    first = np.searchsorted(chunk, np.arange(chunks))
+    out[chunk, np.arange(n) - first[chunk]] = values
+    return out.reshape(-1)
+
+
+class Document:
+    """Two segment trees over one row of leaves: characters and tokens of each pre-token. A leaf of no characters is free."""
+
+    __slots__ = ("chars", "tokens", "touched")
+
+    def __init__(self, chars: np.ndarray, counts: np.ndarray):
+        self.chars, self.tokens = chars, counts
+        #: Leaves whose tokens may still be a number of a new pre-token, as -1 - number.
+        self.touched: list[tuple[int, int]] = []
+
+    @staticmethod
+    def of(chars: np.ndarray, counts: np.ndarray) -> Document:
+        chunks = 1 << max(0, -(-len(chars) // FULL) - 1).bit_length()
+        trees = []
+        for values in (chars, counts):
+            tree = np.zeros(2 * chunks * CHUNK, np.int64)
+            update(tree, 0, spread(values, chunks))
+            trees.append(tree)
+        return Document(*trees)
+
+    @property
+    def n(self) -> int:
+        """Leaves, free ones included."""
+        return len(self.chars) // 2
+
+    def leaves(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        chars = self.chars[self.n + lo : self.n + hi]
+        held = chars > 0
+        return chars[held], self.tokens[self.n + lo : self.n + hi][held]
+
+    def replace(self, first: int, last: int, chars: np.ndarray, counts: np.ndarray) -> None:
+        """Put leaves in place of those from first to last (excluded); their chunks, or so many around them that all have room, are dealt anew."""
+        width, new = CHUNK, ()
+        while True:
+            lo = first // width * width
+            hi = min(self.n, -(-max(last, first + 1) // width) * width)
+            before, behind = self.leaves(lo, first), self.leaves(last, hi)
+            new = [np.concatenate([x, y, z]) for x, y, z in zip(before, (chars, counts), behind, strict=True)]
+            room = hi - lo
+            if len(new[0]) <= (room if room == CHUNK else room * FULL // CHUNK):
+                break
+            if not lo and hi == self.n:
+                grown = Document.of(*new)
+                self.chars, self.tokens, self.touched = grown.chars, grown.tokens, [(0, grown.n)]
+                return
+            width *= 2
+        update(self.chars, lo, spread(new[0], room // CHUNK))
+        self.tokens[self.n + lo : self.n + hi] = spread(new[1], room // CHUNK)
+        self.touched.append((lo, hi))
+
+    def settle(self, counts: np.ndarray) -> None:
+        """Give new pre-tokens their token counts, and renew the sums above touched leaves."""
+        for lo, hi in self.touched:
+            values = self.tokens[self.n + lo : self.n + hi].copy()
+            values[values < 0] = counts[-1 - values[values < 0]]
+            update(self.tokens, lo, values)
+        self.touched.clear()
+
+
 class Counter:
     def __init__(self, path: str):
         self.words = Words(path)
         #: So far before an edit a pre-token can depend on it: the longest special token, and the pattern's looking ahead.
         self.reach = max([3, *(len(x) + 1 for x in self.words.names)])
 
-    def build(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Lengths of each text's pre-tokens in characters, and the tree of their token counts."""
+    def build(self, texts: list[str]) -> list[Document]:
         numbers = self.words.numbers([self.words.pretokens(t) for t in texts])
-        return [(self.words.chars[x], tree_of(self.words.n[x])) for x in numbers]
+        return [Document.of(self.words.chars[x], self.words.n[x]) for x in numbers]
 
-    def regions(self, text: str, lengths: np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, list[str]]]]:
-        """The new text, and the regions (first leaf, last leaf, pre-tokens in their place) that the edits touch.
+    def region(self, new: str, document: Document, a: int, b: int, size: int) -> tuple[int, int, list[str]]:
+        """Leaves (first, last) that the edit of old characters a to b touches, and the pre-tokens in their place.
 
-        Edits are in order and do not overlap. A text without leaves is one region as a whole.
+        new is the text after the edit, in which `size` characters stand for those from a to b.
         """
-        if not edits:
-            return text, []
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        parts, at, shift, placed = [], 0, 0, []
-        for a, b, word in edits:
-            parts += [text[at:a], word]
-            placed.append((a, b, a + shift, a + shift + len(word)))
-            shift += len(word) - (b - a)
-            at = b
-        new = "".join([*parts, text[at:]])
-        if not len(lengths):
-            return new, [(0, 0, self.words.pretokens(new))] if new else []
-        out, k = [], 0
-        reached = lambda i: int(np.searchsorted(ends, placed[i][0] - self.reach, "right"))
-        while k < len(placed):
-            first = min(reached(k), len(lengths) - 1)
-            begin = int(starts[first]) + (placed[k - 1][3] - placed[k - 1][1] if k else 0)
-            window, found, last = AHEAD, [], None
-            while last is None:
-                stop = min(len(new), placed[k][3] + self.reach + window)
-                sure = stop if stop == len(new) else stop - self.reach - 2
-                found, place = [], begin
-                for word in self.words.pretokens(new[begin:stop]):
-                    if place >= placed[k][3]:
-                        old = place + placed[k][1] - placed[k][3]
-                        leaf = int(np.searchsorted(starts, old))
-                        if first < leaf < len(starts) and starts[leaf] == old:
-                            if k + 1 == len(placed) or reached(k + 1) >= leaf:
-                                # From here on the text is split as before.
-                                last = leaf
-                                break
-                            k += 1
-                    if place + size_of(word) > sure or placed[k][3] + self.reach > stop < len(new):
-                        break
-                    found.append(word)
-                    place += size_of(word)
-                else:
-                    if stop == len(new):
-                        k, last = len(placed) - 1, len(lengths)
-                window *= 2
-            out.append((first, last, found))
-            k += 1
-        return new, out
-
-    def apply(self, lengths: np.ndarray, tree: np.ndarray, regions: list[tuple[int, int, list[str]]], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The lengths and the tree with the regions' new pre-tokens, given by number: the first leaf of a region holds them all."""
-        if not regions:
-            return lengths, tree
-        if not len(lengths):
-            return self.words.chars[numbers[0]], tree_of(self.words.n[numbers[0]])
-        lengths, tree = lengths.copy(), tree.copy()
-        for (first, last, _), x in zip(regions, numbers, strict=True):
-            values, sizes = np.zeros(last - first, np.int64), np.zeros(last - first, np.int64)
-            values[0], sizes[0] = self.words.n[x].sum(), self.words.chars[x].sum()
-            update(tree, first, values)
-            lengths[first:last] = sizes
-        return lengths, tree
-
-    def edit(self, rows: list[tuple[str, np.ndarray, np.ndarray, list[tuple[int, int, str]]]]) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
-        """Of each (text, lengths, tree, edits) the new text, lengths and tree, and how many pre-tokens were encoded for it.
-
-        The new words of all rows are encoded together.
+        total = int(document.chars[1])
+        if not total:
+            return 0, document.n, self.words.pretokens(new)
+        first, begin = find(document.chars, min(max(a - self.reach, 0), total - 1))
+        window = AHEAD
+        while True:
+            stop = min(len(new), a + size + self.reach + window)
+            sure = stop if stop == len(new) else stop - self.reach - 2
+            found, place = [], begin
+            for word in self.words.pretokens(new[begin:stop]):
+                old = place - size + b - a
+                if place >= a + size and old < total:
+                    leaf, start = find(document.chars, old)
+                    if leaf > first and start == old:
+                        # From here on the text is split as before.
+                        return first, leaf, found
+                if place + size_of(word) > sure:
+                    break
+                found.append(word)
+                place += size_of(word)
+            else:
+                if stop == len(new):
+                    return first, document.n, found
+            window *= 2
+
+    def edit(self, rows: list[tuple[str, Document, list[tuple[int, int, str]]]]) -> list[tuple[str, int]]:
+        """Of each (text, document, edits) the new text, and how many pre-tokens were encoded for it; the documents change.
+
+        Edits are in order and do not overlap; they are made from the last to the first. The new words of all rows are
+        encoded together, and then get their places in the trees.
         """
-        told = [self.regions(text, lengths, edits) for text, lengths, _, edits in rows]
-        numbers = iter(self.words.numbers([found for _, regions in told for _, _, found in regions]))
-        out = []
-        for (_, lengths, tree, _), (new, regions) in zip(rows, told, strict=True):
-            x = [next(numbers) for _ in regions]
-            out.append((new, *self.apply(lengths, tree, regions, x), sum(map(len, x))))
+        held, out = [], []
+        for text, document, edits in rows:
+            encoded = 0
+            for a, b, word in reversed(edits):
+                text = text[:a] + word + text[b:]
+                first, last, found = self.region(text, document, a, b, len(word))
+                document.replace(first, last, np.array([size_of(w) for w in found], np.int64), -1 - np.arange(len(held), len(held) + len(found)))
+                held += found
+                encoded += len(found)
+            out.append((text, encoded))
+        (numbers,) = self.words.numbers([held])
+        for _, document, _ in rows:
+            document.settle(self.words.n[numbers])
         return out
 
 
+def _binary(tree: np.ndarray) -> bytes:
+    return tree.astype("<i4").tobytes()
+
+
 def _build(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = Counter(path)
     for whole in batches:
         for batch in slices(whole, "text"):
             built = counter.build([t or "" for t in batch.column(1).to_pylist()])
-            lists = [pa.array([x[i].astype(np.int32) for x in built], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array([int(x[1][1]) if len(x[1]) > 1 else 0 for x in built], pa.int64())], names=[*batch.schema.names, "lengths", "tree", "n_tokens"])
+            trees = [pa.array([_binary(x) for x in trees], pa.binary()) for trees in ([d.chars for d in built], [d.tokens for d in built])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *trees, pa.array([int(d.tokens[1]) for d in built], pa.int64())], names=[*batch.schema.names, "chars", "tree", "n_tokens"])
+
+
+def clean(edits: list[dict] | None, n: int) -> list[tuple[int, int, str]]:
+    """Edits in order, within the n characters of the text, none before the end of the one before."""
+    out, at = [], 0
+    for e in sorted((e for e in edits or () if e and e["start"] is not None), key=lambda e: (e["start"], e["end"] if e["end"] is not None else e["start"])):
+        a = min(max(e["start"], at), n)
+        b = min(max(e["end"] if e["end"] is not None else a, a), n)
+        out.append((a, b, e["text"] or ""))
+        at = b
+    return out
 
 
 def _edit(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     counter = Counter(path)
     for whole in batches:
         for batch in slices(whole, "text"):
-            lists = [batch.column(i) for i in (2, 3)]
-            flat = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in lists]
             rows = []
-            for i, (text, edits) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                text = text or ""
-                clean, at = [], 0
-                for e in sorted((e for e in edits or () if e and e["start"] is not None), key=lambda e: (e["start"], e["end"] or e["start"])):
-                    a = min(max(e["start"], at), len(text))
-                    b = min(max(e["end"] if e["end"] is not None else a, a), len(text))
-                    clean.append((a, b, e["text"] or ""))
-                    at = b
-                rows.append((text, *(v[o[i] : o[i + 1]].astype(np.int64) for v, o in flat), clean))
-            texts, lengths, trees, encoded = ([*x] for x in zip(*counter.edit(rows), strict=True))
-            before = pa.array([int(v[o[i] + 1]) if o[i + 1] - o[i] > 1 else 0 for v, o in flat[1:] for i in range(batch.num_rows)], pa.int64())
-            after = pa.array([int(t[1]) if len(t) > 1 else 0 for t in trees], pa.int64())
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([x.astype(np.int32) for x in lengths], kind), pa.array([x.astype(np.int32) for x in trees], kind), before, after, pa.array(encoded, pa.int64())], names=["doc_id", "text", "lengths", "tree", "n_tokens_before", "n_tokens", "n_encoded"])
+            for text, chars, counts, edits in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                document = Document(*(np.frombuffer(x, "<i4").astype(np.int64) for x in (chars, counts)))
+                rows.append((text or "", document, clean(edits, len(text or ""))))
+            before = [int(d.tokens[1]) for _, d, _ in rows]
+            texts, encoded = zip(*counter.edit(rows), strict=True)
+            trees = [pa.array([_binary(x) for x in trees], pa.binary()) for trees in ([d.chars for _, d, _ in rows], [d.tokens for _, d, _ in rows])]
+            after = [int(d.tokens[1]) for _, d, _ in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *trees, *(pa.array(x, pa.int64()) for x in (before, after, encoded))], names=["doc_id", "text", "chars", "tree", "n_tokens_before", "n_tokens", "n_encoded"])
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """doc_id, text, the columns of keep, lengths (pre-tokens, in characters), tree (segment tree of token counts), n_tokens.
+    """doc_id, text, the columns of keep, chars and tree, n_tokens: segment trees of each text's pre-tokens.
 
-    Save it as a table, and give it with edits to apply_edits. Null text: empty, with no pre-token and 0 tokens. Rows stay
-    row by row, whatever their ids; columns not in keep are ignored; an empty table gives no rows.
+    chars and tree are binary, 32-bit little-endian numbers: characters and tokens of the pre-tokens, sums above them. Save
+    them as a table, and give it with edits to apply_edits. Null text: empty, with no pre-token and 0 tokens. Rows stay row
+    by row, whatever their ids; columns not in keep are ignored, and one of keep that has a name of these columns raises; an
+    empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(keep or []))
+    keep = keep or []
+    if clash := {c.lower() for c in keep} & {"doc_id", "text", "chars", "tree", "n_tokens"}:
+        raise ValueError(f"names of the trees' own columns: {sorted(clash)}")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(f"`{c}`") for c in keep))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(functools.partial(_build, path=path or tokens.default_path()), f"{ddl}, lengths array<int>, tree array<int>, n_tokens long")
+    return source.mapInArrow(functools.partial(_build, path=path or tokens.default_path()), f"{ddl}, chars binary, tree binary, n_tokens long")
 
 
 def apply_edits(trees: DataFrame, edits_col: str = "edits", path: str | None = None) -> DataFrame:
-    """The trees after each row's edits: doc_id, text, lengths, tree, n_tokens_before, n_tokens, n_encoded (pre-tokens encoded anew).
+    """The trees after each row's edits: doc_id, text, chars, tree, n_tokens_before, n_tokens, n_encoded (pre-tokens encoded anew).
 
     edits: array<struct<start, end, text>>, in characters of the old text. They are taken in the order of their starts;
     one that overlaps the one before begins at its end; bounds beyond the text are moved to it; null arrays, edits and starts
     change nothing, a null end inserts, a null text deletes. Only the pre-tokens near an edit are split and encoded again,
-    up to the first old boundary behind it; sums above them are renewed, and the rest of the tree stays. The counts are those
-    of encoding the new text as a whole.
+    up to the first old boundary behind it. Each of them becomes a leaf of its own, in free places of the tree (if there are
+    none left near it, leaves around are dealt anew, without encoding), and sums above are renewed. So any number of edits,
+    one after another, costs as little as the first. The counts are those of encoding the new text as a whole.
     """
-    source = trees.select("doc_id", "text", "lengths", "tree", F.col(edits_col).cast(EDITS).alias("edits"))
+    source = trees.select("doc_id", "text", "chars", "tree", F.col(edits_col).cast(EDITS).alias("edits"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(functools.partial(_edit, path=path or tokens.default_path()), f"doc_id {kind}, text string, lengths array<int>, tree array<int>, n_tokens_before long, n_tokens long, n_encoded long")
+    return source.mapInArrow(functools.partial(_edit, path=path or tokens.default_path()), f"doc_id {kind}, text string, chars binary, tree binary, n_tokens_before long, n_tokens long, n_encoded long")
