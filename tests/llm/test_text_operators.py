@@ -123,6 +123,21 @@ def test_sharding(docs, none, spark):
     assert "Arrow" not in names
 
 
+def test_sharding_of_an_input_that_changes_when_read_again(spark):
+    """Slots are gapless and no row repeats, though the input's values and order are new each time that it is computed."""
+    df = spark.range(2000, numPartitions=7).select(F.col("id").alias("doc_id"), F.expr("uuid()").alias("text")).orderBy(F.rand())
+    rows = sharding.shard(df, bucket_bytes=20_000).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(2000))
+    assert {(r["shard"], r["slot"]) for r in rows} == {(i % 8, i // 8) for i in range(2000)}
+
+
+def test_sharding_of_equal_rows_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "same")] * 3000 + [(2, "x" * 3_000_000), (None, None)], "doc_id long, text string")
+    rows = sharding.shard(df, bucket_bytes=100_000).collect()
+    assert {(r["shard"], r["slot"]) for r in rows} == {(i % 8, i // 8) for i in range(3002)}
+    assert max(len(r["text"] or "") for r in rows) == 3_000_000
+
+
 def test_counts(docs, none):
     edits = F.array(*[F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("end"), F.lit(t).alias("text")) for a, b, t in ((2, 5, "'s"), (0, 0, "<|end"), (7, None, "x y"), (4, 6, ""), (10**6, 10**6, "!"), (None, 3, "no"))])
     trees = counts.build_trees(docs.withColumn("edits", edits), keep=["edits"])

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARDS, SEED, BUCKET_BYTES = 8, 20240601, 8 << 20
+from voxmeter.llm.common import byte_size, materialize
+
+SHARDS, SEED, BUCKET_BYTES = 8, 20240601, 16 << 20
 #: Prefix sums over buckets go through groups of so many, so that no single task gets a row for each bucket.
 GROUP = 4096
+#: Tasks of the second pass at most; beyond them a task takes several buckets, one after another.
+MOST_TASKS = 1 << 15
 
 
 def prefix_sums(counts: DataFrame, key: str, value: str) -> DataFrame:
@@ -25,23 +29,24 @@ def prefix_sums(counts: DataFrame, key: str, value: str) -> DataFrame:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of docs, with shard (int) and slot (long, gapless from 0 in the shard): a seeded global shuffle.
 
-    Law `rows`: the shards' row counts are at most one apart. Pass 1 deals rows to buckets of about bucket_bytes by a
-    seeded hash; pass 2 sorts each bucket by another hash (so the outcome doesn't follow arrival order) and shuffles it by
-    Fisher-Yates (Spark's shuffle()). Columns of docs named shard or slot give way to the new ones. A row's place in all buckets together, mod `shards`, is its shard, the quotient its
-    slot. Hash and order use id, text and all other columns, and the row's own number where whole rows repeat, so neither
-    one source nor one text nor one id fills a bucket. Null text has no bytes; null ids are hashed as nulls; an empty table
-    gives no rows. A bucket holds no more than its share of rows plus one very long row.
+    Law `rows`: the shards' row counts are at most one apart. Pass 1 deals every row once, by a seeded hash of its id and
+    its own number in the input, and writes it with that hash; so rows of one source, text or id, and equal rows, are spread
+    alike, and the deal stays as it is even if the input would come in another order when read again. Pass 2 gathers buckets
+    of about bucket_bytes (all columns counted), sorts each by another hash, and shuffles it by Fisher-Yates (Spark's
+    shuffle()). A row's place in all buckets together, mod `shards`, is its shard, the quotient its slot. The outcome follows
+    from the seed and the layout of the input. Columns of docs named shard or slot give way to the new ones. Null text has no
+    bytes; null ids are hashed as nulls; an empty table gives no rows. A bucket holds no more than its share of rows plus one
+    very long row.
     """
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
-    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("bytes"))
-    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 64)).first()[0] or 0
+    rows = docs.select(F.struct(*own).alias("row"), F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()).alias("h"))
+    dealt = materialize(rows, "dealt")
+    total = dealt.agg(F.sum(byte_size(F.col("row"), dealt.schema["row"].dataType) + 32)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    # The row's own number spreads repeated ids; it is fixed for a given layout of the input.
-    number = F.monotonically_increasing_id()
-    keyed = rows.select("row", F.xxhash64(F.lit(seed), "id", number).alias("h"))
-    dealt = keyed.select("row", F.xxhash64(F.lit(seed + 1), "h").alias("order"), F.pmod(F.col("h"), F.lit(buckets)).alias("bucket"))
-    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    gathered = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("order", "row"))).alias("rows")) if _sortable(docs) else dealt.groupBy("bucket").agg(F.collect_list(F.struct("order", "row")).alias("rows"))
+    keyed = dealt.select(F.pmod("h", F.lit(buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), "h").alias("order"), "row")
+    counts = dealt.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    item = F.collect_list(F.struct("order", "row"))
+    gathered = keyed.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").agg((F.array_sort(item) if _sortable(docs) else item).alias("rows"))
     shuffled = gathered.join(prefix_sums(counts, "bucket", "n"), "bucket").select("before", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "item"))
     place = F.col("before") + F.col("at")
     return shuffled.select("item.row.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
