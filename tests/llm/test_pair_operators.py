@@ -178,7 +178,48 @@ def test_top_k(spark):
     huge = spark.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [1e6, 2.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in embeddings.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(i, 1024000000**2 + 3072 * 1024 * i) for i in (2, 1)]
     assert embeddings.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") == 0).count() == 0
-    assert embeddings.top_k(df, F.col("vec_id") % 100 == 0, k=7, chunk=3).count() == sum(map(len, want.values()))
+    assert embeddings.top_k(df, F.col("vec_id") % 100 == 0, k=7, broadcast_bytes=1000).count() == sum(map(len, want.values()))
+
+
+def test_top_k_of_vectors_that_many_rows_share_and_of_huge_ones(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(i, [-1.0, float(i)]) for i in range(500, 700)] + [(3, [9.0, 9.0]), (950, [5e12, 0.0]), (901, [0.0, 1e-3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings.top_k(df, F.col("vec_id") % 100 == 0, k=4).collect()
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for q in (0, 100, 600):
+        own = next(v for i, v in whole if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in whole if i != q)[:4]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    with pytest.raises(Exception, match="fit a long"):
+        embeddings.top_k(spark.createDataFrame([(0, [1e16, 0.0]), (1, [1e16, 0.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("bits", [7, 20])
+def test_embedding_links_with_codes_of_many_bits(spark, monkeypatch, bits):
+    """Recall at the bits and tables that 65 thousand and 500 million rows get, of pairs right above the threshold."""
+    rng = np.random.default_rng(bits)
+    base = rng.normal(size=(500, 64))
+    rows = []
+    for i, v in enumerate(base):
+        v = v / np.linalg.norm(v)
+        side = rng.normal(size=64)
+        side -= side @ v * v
+        cos = 0.9801 + 0.004 * rng.random()
+        other = cos * v + (1 - cos**2) ** 0.5 * side / np.linalg.norm(side)
+        rows += [(2 * i, v.tolist(), 0), (2 * i + 1, other.tolist(), 0)]
+    monkeypatch.setattr(embeddings, "BUCKET", len(rows) / 2**bits)
+    assert embeddings.plan_tables(len(rows), 0.98)[0] == bits
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(out[2 * i + 1]["component_id"] == 2 * i for i in range(500))
+    assert found >= 499
+
+
+def test_bits_apart_cover_the_threshold():
+    rng = np.random.default_rng(1)
+    p = np.arccos(0.98) / np.pi
+    for n in (32, 84, 840):
+        assert (rng.binomial(n, p, 200_000) > embeddings.most_apart(n, 0.98)).mean() < 1e-5
+        assert embeddings.most_apart(n, 0.98) < n * 0.4
 
 
 def test_passages(spark):
