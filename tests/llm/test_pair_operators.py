@@ -287,6 +287,32 @@ def test_passages_that_repeat_a_phrase(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"]) for r in passages.passages(df).collect()} == want
 
 
+def test_ends_of_passages_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        before, behind = (np.append(0, np.cumsum(rng.random(rng.integers(0, 40)) < 0.7)) for _ in range(2))
+        length = int(rng.integers(1, 30))
+        equal = int(rng.integers(int(0.8 * length), length + 1)) if rng.random() < 0.8 else length
+        ends = [[k for k in range(len(g)) if not k or g[k] > g[k - 1]] for g in (before, behind)]
+        fits = [a + b for a in ends[0] for b in ends[1] if before[a] + behind[b] + equal >= passages.SIMILAR * (length + a + b) - 1e-9]
+        a, b = passages.longest(before, behind, equal, length)
+        assert a + b == max(fits, default=0)
+
+
+def test_passages_with_ends_longer_than_any_window():
+    """One anchor in 3000 words of which every fifth differs: the passage reaches from end to end."""
+    x = np.arange(3000, dtype=np.uint32)
+    y = np.where(np.arange(3000) % 6 == 5, x + 100_000, x).astype(np.uint32)
+    assert passages.align(x, y, [(1500, 1500, 5)]) == [(0, 2999, 0, 2999)]
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d", 1, 2, 3, 4), (None, "x", 1, 2, 3, 4)], "doc_id long, text string, _row int, spans int, _before int, row int")
+    found = spark.createDataFrame([(1, 1, 3)], "doc_id long, start_word long, end_word long")
+    out = passages.remove(df, found).orderBy("text").collect()
+    assert [tuple(r) for r in out] == [(1, "a  d", 1, 2, 3, 4), (None, "x", 1, 2, 3, 4)]
+
+
 def test_chains_by_brute_force():
     """The Fenwick sweep finds as good a chain as trying every predecessor."""
     rng = random.Random(6)

@@ -267,6 +267,23 @@ def grown(x: np.ndarray, y: np.ndarray, far: bool) -> np.ndarray:
     return np.append(0, np.cumsum(same[: stop[0] if len(stop) else n]))
 
 
+def longest(before: np.ndarray, behind: np.ndarray, equal: int, length: int) -> tuple[int, int]:
+    """The lengths of two ends that together are the longest which leave an equal share of SIMILAR, each ending in an equal word.
+
+    before and behind: equal words of each length of either end. What an end has above the share pays for the other one: for
+    each length of the one, the longest of the other that it can pay for is found by search, so ends may be of any length.
+    """
+    ends = [np.flatnonzero(np.append(True, np.diff(g) > 0)) for g in (before, behind)]
+    spare = [g[e] - SIMILAR * e for g, e in zip((before, behind), ends, strict=True)]
+    # The most that this length of the end behind, or a longer one, has to spare: never rising.
+    most = np.maximum.accumulate(spare[1][::-1])[::-1]
+    need = SIMILAR * length - equal - spare[0] - 1e-9
+    at = np.searchsorted(-most, -need, "right") - 1
+    reach = np.where(at >= 0, ends[0] + ends[1][np.maximum(at, 0)], -1)
+    best = int(reach.argmax())
+    return (0, 0) if reach[best] < 0 else (int(ends[0][best]), int(ends[1][at[best]]))
+
+
 def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
     """Passages (begin and end in x, begin and end in y) along the chain whose words are equal in a share of SIMILAR at least."""
     out = []
@@ -296,18 +313,13 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], least
             p, q, r, s = int(bx[i]), int(ex[j]), int(by[i]), int(ey[j])
             low = (int(ex[i - 1]), int(ey[i - 1])) if i else (0, 0)
             top = (int(bx[j + 1]), int(by[j + 1])) if j + 1 < hi - lo else (len(x), len(y))
-            before, behind = (x[max(low[0], p - 400) : p][::-1], y[max(low[1], r - 400) : r][::-1]), (x[q : min(top[0], q + 400)], y[s : min(top[1], s + 400)])
+            before, behind = (x[low[0] : p][::-1], y[low[1] : r][::-1]), (x[q : top[0]], y[s : top[1]])
             # Of both ends together the most that leaves the share; ends that match badly only where the passage needs them.
             for far in (False, True):
-                e, f = grown(*before, far), grown(*behind, far)
-                equal = int(total[j] - total[i] + own[i]) + e[:, None] + f[None, :]
-                reach = np.arange(len(e))[:, None] + np.arange(len(f))[None, :]
-                ends = np.append(True, np.diff(e) > 0)[:, None] & np.append(True, np.diff(f) > 0)[None, :]
-                fit = ends & (equal >= SIMILAR * (max(q - p, s - r) + reach))
-                a, b = np.unravel_index(int(np.where(fit, reach, -1).argmax()), reach.shape)
+                a, b = longest(grown(*before, far), grown(*behind, far), int(total[j] - total[i] + own[i]), max(q - p, s - r))
                 if q - p + a + b >= least:
                     break
-            out.append((p - int(a), q + int(b), r - int(a), s + int(b)))
+            out.append((p - a, q + b, r - a, s + b))
             todo += [(lo, lo + i), (lo + j + 1, hi)]
 
     bx, by, n = chain[0]
@@ -430,23 +442,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the passages of `found` cut from their texts; the first document that has a passage keeps it. All columns stay.
 
-    Rows without a passage, null ids and null texts stay as they are; a document that consists of passages keeps its row
+    Columns keep their names, whatever these are. Rows without a passage, null ids and null texts stay as they are; a document that consists of passages keeps its row
     with what is left, white space or an empty text.
     """
     spans = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")), "spans")
-    place = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_row")
-    marked = join_small(place, spans, "doc_id", "left")
-    plain = marked.where("spans is null").select("_row.*")
-    kind = docs.schema
-    texts = marked.where("spans is not null").select(F.struct("doc_id", "_row").alias("key"), "text", "spans")
-    done = texts.mapInArrow(_cut_rows, f"row struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in kind)}>, cut string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = join_small(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), spans, "doc_id", "left")
+    plain = marked.where("spans is null").select("row.*")
+    texts = marked.where("spans is not null").select(F.struct("doc_id", "row").alias("key"), "text", "spans")
+    done = texts.mapInArrow(_cut_rows, f"row struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in docs.schema)}>, cut string")
     out = done.select(*[F.col("cut").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return plain.unionByName(out)
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = batch.column(0).field("_row")
+        held = batch.column(0).field("row")
         part = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1), batch.column(2)], names=["doc_id", "text", "spans"])
         texts = [t for x in _cut(iter([part])) for t in x.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([held, pa.array(texts, pa.string())], names=["row", "cut"])
