@@ -45,12 +45,16 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     No document goes: one that consists of such passages stays with what is left, an empty text or white space.
     """
     found = passages.passages(docs)
-    marked = docs.withColumn("_before", F.col("text"))
-    left = passages.remove(marked, found)
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return passages.remove(docs, found)
+    # The text as it was rides along under a name that no column has.
+    before = "before"
+    while before in {c.lower() for c in docs.columns}:
+        before += "_"
+    left = passages.remove(docs.withColumn(before, F.col("text")), found)
+    changed = ~F.col("text").eqNullSafe(F.col(before))
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
