@@ -67,11 +67,33 @@ def test_parsers(spark):
 def test_digits_and_names(spark):
     for t, want in (("25度", "二十五度"), ("50%", "百分之五十"), ("14.55", "十四点五十五"), ("7.05", "七点零五"), ("916213", "916213"), ("105", "一百零五"), ("110", "一百一十"), (None, None)):
         assert one(spark, text.spell_digits(F.lit(t).cast("string"))) == want
+    for t, want in (("1000%", "百分之一千"), ("14.55%", "十四.百分之五十五"), ("10005%", "百分之一万零五"), ("100500%", "百分之十万零五百"), ("1.2.3", "一点二.三"), ("123.45", "一百二十三.四十五"), ("007", "七"), ("12:00", "十二:零"), ("第10个", "第十个"), ("20010000%", "百分之二千零一万")):
+        assert one(spark, text.spell_digits(F.lit(t))) == want
+    for t, want in (("１２度", "十二度".replace("十", "一十")), ("105", "一百五"), ("3.14", "三点一四"), ("0.5", "零点五"), ("x", "x")):
+        assert one(spark, text.read_digits(F.lit(t))) == want
+    assert one(spark, text.submitted(F.lit("開25度轻干喜"), "開", "开", {"洗": "xi3", "喜": "xi3"})) == "开二十五度轻干洗"
     sounds = {"洗": "xi3", "喜": "xi3", "系": "xi4"}
     assert one(spark, text.fix_homophones(F.lit("打开轻干喜"), sounds)) == "打开轻干洗"
     assert one(spark, text.fix_homophones(F.lit("打开轻干系"), sounds)) == "打开轻干系"
 
 
+def test_corrections_and_classes(spark):
+    better = F.map_from_entries(F.array(F.struct(F.lit("条").alias("k"), F.array(F.struct(F.lit("调").alias("char"), F.lit(5).cast("long").alias("n")), F.struct(F.lit("挑").alias("char"), F.lit(2).cast("long").alias("n"))).alias("v"))))
+    assert one(spark, text.apply_replacements(F.lit("空条一条"), better)) == "空调一调"
+    assert one(spark, text.apply_replacements(F.lit("空条一条"), better, F.array(F.lit("空调"), F.lit("一挑")))) == "空调一挑"
+    op = lambda o, a, b: F.struct(F.lit(o).alias("op"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    for e, want in ((("sub", "2", "二"), "数字错误"), (("del", "二", ""), "数字错误"), (("ins", "", "a"), "英文品牌名"), (("sub", "喜", "洗"), "同音字"), (("sub", "系", "洗"), "近音字"), (("sub", "二", "洗"), "近音字"), (("del", "开", ""), "删字"), (("ins", "", "开"), "增字")):
+        assert one(spark, text.edit_class(op(*e), {"喜": "xi", "洗": "xi"})) == want
+    kinds = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    assert one(spark, text.row_class(F.lit("打开空调"), F.lit("打开空条"), F.lit(0.25), kinds("同音字"))) == "同音字"
+    assert one(spark, text.row_class(F.lit("打开空调"), F.lit("打开空调"), F.lit(0.0), kinds())) == "标点"
+    assert one(spark, text.row_class(F.lit("打开空调"), F.lit("关上电视"), F.lit(1.0), kinds("近音字"))) == "完全幻觉"
+    assert one(spark, text.row_class(F.lit("打开空调吧"), F.lit("打开空条"), F.lit(0.4), kinds("删字", "近音字"))) == "近音字"
+    assert one(spark, text.drifted(F.lit("turn on 灯"))) is True
+    assert one(spark, text.retried(F.lit("turn on 灯"), F.lit("打开 灯"))) == "打开 灯"
+    assert one(spark, text.retried(F.lit("打开灯"), F.lit("on"))) == "打开灯"
+
+
 def test_edit_script(spark):
     ops = one(spark, text.edit_script(F.lit("kitten"), F.lit("sitting")))
     assert [(o["op"], o["a"], o["b"]) for o in ops] == [("sub", "k", "s"), ("sub", "e", "i"), ("ins", "", "g")]

@@ -60,6 +60,20 @@ def test_threshold_fit(spark):
     assert folds == {"s": (float("-inf"), 10), "t": (0.2, 3)}
 
 
+def test_leave_one_out_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    data = [(rng.choice("abcde"), rng.choice([None, *map(float, range(12))]), rng.randint(0, 9), rng.randint(0, 9)) for _ in range(150)] + [("z", None, 3, 4), ("y", 40.0, 9, 0), ("y", 41.0, 9, 0)]
+    got = {r[0]: (r[1], r[2]) for r in rows(stats.leave_one_out(spark.createDataFrame(data, "g string, f double, raw int, enh int"), "g", "f", "raw", "enh"))}
+    for g in {x[0] for x in data}:
+        rest = [x for x in data if x[0] != g]
+        score = lambda some, t: sum(e if f is not None and f <= t else r for _, f, r, e in some)
+        fits = [(score(rest, t), sum(x[1] is not None and x[1] <= t for x in rest), t) for t in {float("-inf"), *(float(x[1]) for x in rest if x[1] is not None)}]
+        thr = min(fits)[2]
+        assert got[g] == (thr, score([x for x in data if x[0] == g], thr)), g
+
+
 def test_sweep_and_policies(spark):
     df = spark.createDataFrame([(0.1, 0.2, False, 2, 10), (0.6, 0.0, False, 0, 10), (0.2, 0.0, True, 0, 5), (0.7, 1.0, True, 5, 5)], "sim double, cer double, neg boolean, e int, n int")
     got = {round(r["thr"], 2): r for r in sweep.threshold_sweep(df, sweep.grid(df, 0.0, 0.5, 3), "sim", "cer", "neg").collect()}
@@ -115,8 +129,8 @@ def test_model_seam(spark):
 
         return model
 
-    out = seams.apply_model(spark.range(4).coalesce(1), make, "id long, text string")
-    assert [r[0] for r in rows(out, "id")] == [0, 1, 3]
+    out = seams.apply_model(spark.range(4).coalesce(1), make, "id long, text string", key="id")
+    assert rows(out, "id") == [(0, "t", None), (1, "t", None), (2, None, "ValueError: out of memory"), (3, "t", None)]
 
 
 def test_bootstrap_holds_the_delta(spark):

@@ -73,3 +73,16 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         sinks.json_lines(man, str(tmp_path / "o"))
     sinks.csv_table(man, str(tmp_path / "t"))
+
+
+def test_submission_summary_and_marked_tables(spark, tmp_path):
+    man = spark.createDataFrame([(1, "打开", 1.5), (2, "", 0.5), (3, "关灯", 1.0), (4, None, 2.0)], "id int, ref string, infer_sec double")
+    sub = spark.createDataFrame([(1, "accept", "打开"), (2, "accept", "x"), (3, "reject", ""), (4, "reject", "")], "id int, label string, text string")
+    assert rows(sinks.submission_summary(sub, man)) == [(0.5, 0.5, 5.0)]
+    assert rows(sinks.submission_summary(sub, man, wall=9.0, infer=3.0)) == [(0.5, 0.5, 9.0)]
+    assert rows(sinks.submission_summary(sub, man, given=1.0, wall=9.0)) == [(0.5, 0.5, 1.0)]
+    assert rows(sinks.submission_summary(sub, man, wall=0.0, infer=3.0))[0][2] == 3.0
+    assert rows(sinks.submission_summary(sub.where("id = 1"), man)) == [(0.0, None, 1.5)]
+    sinks.csv_table(man.coalesce(1), str(tmp_path / "m"), mark=True)
+    (part,) = (tmp_path / "m").glob("part-*")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,ref")

@@ -6,22 +6,30 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
-def apply_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """make() loads the model once for each task; the callable gets batches. A batch that fails runs row by row, and a row
-    that fails gives no row; join with the input to see which."""
+def apply_model(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, key: str | None = None) -> DataFrame:
+    """make() loads the model once for each task; the callable gets batches. A batch that fails runs row by row.
+
+    schema: the model's columns. A column `error` is added: null where the model gave a row. A row that fails gives one with
+    its key (if a key column is named), nulls, and the error's text, so no row of the input is lost.
+    """
+    fields = T._parse_datatype_string(schema)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
             try:
-                yield model(batch)
+                yield model(batch)[names].assign(error=None)
             except Exception:  # noqa: BLE001  a model's failure on a batch is expected, and tried row by row
                 for i in range(len(batch)):
+                    row = batch.iloc[i : i + 1]
                     try:
-                        yield model(batch.iloc[i : i + 1])
-                    except Exception:  # noqa: BLE001
-                        continue
+                        yield model(row)[names].assign(error=None)
+                    except Exception as e:  # noqa: BLE001
+                        empty = {n: [row[key].iloc[0] if n == key else None] for n in names}
+                        yield pd.DataFrame({**empty, "error": [f"{type(e).__name__}: {e}"[:1000]]}, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, T.StructType([*fields, T.StructField("error", T.StringType())]))

@@ -69,24 +69,98 @@ def fit_threshold(df: DataFrame, feature: str, raw: str, enhanced: str) -> DataF
 def leave_one_out(df: DataFrame, group: str, feature: str, raw: str, enhanced: str) -> DataFrame:
     """group, thr, errors: the threshold fitted on all other groups, and this group's errors by it.
 
-    All candidate thresholds' sums over all rows, less the group's own, give each fold; groups never meet each other's rows.
+    All rows' cumulative sums by threshold, less the group's own, are each fold's errors. Between two of the group's own
+    values its own sums stay, so the best threshold there is the best of all rows' sums: each such stretch is a few nodes of
+    a binary tree of minima over the thresholds, and meets just these by equal keys. No group meets every threshold.
     """
     e, r = F.col(enhanced), F.col(raw)
     known = df.where(F.col(feature).isNotNull())
     total = df.agg(F.sum(r).alias("base"))
     own = df.groupBy(group).agg(F.sum(r).alias("own_base"))
-    every = cumulative(known, feature, {"d": F.sum(e - r), "n": F.count(F.lit(1))}).select(F.col(feature).alias("thr"), F.col("d_upto").alias("d"), F.col("n_upto").alias("n"), F.col("n").alias("here"))
-    mine = known.groupBy(group, F.col(feature).alias("thr")).agg(F.sum(e - r).alias("md"), F.count(F.lit(1)).alias("mn"))
-    cross = own.select(group, "own_base").crossJoin(every)
-    by = Window.partitionBy(group).orderBy("thr")
-    told = cross.join(mine, [group, "thr"], "left").withColumns({"ud": F.sum(F.coalesce("md", F.lit(0))).over(by), "un": F.sum(F.coalesce("mn", F.lit(0))).over(by)})
+    every = cumulative(known, feature, {"d": F.sum(e - r), "n": F.count(F.lit(1)), "k": F.max(F.lit(1).cast("long"))})
+    # Thresholds are numbered from 0; a node of level l holds 2^l of them.
+    every = every.select(F.col(feature).alias("thr"), (F.col("k_upto") - 1).alias("at"), F.col("k_all").alias("all"), F.col("n").alias("here"), F.struct(F.col("d_upto").alias("d"), F.col("n_upto").alias("n"), F.col(feature).alias("thr")).alias("best"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("all") + 1)).cast("int"))
+    tree = every.select("best", "at", F.explode(levels).alias("level")).groupBy("level", F.expr("shiftright(at, level)").alias("node")).agg(F.min("best").alias("best"))
+    mine = known.groupBy(group, F.col(feature).alias("thr")).agg(F.sum(e - r).alias("md"), F.count(F.lit(1)).alias("mn")).join(every.select("thr", "at", "all", "here"), "thr")
+    by = Window.partitionBy(group).orderBy("at")
     # A value that only this group has is no candidate of its fold.
-    fold = told.where(F.col("here") > F.coalesce("mn", F.lit(0))).crossJoin(F.broadcast(total)).select(group, "thr", (F.col("base") - F.col("own_base") + F.col("d") - F.col("ud")).alias("errors"), (F.col("n") - F.col("un")).alias("accepted"))
+    stretch = F.struct(F.when(F.col("here") > F.col("mn"), F.col("at")).otherwise(F.col("at") + 1).alias("lo"), F.coalesce(F.lead("at").over(by), F.col("all")).alias("hi"), F.sum("md").over(by).alias("ud"), F.sum("mn").over(by).alias("un"))
+    first = F.struct(F.lit(0).cast("long").alias("lo"), F.when(F.row_number().over(by) == 1, F.col("at")).otherwise(0).cast("long").alias("hi"), (F.sum("md").over(by) * 0).alias("ud"), (F.sum("mn").over(by) * 0).alias("un"))
+    parts = mine.select(group, first.alias("_a"), stretch.alias("_b")).select(group, F.inline(F.array("_a", "_b")))
+    alone = own.join(known.select(group).distinct(), group, "left_anti").crossJoin(F.broadcast(every.agg(F.max("all").alias("hi")))).where("hi is not null")
+    parts = parts.unionByName(alone.select(group, F.lit(0).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.lit(0).cast("long").alias("ud"), F.lit(0).cast("long").alias("un"))).where("lo < hi")
+
+    def climb(a: Column, level: Column) -> Column:
+        low, high = a["lo"], a["hi"]
+        open_ = low < high
+        left, right = open_ & (low % 2 == 1), open_ & (high % 2 == 1)
+        node = lambda place: F.array(F.struct(level.alias("level"), place.alias("node")))
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        some = F.concat(a["nodes"], F.when(left, node(low)).otherwise(none), F.when(right & (high - 1 >= low + left.cast("long")), node(high - 1)).otherwise(none))
+        lo, hi = F.floor((low + left.cast("long")) / 2), F.floor((high - right.cast("long")) / 2)
+        return F.struct(lo.cast("long").alias("lo"), F.when(open_, hi).otherwise(lo).cast("long").alias("hi"), some.alias("nodes"))
+
+    start = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, climb, lambda a: a["nodes"])
+    met = parts.select(group, "ud", "un", F.inline(nodes)).join(tree, ["level", "node"])
+    fold = met.join(own, group).crossJoin(F.broadcast(total)).select(group, F.col("best.thr").alias("thr"), (F.col("base") - F.col("own_base") + F.col("best.d") - F.col("ud")).alias("errors"), (F.col("best.n") - F.col("un")).alias("accepted"))
     none = own.crossJoin(F.broadcast(total)).select(group, F.lit(float("-inf")).alias("thr"), (F.col("base") - F.col("own_base")).alias("errors"), F.lit(0).cast("long").alias("accepted"))
     fits = _fit(fold.unionByName(none), [group]).select(group, "thr")
     return df.join(fits, group).groupBy(group, "thr").agg(F.sum(F.when(F.col(feature) <= F.col("thr"), e).otherwise(r)).alias("errors"))
 
 
+def bootstrap_threshold(df: DataFrame, key: str, sim: str, rate: str, negative: str, thresholds: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """replicate, thr: the best threshold of each bootstrap replicate (the smallest of equal ones), by Poisson weights of keys.
+
+    Facts are summed by replicate and similarity first, so thresholds, a checked grid, meet those sums.
+    """
+    from voxmeter.operators.sweep import CER_LEG, REJECT_LEG
+
+    pos, w, e = ~F.col(negative), F.col("w"), F.col(rate)
+    facts = poisson_weights(df, key, replicates, seed).groupBy("replicate", F.col(sim).alias("s")).agg(
+        F.sum(F.when(pos, w).otherwise(0)).alias("p"), F.sum(F.when(pos, w * e).otherwise(0.0)).alias("e"), F.sum(F.when(pos, 0).otherwise(w)).alias("n"))
+    met = facts.crossJoin(F.broadcast(thresholds)).withColumn("low", F.coalesce(F.col("s") < F.col("thr"), F.lit(True)))
+    cost = F.sum(F.when(F.col("low"), F.col("p").cast("double")).otherwise(F.col("e"))) / F.nullif(F.sum("p"), F.lit(0))
+    held = F.sum(F.when(F.col("low"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))
+    total = met.groupBy("replicate", "thr").agg(((1 - cost) * CER_LEG + held * REJECT_LEG).alias("total"))
+    return total.where("total is not null").groupBy("replicate").agg(F.max_by("thr", F.struct(F.bround("total", 9), -F.col("thr"))).alias("thr"))
+
+
+def bootstrap_means(df: DataFrame, cluster: str, value: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """replicate, mean: the mean of a value in each replicate of whole clusters; replicates without a row give none."""
+    sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("c"))
+    return poisson_weights(sums, cluster, replicates, seed).groupBy("replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum(F.col("w") * F.col("c"))).alias("mean"))
+
+
+def bootstrap_spearman(df: DataFrame, key: str, x: str, y: str, replicates: int = 20, seed: int = 42) -> DataFrame:
+    """replicate, rho: rank correlation of each replicate, with mean ranks by weighted counts of equal values."""
+    rows = poisson_weights(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, replicates, seed).groupBy("replicate", x, y).agg(F.sum("w").alias("w"))
+
+    def ranked(c: str, name: str) -> DataFrame:
+        each = rows.groupBy("replicate", c).agg(F.sum("w").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("replicate").orderBy(c))
+        return each.select("replicate", c, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+
+    w, a, b = F.col("w"), F.col("_a"), F.col("_b")
+    s = rows.join(ranked(x, "_a"), ["replicate", x]).join(ranked(y, "_b"), ["replicate", y]).groupBy("replicate").agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))
+    low = F.sqrt((F.col("n") * F.col("aa") - F.col("a") ** 2) * (F.col("n") * F.col("bb") - F.col("b") ** 2))
+    return s.select("replicate", ((F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.nullif(low, F.lit(0.0))).alias("rho"))
+
+
+def interval(replicates: DataFrame, value: str, wanted: int, share: float = 0.95) -> DataFrame:
+    """lo, hi, valid: the interval of a statistic over its replicates; null unless max(20, a tenth of those wanted) are valid."""
+    ok = F.count(value)
+    enough = ok >= max(20, wanted // 10)
+    at = lambda q: F.when(enough, F.percentile(value, F.lit(q)))
+    return replicates.agg(at((1 - share) / 2).alias("lo"), at((1 + share) / 2).alias("hi"), ok.alias("valid"))
+
+
+def fit_by_fold(df: DataFrame, k: int, feature: str, raw: str, enhanced: str) -> DataFrame:
+    """fold, thr, errors: for each fold (column fold) the threshold fitted on the others, and its errors by it."""
+    return leave_one_out(df.where(F.col("fold") < k), "fold", feature, raw, enhanced)
+
+
 def poisson_weights(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """The rows once for each replicate, with weight w: a Poisson(1) count by the MD5 of key, replicate and seed."""
     from voxmeter.functions.hashing import unit_hash

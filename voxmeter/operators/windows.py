@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def bounds_of(df: DataFrame, col: str, parts: int = 64) -> list[float]:
-    """At most parts - 1 boundaries that cut the column's values into about equal parts."""
+#: Rows of a range of values that one task sums up, and ranges at most: their boundaries are literals of a plan.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
+
+
+def bounds_of(df: DataFrame, col: str) -> list[float]:
+    """Boundaries that cut the column's values into about equal parts: as many as the rows call for."""
+    parts = min(MOST_RANGES, max(64, -(-df.count() // RANGE_ROWS)))
     got = df.agg(F.percentile_approx(col, [i / parts for i in range(1, parts)], 10000)).first()[0]
     return sorted(set(got or []))
 
 
+def _place(value: Column, edges: list[float]) -> Column:
+    """How many of the sorted edges are at or below the value: first among every 64th, then among the 64 behind it."""
+    if not edges:
+        return F.lit(0)
+    blocks = [edges[i : i + 64] for i in range(0, len(edges), 64)]
+    among = lambda some: F.size(F.filter(some, lambda x: x <= value))
+    block = among(F.array(*[F.lit(b[0]) for b in blocks])) - 1
+    held = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
+    return F.when(block < 0, 0).otherwise(block * 64 + among(F.get(held, block)))
+
+
 def cumulative(df: DataFrame, by: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """by, then for each sum its value at `by` (x), up to and with it (x_upto), and in all (x_all). Ties are one row.
 
@@ -20,12 +36,12 @@ def cumulative(df: DataFrame, by: str, sums: dict[str, Column], descending: bool
     """
     grouped = df.where(F.col(by).isNotNull()).groupBy(by).agg(*[c.alias(k) for k, c in sums.items()])
     edges = bounds_of(grouped, by)
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x <= F.col(by))) if edges else F.lit(0)
+    part = _place(F.col(by), edges)
     grouped = grouped.withColumn("_part", -part if descending else part)
     order = F.desc(by) if descending else F.asc(by)
     inside = Window.partitionBy("_part").orderBy(order)
     parts = grouped.groupBy("_part").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
-    # One row for each of at most 64 ranges goes through this window.
+    # One row for each range goes through this window.
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}_base") for k in sums], *[F.sum(f"_{k}").over(Window.partitionBy()).alias(f"{k}_all") for k in sums])
     told = grouped.withColumns({f"{k}_upto": F.sum(k).over(inside) for k in sums}).join(F.broadcast(parts), "_part")

@@ -31,10 +31,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local mode;
+    on a cluster this raises, as no local folder is shared."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxmeter-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="voxmeter-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
