@@ -23,6 +23,13 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.conv(F.substr(told, F.lit(1), F.lit(8)), 16, 10).cast("double") / 4294967296.0
 
 
+def text_seed(text: Column, seed: int) -> Column:
+    """Struct of high and low: the first eight bytes of a text's SHA-256 as two 32-bit numbers, the base seed in the low one."""
+    told = F.sha2(text, 256)
+    part = lambda at: F.conv(F.substr(told, F.lit(at), F.lit(8)), 16, 10).cast("long")
+    return F.struct(part(1).alias("high"), part(9).bitwiseXOR(F.lit(seed)).alias("low"))
+
+
 def pair_key(a: Column, b: Column) -> Column:
     """The two ids in order; an id with itself raises."""
     return F.when(a == b, F.raise_error(F.lit("a pair needs two ids"))).otherwise(F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))

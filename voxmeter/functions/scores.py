@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def linear_drop(v: Column, full_at: float, zero_at: float, full: float) -> Column:
@@ -64,3 +65,45 @@ def bucket(v: Column, bounds: list[float]) -> Column:
     for i in range(len(bounds) - 2, -1, -1):
         out = F.when((v >= bounds[i]) & (v < bounds[i + 1]), F.lit(i)).otherwise(out)
     return out
+
+
+def active(tags: Column, note: Column) -> Column:
+    """Whether an annotated row says anything: a tag, or a note that isn't blank."""
+    return (F.coalesce(F.size(tags), F.lit(0)) > 0) | (F.trim(F.coalesce(note, F.lit(""))) != "")
+
+
+def holds_marker(value: Column, marker: str) -> Column:
+    """Whether a struct, array or map holds the marker anywhere, in names or values."""
+    return F.contains(F.to_json(value), F.lit(marker))
+
+
+def nested_strings(value: Column, kind: T.DataType) -> Column:
+    """All strings in a nested value, in order; nulls are left out."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        out = F.array(value)
+    elif isinstance(kind, T.StructType):
+        out = F.concat(none, *[nested_strings(value[f.name], f.dataType) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        out = F.flatten(F.transform(value, lambda x: nested_strings(x, kind.elementType)))
+    elif isinstance(kind, T.MapType):
+        out = F.concat(nested_strings(F.map_keys(value), T.ArrayType(kind.keyType)), nested_strings(F.map_values(value), T.ArrayType(kind.valueType)))
+    else:
+        out = none
+    return F.filter(F.coalesce(out, none), lambda x: x.isNotNull())
+
+
+def break_even(positives: Column, negatives: Column) -> Column:
+    """The least precision at which taking rows back pays, by the weights of both sides."""
+    return 1 / (1 + 0.9 * negatives / positives)
+
+
+# What limits a bucket: too few rows, the audio, the recognizer, rather the recognizer, neither clearly.
+BOTTLENECKS = ["样本少", "切片瓶颈", "转写器瓶颈", "偏转写器", "混合/两难"]
+
+
+def bottleneck(strong: Column, base: Column, n: Column) -> Column:
+    """From mean rates of a strong and a base system."""
+    few, audio, recognizer, rather, mixed = map(F.lit, BOTTLENECKS)
+    far = base - strong > 0.15
+    return F.when(n < 10, few).when(strong > 0.5, audio).when(far, F.when(strong < 0.3, recognizer).otherwise(rather)).otherwise(mixed)

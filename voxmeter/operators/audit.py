@@ -49,3 +49,9 @@ def expect(df: DataFrame, message: str) -> None:
 
 def all_of(found: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
+
+
+def verify_digests(df: DataFrame, declared: DataFrame, key: str, content: str, digest: str) -> DataFrame:
+    """All rows with ok: whether the content's SHA-256 is the declared one; rows that nobody declared are not."""
+    both = df.join(declared.select(key, digest), key, "left")
+    return both.withColumn("ok", F.coalesce(F.sha2(F.col(content).cast("binary"), 256) == F.lower(digest), F.lit(False)))

@@ -78,3 +78,26 @@ def clusters(df: DataFrame, rec: str, vector: str, cutoff: float) -> DataFrame:
         return pd.DataFrame({rec: [pdf[rec].iloc[0]], "n": [len(x)], "clusters": [len(groups)]})
 
     return df.select(rec, vector).groupBy(rec).applyInPandas(run, f"{rec} {df.schema[rec].dataType.simpleString()}, n long, clusters long")
+
+
+def overlap_intervals(explicit: Column, unit: Column, single: Column, target: Column, other: Column, length: Column, total: int, rate: int) -> Column:
+    """array<struct<start, end>> in samples: the intervals told (in samples or seconds), else the single one, else from the
+    later of two beginnings for `length`; within the recording, empty ones left out, in order."""
+    scale = F.when(unit.isin("second", "seconds", "sec"), rate).otherwise(1)
+    told = F.transform(explicit, lambda x: F.struct(F.bround(x["start"] * scale).cast("long").alias("start"), F.bround(x["end"] * scale).cast("long").alias("end")))
+    begin = F.greatest(F.coalesce(target, F.lit(0)), F.coalesce(other, F.lit(0)))
+    computed = F.when(F.coalesce(length, F.lit(0)) > 0, F.array(F.struct(begin.cast("long").alias("start"), (begin + length).cast("long").alias("end"))))
+    one = F.when(single["start"].isNotNull(), F.array(F.struct(single["start"].cast("long").alias("start"), single["end"].cast("long").alias("end"))))
+    every = F.coalesce(told, one, computed, F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    clipped = F.transform(every, lambda x: F.struct(F.greatest(x["start"], F.lit(0)).alias("start"), F.least(x["end"], F.lit(total)).alias("end")))
+    return F.array_sort(F.filter(clipped, lambda x: x["end"] > x["start"]))
+
+
+def with_context(interval: Column, total: int, context: int) -> Column:
+    """The interval with context on both sides, within the recording."""
+    return F.struct(F.greatest(interval["start"] - context, F.lit(0)).alias("start"), F.least(interval["end"] + context, F.lit(total)).alias("end"))
+
+
+def target_seconds(own: Column, whole: Column, least: float = 0.3) -> Column:
+    """Seconds of a target's joined segments, or of the whole recording where they are less than `least`."""
+    return F.when(own >= least, own).otherwise(whole)

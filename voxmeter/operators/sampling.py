@@ -61,3 +61,10 @@ def replacement_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """Characters that stand for others in texts of equal length that differ in one place: wrong, right, n."""
     both = df.where(F.length(a) == F.length(b)).select(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] != p["y"]).alias("d"))
     return both.where(F.size("d") == 1).select(F.col("d")[0]["y"].alias("wrong"), F.col("d")[0]["x"].alias("right")).groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed(target: Column, other: Column, u: Column) -> Column:
+    """start, overlap, total of a second source put at a random place (u in [0, 1)) of a target, half of it past the end at most."""
+    start = u * F.greatest(target - other / 2, F.lit(0.0))
+    end = start + other
+    return F.struct(start.alias("start"), F.greatest(F.least(target, end) - start, F.lit(0.0)).alias("overlap"), F.greatest(target, end).alias("total"))

@@ -9,7 +9,7 @@ from voxmeter.functions import errors, scores, text
 from voxmeter.functions.hashing import md5_half
 from voxmeter.operators import aggregates as agg
 from voxmeter.operators import joins, stats, sweep, windows
-from voxmeter.plans.fixtures import UTT_SQL, read, utterances
+from voxmeter.plans.fixtures import UTT_SQL, read, utterances, weight_sql
 from voxmeter.plans.registry import query
 
 THR = 0.27
@@ -282,11 +282,20 @@ def text_features(spark, d):
     return utterances(spark, d).select("uid", r6(text.diversity(h), "diversity"), r6(text.jaccard(r, h), "jaccard"), r6(text.overlap(r, h), "overlap"), F.regexp_count(h, F.lit("[A-Za-z]")).alias("letters"))
 
 
-@query("t26_command_gate")
+@query("t26_command_gate", r"""WITH t AS (SELECT role, text, regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}\p{N}\p{Pc}]', '', 'g') AS s FROM conversations),
+p AS (SELECT role, text, len(list_filter(range(1, length(text)), lambda i: len(list_filter([2, 3, 4, 5, 6], lambda k: i + 3 * k - 1 <= length(text) AND substr(text, i, k) = substr(text, i + k, k) AND substr(text, i, k) = substr(text, i + 2 * k, k) AND NOT contains(substr(text, i, k), chr(10)))) > 0)) > 0 AS loop FROM t)
+SELECT role, coalesce(length(text) >= 4 AND loop, false) AS loop, count(*) AS n, count(*) FILTER (regexp_matches(text, '[\x{4e00}-\x{9fff}]')) AS chinese FROM p GROUP BY 1, 2""")
 def gate(spark, d):
-    """Conversations' turns by whether they could be commands, loop or repeat; regular expressions that SQL engines lack."""
+    """Conversations' turns by whether they loop, and how many could be commands at all: those with a Chinese character."""
     t = F.col("text")
-    return read(spark, d, "conversations").groupBy("role", text.is_command(t).alias("command"), text.is_loop(t).alias("loop")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(text.command_score(t) > 0, 1).otherwise(0)).alias("likely"))
+    return read(spark, d, "conversations").groupBy("role", F.coalesce(text.is_loop(t, marks=["\0"]), F.lit(False)).alias("loop")).agg(F.count(F.lit(1)).alias("n"), agg.count_if(text.cjk_count(text.or_empty(t)) > 0).alias("chinese"))
+
+
+@query("t26_commands", """SELECT p_size % 3 = 0 AS command, count(*) AS n, CASE p_size % 3 WHEN 0 THEN 5.5 WHEN 1 THEN -8.5 ELSE -5.0 END::DOUBLE AS score FROM part GROUP BY 1, 3""")
+def commands(spark, d):
+    """Texts by whether they are commands, with their scores: a command, news, and an empty one."""
+    t = F.element_at(F.array(*map(F.lit, ("打开空调", "中国市场同比增长", " "))), F.col("p_size") % 3 + 1)
+    return read(spark, d, "part").groupBy(text.is_command(t).alias("command"), text.command_score(t).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t35_verdicts", """SELECT event_type, CASE WHEN lower(event_type) = 'click' THEN 'accept' ELSE 'reject' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -366,10 +375,11 @@ def leave_one_out(spark, d):
     return stats.leave_one_out(utterances(spark, d), "spk", "sim", "err", "err_b")
 
 
-@query("m5_bootstrap_delta")
+@query("m5_bootstrap_delta", f"""WITH {UTT_SQL}, c AS (SELECT spk, sum(n) AS u, sum(err) AS b, sum(err_b) AS a FROM utt GROUP BY spk), w AS (SELECT *, {weight_sql('spk', 'replicate')} AS w FROM c, range(100) r(replicate)), x AS (SELECT replicate, (sum(w * a) - sum(w * b)) / sum(w * u) AS d FROM w WHERE w > 0 GROUP BY replicate)
+SELECT (SELECT round((sum(a) - sum(b)) / sum(u), 6) FROM c) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM x""")
 def bootstrap(spark, d):
     """Confidence interval of the change between two systems, by speaker clusters."""
-    return stats.bootstrap_delta(utterances(spark, d), "spk", "n", "err", "err_b")
+    return stats.bootstrap_delta(utterances(spark, d), "spk", "n", "err", "err_b").select(*[r6(F.col(c), c) for c in ("delta", "lo", "hi")])
 
 
 @query("m15_folds", f"""WITH {UTT_SQL}, x AS (SELECT *, floor(('0x' || substr(md5(concat(uid, '|0')), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold FROM utt) SELECT fold, count(*) AS n, round(sum(err) / sum(n), 6) AS pooled_cer FROM x GROUP BY fold""")

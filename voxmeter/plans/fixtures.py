@@ -54,3 +54,14 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEG_SQL = """seg AS (SELECT user_id AS rec, event_type AS spk, event_id AS seg, epoch_us(ts) AS s, epoch_us(ts) + round_even(value * 1000000, 0)::BIGINT AS e FROM events)"""
+
+
+def weight_sql(key: str, replicate: str, seed: int = 42) -> str:
+    """SQL of a Poisson(1) count by MD5, as stats.poisson_weights gives it."""
+    bounds, total, p = [], 0.0, 0.36787944117144233
+    for k in range(8):
+        total += p
+        bounds.append(total)
+        p /= k + 1
+    u = f"(('0x' || substr(md5(concat_ws('|', {key}, {replicate}, '{seed}')), 1, 8))::BIGINT / 4294967296.0)"
+    return "(" + " + ".join(f"({u} >= {b!r})::INT" for b in bounds) + ")"

@@ -148,12 +148,12 @@ def percentiles(spark, d):
     """Three conventions of a percentile, from cumulative counts."""
     e = read(spark, d, "events")
     told = windows.cumulative(e, "value", {"n": F.count(F.lit(1))})
-    linear = e.agg(*[F.percentile("value", F.lit(q)).alias(f"l{i}") for i, q in enumerate((0.1, 0.5, 0.9))])
-    qs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"l{i}").alias("linear")) for i, q in enumerate((0.1, 0.5, 0.9))])
-    rows = told.crossJoin(F.broadcast(linear)).select("value", "n", "n_upto", "n_all", F.explode(qs).alias("x")).select("*", "x.q", "x.linear")
+    rows = told.select("value", "n", "n_upto", "n_all", F.explode(F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q"))
     has = lambda i: F.max(F.when((i >= F.col("n_upto") - F.col("n")) & (i < F.col("n_upto")), F.col("value")))
     q, n = F.col("q"), F.col("n_all")
-    return rows.groupBy("q").agg(r6(F.first("linear"), "linear"), has(F.bround((n - 1) * q, 0)).alias("nearest"), has(F.least(F.floor(n * q), n - 1)).alias("by_floor"))
+    at = (n - 1) * q
+    low, high = has(F.floor(at)), has(F.ceil(at))
+    return rows.groupBy("q").agg(r6(low + (high - low) * F.first(at - F.floor(at)), "linear"), has(F.bround(at, 0)).alias("nearest"), has(F.least(F.floor(n * q), n - 1)).alias("by_floor"))
 
 
 @query("a23_vocabulary", """SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1""")
@@ -341,12 +341,23 @@ def union_export(spark, d):
     return side("pos_", "R").unionByName(side("neg_", "A"))
 
 
-@query("v1_top_cosine", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS norm FROM e GROUP BY 1""")
+@query("v1_norms", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS norm FROM e GROUP BY 1""")
 def norms(spark, d):
     """Lengths of vectors by class."""
     return read(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(vectors.norm(F.col("embedding"))), "norm"))
 
 
+@query("v1_cosine_to_class", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT label, i, avg(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x)))) AS m FROM e, range(1, 65) r(i) GROUP BY 1, 2),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM u GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(v, c), 6) AS cosine FROM e JOIN c USING (label)""")
+def cosine_to_class(spark, d):
+    """Each vector's cosine with the renewed mean of its class's unit vectors."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
+    each = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    # A row for each class and component.
+    mean = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    return e.join(mean, "label").select("vec_id", r6(vectors.cosine(F.col("v"), F.col("c")), "cosine"))
+
+
 @query("s1_stream_windows", """SELECT time_bucket(INTERVAL '1 hour', ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, d):
     """Tumbling windows by a stream over the events table, to the end of its input."""
