@@ -163,7 +163,9 @@ def test_embedding_duplicates(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("candidates", [5, 256])
+def test_top_k(spark, monkeypatch, candidates):
+    monkeypatch.setattr(embeddings, "CANDIDATES", candidates)
     rows = vectors(2)
     df = spark.createDataFrame(rows, VECTORS).repartition(3)
     got = defaultdict(list)

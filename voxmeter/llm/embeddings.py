@@ -22,6 +22,8 @@ MISS = 1e-5
 #: Larger buckets need fewer bits, so fewer tables, so less to shuffle; comparing some hundred vectors costs little.
 BUCKET, BLOCK = 512, 512
 SEED = 5
+#: Candidates of a query that one task reads.
+CANDIDATES = 256
 #: Share of links at the threshold that the comparison of codes may take for strangers, at most.
 STRANGERS = 1e-7
 #: Vectors in a block of an approximation file, queries in a block, bytes of either at most, and bits of a cell.
@@ -314,8 +316,8 @@ def _exact(x: np.ndarray, q: np.ndarray) -> list[int]:
 
 
 def _certain(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Exact vectors of each query in the order of their bounds, until no bound reaches the kth score."""
-    now, best, done = None, [], False
+    """Exact vectors of each query (and part of its candidates) in the order of their bounds, until no bound reaches the kth score."""
+    now, last, best, done = None, None, [], False
 
     def out() -> pa.RecordBatch:
         n = len(best)
@@ -323,14 +325,15 @@ def _certain(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
     for batch in batches:
         ids, upper = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        parts = batch.column(5).to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(ids) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(ids)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if lo == hi:
                 continue
-            if ids[lo] != now:
+            if (ids[lo], parts[lo]) != (now, last):
                 if now is not None:
                     yield out()
-                now, best, done = int(ids[lo]), [], False
+                now, last, best, done = int(ids[lo]), int(parts[lo]), [], False
             q = batch.column(4)[lo].values.to_numpy()
             while lo < hi and not done:
                 if len(best) == k and upper[lo] < -best[-1][0]:
@@ -393,6 +396,12 @@ def top_k(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_
     least = lower.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("id").agg(F.min("lower").alias("lower"), F.count(F.lit(1)).alias("n"))
     held = asked.join(least, "id", "left").select("id", "v", F.when(F.col("n") > k, F.col("lower")).otherwise(float("-inf")).alias("least"))
     maybe = materialize(scanned(held, _maybe, "id long, u long, upper double"), "maybe")
-    near = maybe.join(exact, "u").join(asked.withColumnRenamed("v", "q"), "id").select("id", "upper", "ids", "v", "q")
-    near = near.repartition("id").sortWithinPartitions("id", F.desc("upper"))
-    return near.mapInArrow(functools.partial(_certain, k=k), "query_id long, rank int, vec_id long, score long")
+    # A query that very many rows can answer is split, so that no task reads them all; its parts' results are merged.
+    many = maybe.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CANDIDATES).select("id", F.ceil(F.col("m") / CANDIDATES).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("u"), "parts").cast("int"), F.lit(0))
+    split = join_small(maybe, materialize(many, "many"), "id", "left").withColumn("part", part)
+    near = split.join(exact, "u").join(asked.withColumnRenamed("v", "q"), "id").select("id", "upper", "ids", "v", "q", "part")
+    near = near.repartition("id", "part").sortWithinPartitions("id", "part", F.desc("upper"))
+    found = near.mapInArrow(functools.partial(_certain, k=k), "query_id long, rank int, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
