@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +53,11 @@ class Merger:
         self.bytes_n = np.array([len(x) for x in pieces], np.int64)
         self.bytes_at = np.cumsum(self.bytes_n) - self.bytes_n
 
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each pair of symbols (NO_RANK if none merges them), and where it stands among the sorted keys."""
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols (NO_RANK if none merges them), by binary search over the sorted keys."""
         pair = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        return np.where(self.keys[at] == pair, self.rank[at], NO_RANK), at
+        return np.where(self.keys[at] == pair, self.rank[at], NO_RANK)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words and the number of each word's ids."""
@@ -76,26 +77,39 @@ class Merger:
     def _rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their words: each round merges every word's lowest-ranked pair; words that have none are done."""
         live, owner = self._flat(words)
+        rank = self._beside(live, owner, np.arange(len(live)))
         done_ids, done_owner = [], []
         while len(live):
-            rank, at = self.ranks(live[:-1], live[1:])
-            rank = np.append(np.where(owner[:-1] == owner[1:], rank, NO_RANK), NO_RANK)
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             size = np.diff(np.append(begin, len(live)))
             best = np.repeat(np.minimum.reduceat(rank, begin), size)
-            ended = best == NO_RANK
-            if ended.any():
-                done_ids.append(live[ended])
-                done_owner.append(owner[ended])
-            chosen = np.flatnonzero((rank == best) & ~ended)
-            # Equal symbols in a row give overlapping pairs: of each run every second one merges, from the left.
+            gone = best == NO_RANK
+            if gone.any():
+                done_ids.append(live[gone])
+                done_owner.append(owner[gone])
+            chosen = np.flatnonzero((rank == best) & ~gone)
             if len(chosen):
+                # Equal symbols in a row give overlapping pairs: of each run every second one merges, from the left.
                 chosen = chosen[every_second(np.diff(chosen) == 1)]
-                live[chosen] = self.product[at[chosen]]
-                ended[chosen + 1] = True
-            live, owner = live[~ended], owner[~ended]
+                live[chosen] = self.product[self.of_rank[rank[chosen]]]
+                gone[chosen + 1] = True
+            kept = ~gone
+            place = np.cumsum(kept) - 1
+            live, owner, rank = live[kept], owner[kept], rank[kept]
+            # Only pairs beside a merge are looked up again.
+            touched = place[chosen]
+            touched = np.concatenate([touched, touched[touched > 0] - 1])
+            rank[touched] = self._beside(live, owner, touched)
         return (np.concatenate(done_ids), np.concatenate(done_owner)) if done_ids else (live, owner)
 
+    def _beside(self, live: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each place; none at the end of a word."""
+        follower = np.minimum(at + 1, len(live) - 1)
+        inside = (owner[at] == owner[follower]) & (follower > at)
+        out = np.full(len(at), NO_RANK)
+        out[inside] = self.ranks(live[at[inside]], live[follower[inside]])
+        return out
+
     def _long_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for long words, in one order of ranks for all: a round looks up only pairs beside its merges.
 
@@ -107,7 +121,7 @@ class Merger:
             n = len(live) - 1
             after, before = np.arange(1, n + 2), np.arange(-1, n)
             rank = np.full(n + 1, NO_RANK)
-            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(live[:-1], live[1:])[0], NO_RANK)
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(live[:-1], live[1:]), NO_RANK)
             dead = np.zeros(n + 1, bool)
             gaps = 0
             while gaps * 2 <= n:
@@ -126,7 +140,7 @@ class Merger:
                 touched = np.concatenate([chosen, before[chosen]])
                 touched = touched[touched >= 0]
                 follower = after[touched]
-                rank[touched] = np.where(owner[touched] == owner[follower], self.ranks(live[touched], live[follower])[0], NO_RANK)
+                rank[touched] = np.where(owner[touched] == owner[follower], self.ranks(live[touched], live[follower]), NO_RANK)
             live, owner = live[~dead], owner[~dead]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -172,7 +186,9 @@ class Words:
         if len(self.number) > KEPT_WORDS or self.kept > KEPT_CHARS:
             self.clear()
         number = self.number
-        new = list({w for ws in words for w in ws if w not in number})
+        out = [np.fromiter(map(number.get, ws, itertools.repeat(-1)), np.int64, len(ws)) for ws in words]
+        missed = [(ws, x, np.flatnonzero(x < 0)) for ws, x in zip(words, out, strict=True)]
+        new = list(dict.fromkeys(ws[i] for ws, _, at in missed for i in at.tolist()))
         if new:
             ids, n = self.merger.encode([w.encode() for w in new])
             for w in new:
@@ -181,7 +197,9 @@ class Words:
             self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), np.int64, len(new))])
             self.at = np.cumsum(self.n) - self.n
             self.kept += int(self.chars[-len(new) :].sum())
-        return [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in words]
+            for ws, x, at in missed:
+                x[at] = [number[ws[i]] for i in at.tolist()]
+        return out
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         n = self.n[numbers]

@@ -65,7 +65,7 @@ def spread(values: np.ndarray, chunks: int) -> np.ndarray:
     out = np.zeros((chunks, CHUNK), np.int64)
     n = len(values)
     chunk = np.arange(n) * chunks // max(n, 1)
-    first = np.searchsorted(chunk, np.arange(chunks))
+    first = -(-np.arange(chunks) * n // chunks)
     out[chunk, np.arange(n) - first[chunk]] = values
     return out.reshape(-1)
 
