@@ -289,6 +289,37 @@ def test_passages_that_repeat_a_phrase(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"]) for r in passages.passages(df).collect()} == want
 
 
+def test_links_of_frequent_seeds(spark, monkeypatch):
+    """Documents of a frequent seed in ranges give the links that one task gives, and the same passages."""
+    rng = random.Random(12)
+    run = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    hot, line = run(60), run(6)
+    rows = []
+    for i in range(240):
+        rows.append((3 * i, run(12) + (hot if i % 3 else []) + line * (i % 5) + run(9)))
+    rows += [(7, hot + hot), (9, line * 40), (10, line * 55), (3, run(4) + hot)]
+    df = spark.createDataFrame([(i, " ".join(w), "en", 1, 2, 9) for i, w in rows], SCHEMA).repartition(6)
+    told = lambda found: sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_id"], tuple(r["source_ids"])) for r in found.collect())
+    whole = told(passages.passages(df))
+    assert len(whole) > 150
+    monkeypatch.setattr(passages, "FREQUENT", 20)
+    monkeypatch.setattr(passages, "FREQUENT_SHARE", 0)
+    monkeypatch.setattr(passages, "RANGE", 500)
+    texts = df.selectExpr("doc_id doc", "text").cache()
+    often = passages.frequent(texts)
+    row, pos, h = passages.seeds_of(passages.text_buffers(pa.array([" ".join(w) for _, w in rows])))
+    values, n = np.unique(h, return_counts=True)
+    assert often.tolist() == values[n >= 20].tolist()
+    at = np.flatnonzero(passages.among(h, often))
+    want = set(zip(*(x.tolist() for x in passages.links(h[at], np.array([i for i, _ in rows])[row[at]], pos[at])), strict=True))
+    got = passages.by_ranges(texts, often)
+    assert {(r["doc"], r["owner"], m >> 32, m & 0xFFFFFFFF) for r in got.collect() for m in r["m"]} == want
+    assert told(passages.passages(df)) == whole
+    # As many seeds as documents, each as frequent as all: their number is bounded, whatever the number of documents.
+    monkeypatch.setattr(passages, "FREQUENT_SHARE", 0.01)
+    assert len(passages.frequent(texts)) <= 100
+
+
 def test_ends_of_passages_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(400):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmeter.llm.common import join_small, materialize, shingles_of, slices, text_buffers, words_of
@@ -24,6 +24,9 @@ BRIDGE = 3
 DROP = 4
 #: Bytes of text whose seeds make a bucket, and seeds that are packed by bucket at once.
 BUCKET, PACKED = 8 << 20, 2 << 20
+#: A seed with so many occurrences, or with this share of all, is linked by ranges of documents and not in its bucket; at most
+#: 1 / FREQUENT_SHARE seeds are. Occurrences of one among PACKED that make it count, and rows of frequent seeds in a range.
+FREQUENT, FREQUENT_SHARE, TOLD, RANGE = 1 << 20, 2e-6, 16, 1 << 20
 
 
 def seeds_of(batch_text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +51,96 @@ def _unplanes(data: bytes, kind: type, width: int) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are in an ordered list."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(ordered, h)
+    return ordered[np.minimum(at, len(ordered) - 1)] == h
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the seeds that TOLD of PACKED are, and under a null seed those of all."""
+    held: list[np.ndarray] = []
+
+    def told() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        total, h, n = int(n.sum()), h[n >= TOLD], n[n >= TOLD]
+        return pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), total], pa.int64())], names=["h", "n"])
+
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            held.append(seeds_of(text_buffers(batch.column(0)))[2])
+            if sum(len(x) for x in held) >= PACKED:
+                yield told()
+    if held:
+        yield told()
+
+
+def frequent(texts: DataFrame) -> np.ndarray:
+    """Hashes of the seeds that are linked by ranges of documents, in order: 1 / FREQUENT_SHARE of them at most.
+
+    Counts are summed over all texts; what a seed misses of its own are fewer than TOLD occurrences in PACKED.
+    """
+    counts = texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    held = materialize(counts.where(f"h is null or n >= {FREQUENT}"), "frequent")
+    total = held.where("h is null").agg(F.sum("n")).first()[0] or 0
+    rows = held.where(f"h is not null and n >= {max(FREQUENT, total * FREQUENT_SHARE)}").select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], ordered: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Occurrences of the given seeds: seed, doc and the positions in it."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            row, pos, h = seeds_of(text_buffers(batch.column(1)))
+            at = np.flatnonzero(among(h, ordered))
+            at = at[np.lexsort((pos[at], h[at], row[at]))]
+            begin = np.flatnonzero(np.append(True, (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1]))[: len(at)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(pos[at].astype(np.int32)))
+            one = at[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(batch.column(0).to_numpy()[row[one]]), lists], names=["h", "doc", "pos"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Positions of a document's occurrences of a seed and of another document's, as links."""
+    for batch in batches:
+        pos, other = batch.column(2), batch.column(3)
+        offsets = [c.offsets.to_numpy() for c in (pos, other)]
+        n, m = (np.diff(x) for x in offsets)
+        at, rank, front, back = facing(n, m)
+        mine, theirs = (c.values.to_numpy().astype(np.int64) for c in (pos, other))
+        x = mine[offsets[0][:-1][at] + rank] << 32
+        front, back = x | theirs[offsets[1][:-1][at] + front], x | theirs[offsets[1][:-1][at] + back]
+        # Two links of each occurrence, equal ones among them: those of a pair of documents are made distinct before chaining.
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * n)).astype(np.int32)), pa.array(np.stack([front, back], 1).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc", "owner", "m"])
+
+
+def by_ranges(texts: DataFrame, ordered: np.ndarray) -> DataFrame:
+    """The links of the given seeds, as `links` gives them, with the documents of a seed in ranges that are tasks of their own.
+
+    A range hands on each seed's first and last document; a seed's first document is that of its first range, and the
+    document before a range's first one is the last of the range before.
+    """
+    seen = texts.select("doc", "text").mapInArrow(functools.partial(_occurrences, ordered=ordered), "h long, doc long, pos array<int>")
+    each = materialize(seen.groupBy("h", "doc").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos")), "occurrences")
+    ranges = each.count() // RANGE + 1
+    spread = materialize(each.repartitionByRange(ranges, "doc").withColumn("part", F.spark_partition_id()), "ranges")
+    it = F.struct("doc", "pos")
+    edges = spread.groupBy("h", "part").agg(F.min_by(it, "doc").alias("head"), F.max_by(it, "doc").alias("last"))
+    along = Window.partitionBy("h").orderBy("part")
+    edges = materialize(edges.select("h", "part", F.first("head").over(along).alias("head"), F.lag("last").over(along).alias("before")), "edges")
+    inside = Window.partitionBy("h", "part").orderBy("doc")
+    rows = join_small(spread.withColumn("near", F.lag(it).over(inside)), edges, ["h", "part"], "inner")
+    rows = rows.withColumn("near", F.coalesce("near", "before")).where("near is not null")
+    to = F.explode(F.when(F.col("near.doc") == F.col("head.doc"), F.array("head")).otherwise(F.array("head", "near"))).alias("to")
+    met = rows.select("doc", "pos", to).select("doc", F.col("to.doc").alias("owner"), "pos", F.col("to.pos").alias("other"))
+    return met.mapInArrow(_meet, "doc long, owner long, m array<long>")
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], buckets: int, without: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Seeds by bucket, packed: a bucket is a range of hashes, told by the upper 16 bits; the lower 48 stay in a seed."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -68,6 +160,8 @@ def _seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     for whole in batches:
         for batch in slices(whole, "text"):
             row, pos, h = seeds_of(text_buffers(batch.column(1)))
+            if len(without):
+                row, pos, h = (x[~among(h, without)] for x in (row, pos, h))
             held.append((h, batch.column(0).to_numpy()[row], pos.astype(np.uint32)))
             if sum(len(x[0]) for x in held) >= PACKED:
                 yield packed()
@@ -75,6 +169,13 @@ def _seeds(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield packed()
 
 
+def facing(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of n occurrences that meet runs of m: run and rank of each occurrence, and the ranks it meets from the front and from the back."""
+    at = np.repeat(np.arange(len(n)), n)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return at, rank, np.minimum(rank, m[at] - 1), m[at] - np.minimum(n[at] - rank, m[at])
+
+
 def links(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of a seed with those in the first document that has it, and in the document before: doc, owner, x, y.
 
@@ -92,12 +193,8 @@ def links(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     later = np.flatnonzero(head != np.arange(len(begin)))
     far = later[later - 1 != head[later]]
     run, to = np.append(later, far), np.append(head[later], far - 1)
-    n, m = end[run] - begin[run], end[to] - begin[to]
-    at = np.repeat(np.arange(len(run)), n)
-    rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    x = begin[run][at] + rank
-    front = begin[to][at] + np.minimum(rank, m[at] - 1)
-    back = end[to][at] - np.minimum(n[at] - rank, m[at])
+    at, rank, front, back = facing(end[run] - begin[run], end[to] - begin[to])
+    x, front, back = begin[run][at] + rank, begin[to][at] + front, begin[to][at] + back
     more = np.flatnonzero(front != back)
     x, y = np.append(x, x[more]), np.append(front, back[more])
     return doc[x], doc[y], pos[x], pos[y]
@@ -401,12 +498,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     digests = source.select("doc", F.md5("text").alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("rep"), F.max("doc").alias("most"))
     firsts = firsts.where("rep <> most").select("digest", "rep")
-    copies = materialize(digests.join(firsts, "digest").where("doc <> rep").select("doc", "rep"), "copies")
+    copies = materialize(join_small(digests, materialize(firsts, "firsts"), "digest", "inner").where("doc <> rep").select("doc", "rep"), "copies")
     distinct = join_small(source, copies.select("doc"), "doc", "left_anti")
     size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(size // BUCKET, 16), 1 << 16)
-    seeds = distinct.select("doc", "text").mapInArrow(functools.partial(_seeds, buckets=buckets), "bucket int, h binary, doc binary, pos binary")
+    often = frequent(distinct)
+    seeds = distinct.select("doc", "text").mapInArrow(functools.partial(_seeds, buckets=buckets, without=often), "bucket int, h binary, doc binary, pos binary")
     met = seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, "doc long, owner long, m array<long>")
+    if len(often):
+        met = met.unionByName(by_ranges(distinct, often))
     # A chain of LEAST_CHAIN words has three seeds at least.
     pairs = met.groupBy("doc", "owner").agg(F.collect_list("m").alias("matches")).where("aggregate(matches, 0, (n, m) -> n + size(m)) > 2")
     found = materialize(pairs.mapInArrow(_chains, "doc long, owner long, chain array<struct<x:int,y:int,n:int>>"), "chains")
