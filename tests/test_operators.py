@@ -1,5 +1,6 @@
 """Goldens of the operators on small relations."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxmeter.operators import aggregates as agg
@@ -137,3 +138,29 @@ def test_bootstrap_holds_the_delta(spark):
     df = spark.range(200).select(F.col("id").alias("k"), F.lit(10).alias("n"), F.lit(3).alias("b"), (F.lit(3) + F.col("id") % 2).alias("a"))
     r = stats.bootstrap_delta(df, "k", "n", "b", "a", 50).first()
     assert r["lo"] < r["delta"] == 0.05 < r["hi"]
+
+
+def test_rotation_and_layers(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from voxmeter.operators import sampling
+
+    for n, rounds in ((27, 9), (29, 9), (36, 6), (9, 3)):
+        rows = sampling.rotation(spark.range(n), "id", rounds).collect()
+        assert len(rows) == rounds * (n // 3)
+        assert max(Counter(p for r in rows for p in combinations(sorted((r.A, r.B, r.C)), 2)).values()) == 1
+        roles = Counter((s, role) for r in rows for role, s in zip("ABC", (r.A, r.B, r.C), strict=True))
+        assert set(roles.values()) == {rounds // 3}
+        assert len(roles) == 3 * (n - n % 3)
+        assert all(len({s for r in rows if r["round"] == k for s in (r.A, r.B, r.C)}) == n - n % 3 for k in range(rounds))
+    for n, rounds in ((27, 4), (12, 3), (0, 3)):
+        with pytest.raises(ValueError, match="rounds"):
+            sampling.rotation(spark.range(n), "id", rounds)
+    pools = {"a": F.col("id") % 2 == 0, "b": F.col("id") % 4 == 0, "c": F.col("id") < 30}
+    got = {r["id"]: r["layer"] for r in sampling.layers(spark.range(100), "id", pools, {"a": 40, "b": 20, "c": 5}).collect()}
+    taken = Counter(got.values())
+    assert taken["a"] == 40
+    assert taken["b"] == sum(1 for i in range(0, 100, 4) if got.get(i) != "a")
+    assert taken["c"] == 5
+    assert sampling.layers(spark.range(0), "id", pools, {"a": 1, "b": 1, "c": 1}).count() == 0

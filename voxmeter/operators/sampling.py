@@ -68,3 +68,41 @@ def placed(target: Column, other: Column, u: Column) -> Column:
     start = u * F.greatest(target - other / 2, F.lit(0.0))
     end = start + other
     return F.struct(start.alias("start"), F.greatest(F.least(target, end) - start, F.lit(0.0)).alias("overlap"), F.greatest(target, end).alias("total"))
+
+
+def layers(df: DataFrame, key: str, pools: dict[str, Column], take: dict[str, int], seed: int = 0) -> DataFrame:
+    """Rows and their layer: of each pool in turn the first take[layer] in hash order that no layer before has taken.
+
+    The pools' names and numbers are few, so each layer is a top-k; what is taken so far is small and is kept out by an anti-join.
+    """
+    out = None
+    for layer, belongs in pools.items():
+        left = df.where(belongs)
+        if out is not None:
+            left = left.join(F.broadcast(out.select(key)), key, "left_anti")
+        one = left.orderBy(hash_order(key, seed), key).limit(take[layer]).withColumn("layer", F.lit(layer))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rotation(df: DataFrame, speaker: str, rounds: int, seed: int = 0) -> DataFrame:
+    """round, grp, A, B, C: in each round every speaker is in one group; over three rounds each takes each role.
+
+    Speakers in hash order form three classes of g; in round r the i-th of the first class meets the (i + r)-th and the
+    (i + 2r)-th of the others. These differences are all distinct for up to g rounds (g / 2 if g is even), so no two
+    speakers ever meet twice and nothing has to be searched. One or two speakers sit out where the number is no multiple
+    of three; rounds that are no multiple of three, or too many for that, are refused.
+    """
+    from voxmeter.operators.protocol import batches
+
+    g = df.count() // 3
+    if rounds < 3 or rounds % 3:
+        raise ValueError("rounds must be a positive multiple of three")
+    if rounds > (g if g % 2 else g // 2):
+        raise ValueError(f"{3 * g} speakers can't meet others in {rounds} rounds")
+    told = batches(df.select(speaker), speaker, 3, seed)
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(unit_hash(F.col(speaker), seed=seed), speaker)) - 1
+    each = told.withColumn("class", place).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    grp = F.pmod(F.col("batch") - F.col("class") * F.col("round"), F.lit(g))
+    role = (F.col("class") + F.col("round")) % 3
+    return each.groupBy("round", grp.alias("grp")).agg(*[F.max(F.when(role == i, F.col(speaker))).alias(name) for i, name in enumerate("ABC")])

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from voxmeter.functions import errors, hashing, scores, text, vectors
 from voxmeter.operators import aggregates as agg
 from voxmeter.operators import intervals, protocol, sampling, stats, sweep
-from voxmeter.plans.evaluation import THR, r6
+from voxmeter.plans.evaluation import CURVE_SQL, THR, r6
 from voxmeter.plans.fixtures import UTT_SQL, read, utterances, weight_sql
 from voxmeter.plans.registry import query
 from voxmeter.sources import sinks
@@ -452,3 +452,82 @@ def timings(spark, d):
     rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
     told = rows.select("id", sampling.placed(F.col("a"), F.col("b"), hashing.unit_hash(F.col("id"), seed=7)).alias("p"))
     return told.select("id", *[r6(F.col(f"p.{c}"), c) for c in ("start", "overlap", "total")])
+
+
+#: Sentence whose beginnings are commands of any length, in the hold-out query.
+SENTENCE = "请把客厅的灯打开再将卧室空调升至二十六度然后关上窗帘"
+LIMITS = (15, 18, 20, 22, 25, 30)
+
+
+@query("q9_gate_holdout", f"""WITH {UTT_SQL}, x AS (SELECT negative, sim < {THR} AS low, err, n, (p_size % 27) AS len, ('0x' || right(md5(concat(uid, '|seed=7')), 1))::INT % 2 AS half FROM utt JOIN part ON p_partkey = uid),
+l AS (SELECT unnest([{", ".join(map(str, LIMITS))}, NULL]) AS lim), y AS (SELECT *, low OR (lim IS NOT NULL AND (len = 0 OR len > lim)) AS gone FROM x, l),
+t AS (SELECT half, lim, sum(CASE WHEN gone THEN n ELSE err END) FILTER (NOT negative) / sum(n) FILTER (NOT negative) AS cer, avg(gone::INT) FILTER (negative) AS rr FROM y GROUP BY 1, 2),
+b AS (SELECT lim FROM t WHERE half = 0 AND lim IS NOT NULL ORDER BY round(0.4 * (1 - cer) + 0.4 * rr, 9) DESC, lim LIMIT 1)
+SELECT b.lim AS "limit", round(w.cer, 6) AS cer, round(w.rr, 6) AS reject_rate, round(g.cer, 6) AS gated_cer, round(g.rr, 6) AS gated_reject_rate, round(0.4 * (w.cer - g.cer) + 0.4 * (g.rr - w.rr), 6) AS gain FROM b JOIN t g ON g.lim = b.lim AND g.half = 1 JOIN t w ON w.lim IS NULL AND w.half = 1""")
+def gate_holdout(spark, d):
+    """A gate's longest command, chosen on one half, and what the gate gains on the other; all lengths in one pass."""
+    lengths = read(spark, d, "part").select(F.col("p_partkey").alias("uid"), F.substr(F.lit(SENTENCE), F.lit(1), F.col("p_size") % 27).alias("said"))
+    u = utterances(spark, d).join(lengths, "uid").withColumn("half", hashing.md5_half(F.col("uid"), 7))
+    pos, low, n = ~F.col("negative"), F.col("sim") < THR, F.col("n")
+    gone = {0: low} | {limit: low | ~text.is_command(F.col("said"), limit) for limit in LIMITS}
+    told = {limit: F.struct(F.lit(limit).alias("limit"), errors.pooled(F.when(pos, F.when(g, n).otherwise(F.col("err"))), F.when(pos, n)).alias("cer"), F.avg(F.when(~pos, g.cast("double"))).alias("rr")) for limit, g in gone.items()}
+    rows = u.groupBy("half").agg(F.array(*[told[limit] for limit in LIMITS]).alias("gated"), told[0].alias("plain"))
+    train, held = (F.max(F.when(F.col("half") == h, F.struct("gated", "plain"))) for h in (0, 1))
+    total = lambda t: F.round(0.4 * (1 - t["cer"]) + 0.4 * t["rr"], 9)
+    best = F.array_max(F.transform("train.gated", lambda t: F.struct(total(t).alias("total"), (-t["limit"]).alias("least"))))
+    both = rows.agg(train.alias("train"), held.alias("held")).select((-best["least"]).alias("limit"), F.col("held.plain").alias("w"), "held.gated")
+    g = F.filter("gated", lambda t: t["limit"] == F.col("limit"))[0]
+    gain = 0.4 * (F.col("w.cer") - F.col("g.cer")) + 0.4 * (F.col("g.rr") - F.col("w.rr"))
+    return both.select("limit", "w", g.alias("g")).select("limit", r6(F.col("w.cer"), "cer"), r6(F.col("w.rr"), "reject_rate"), r6(F.col("g.cer"), "gated_cer"), r6(F.col("g.rr"), "gated_reject_rate"), r6(gain, "gain"))
+
+
+@query("q10_root_cause", f"""WITH {UTT_SQL}, x AS (SELECT CASE WHEN overlap = 0 THEN 1 ELSE 2 END AS speakers, CASE WHEN overlap = 0 THEN 0.0 ELSE sim_b END AS ratio, err, n, length(hyp) > 1.6 * length(ref) AS longer FROM utt WHERE NOT negative),
+c AS (SELECT ratio AS v, count(*) AS k, sum(count(*)) OVER (ORDER BY ratio) - count(*) AS b, sum(count(*)) OVER () AS a FROM x WHERE speakers = 2 GROUP BY ratio), q AS (SELECT least(b // greatest(a // 4, 1), 3) + 1 AS part, v FROM c),
+y AS (SELECT 'speakers_' || speakers AS grp, ratio, err, n, longer FROM x UNION ALL SELECT 'quartile_' || part::INT, ratio, err, n, longer FROM x JOIN q ON ratio = v WHERE speakers = 2)
+SELECT grp, count(*) AS rows, round(sum(err) / sum(n), 6) AS pooled_cer, round(avg(ratio), 6) AS mean_ratio, round(avg(longer::INT), 6) AS overlong FROM y GROUP BY grp""")
+def root_cause(spark, d):
+    """Whether errors go with overlapped speech: by number of speakers, and by quartile of overlap where there are two."""
+    from voxmeter.operators.windows import quartile
+
+    two = F.col("overlap") != 0
+    x = utterances(spark, d).where(~F.col("negative")).select(F.when(two, 2).otherwise(1).alias("speakers"), F.when(two, F.col("sim_b")).otherwise(0.0).alias("ratio"), "err", "n", (F.length("hyp") > 1.6 * F.length("ref")).alias("longer"))
+    sides = [x.withColumn("grp", F.concat(F.lit("speakers_"), "speakers")), quartile(x.where("speakers = 2"), "ratio").withColumn("grp", F.concat(F.lit("quartile_"), "part"))]
+    y = sides[0].select("grp", "ratio", "err", "n", "longer").unionByName(sides[1].select("grp", "ratio", "err", "n", "longer"))
+    return y.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), r6(errors.pooled(F.col("err"), F.col("n")), "pooled_cer"), r6(F.avg("ratio"), "mean_ratio"), r6(agg.share(F.col("longer")), "overlong"))
+
+
+@query("q36_signal_probe", CURVE_SQL + f""", s AS (SELECT count(*) FILTER (NOT negative) AS n_pos, count(*) FILTER (negative) AS n_neg, avg(sim) FILTER (NOT negative) AS mp, avg(sim) FILTER (negative) AS mn FROM utt), o AS (SELECT thr, "precision", recall FROM v WHERE recall >= 0.5 ORDER BY round("precision", 9) DESC, thr LIMIT 1)
+SELECT n_pos, n_neg, round(mp, 6) AS mean_pos, round(mn, 6) AS mean_neg, round((SELECT max(f1) FROM v), 6) AS best_f1, round(o.thr, 6) AS thr, round(o."precision", 6) AS "precision", round(o.recall, 6) AS recall FROM s, o""")
+def signal_probe(spark, d):
+    """How well a signal tells both classes apart, and the smallest threshold of the highest precision at half recall."""
+    y = utterances(spark, d).withColumn("y", ~F.col("negative"))
+    half = F.when(F.col("recall") >= 0.5, F.struct(F.round("precision", 9).alias("p"), (-F.col("thr")).alias("t"), "precision", "recall"))
+    curve = stats.pr_curve(y, "sim", "y").agg(F.max("f1").alias("best_f1"), F.max(half).alias("o"))
+    sides = y.agg(agg.count_if(F.col("y")).alias("n_pos"), agg.count_if(~F.col("y")).alias("n_neg"), F.avg(F.when(F.col("y"), F.col("sim"))).alias("mp"), F.avg(F.when(~F.col("y"), F.col("sim"))).alias("mn"))
+    # Two tables of one row each.
+    one = sides.withColumn("k", F.lit(1)).join(curve.withColumn("k", F.lit(1)), "k")
+    return one.select("n_pos", "n_neg", r6(F.col("mp"), "mean_pos"), r6(F.col("mn"), "mean_neg"), r6(F.col("best_f1"), "best_f1"), r6(-F.col("o.t"), "thr"), r6(F.col("o.precision"), "precision"), r6(F.col("o.recall"), "recall"))
+
+
+@query("qa10_smoke", """SELECT p_type AS noise, count(*) AS n, count(*) FILTER (p_size / 2 NOT BETWEEN 3 AND 20) AS bad_duration, round(avg(p_size / 2), 6) AS mean_duration, round(avg((p_partkey % 4 <> 0)::INT), 6) AS quiet, round(avg((p_partkey % 7 = 0)::INT), 6) AS polluted, count(*) FILTER (p_name = '') AS no_text FROM part GROUP BY 1""")
+def smoke(spark, d):
+    """A synthetic set's checks by kind of noise: durations out of bounds, shares of quiet and polluted rows, missing texts."""
+    sec, key = F.col("p_size") / 2, F.col("p_partkey")
+    return read(spark, d, "part").groupBy(F.col("p_type").alias("noise")).agg(F.count(F.lit(1)).alias("n"), agg.count_if(~sec.between(3, 20)).alias("bad_duration"), r6(F.avg(sec), "mean_duration"), r6(agg.share(key % 4 != 0), "quiet"), r6(agg.share(key % 7 == 0), "polluted"), agg.count_if(F.col("p_name") == "").alias("no_text"))
+
+
+@query("o7_layers", """WITH x AS (SELECT o_orderkey, o_orderstatus, o_totalprice, md5(concat(o_orderkey, '|3')) AS h FROM orders), a AS (SELECT o_orderkey, 'a' AS layer FROM x WHERE o_totalprice > 100000 ORDER BY h, o_orderkey LIMIT 40),
+b AS (SELECT o_orderkey, 'b' AS layer FROM x WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT o_orderkey FROM a) ORDER BY h, o_orderkey LIMIT 40), c AS (SELECT o_orderkey, 'c' AS layer FROM x WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a UNION ALL SELECT o_orderkey FROM b) ORDER BY h, o_orderkey LIMIT 25)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def layered(spark, d):
+    """A test set in layers, each sampled from its pool without what the layers before took."""
+    pools = {"a": F.col("o_totalprice") > 100000, "b": F.col("o_orderstatus") == "F", "c": F.lit(True)}
+    return sampling.layers(read(spark, d, "orders"), "o_orderkey", pools, {"a": 40, "b": 40, "c": 25}, 3).select("o_orderkey", "layer")
+
+
+@query("c5_rotation", """WITH x AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY ('0x' || substr(md5(concat(c_custkey, '|0')), 1, 8))::BIGINT, c_custkey) - 1 AS i, count(*) OVER () // 3 AS g FROM customer),
+y AS (SELECT k, i // 3 AS rank, i % 3 AS c, g, r FROM x, range(6) t(r) WHERE i // 3 < g), z AS (SELECT k, r, (((rank - c * r) % g) + g) % g AS grp, (c + r) % 3 AS role FROM y)
+SELECT r::INT AS "round", grp::BIGINT AS grp, max(k) FILTER (role = 0) AS "A", max(k) FILTER (role = 1) AS "B", max(k) FILTER (role = 2) AS "C" FROM z GROUP BY 1, 2""")
+def rotated(spark, d):
+    """Six rounds of groups of three in which roles rotate and nobody meets anybody twice."""
+    return sampling.rotation(read(spark, d, "customer"), "c_custkey", 6).select("round", F.col("grp").cast("long").alias("grp"), "A", "B", "C")
