@@ -22,8 +22,8 @@ LEAST_CHAIN, GAP, WIDEST = 10, 0.2, 60
 BRIDGE = 3
 #: Ungapped extension ends when its score falls so far.
 DROP = 4
-#: Bytes of text whose seeds make a bucket, and seeds that are packed by bucket at once.
-BUCKET, PACKED = 8 << 20, 2 << 20
+#: Bytes of text whose seeds make a bucket, seeds that are packed by bucket at once, and seeds of a batch that is sent.
+BUCKET, PACKED, SENT = 8 << 20, 2 << 20, 1 << 17
 #: A seed with so many occurrences, or with this share of all, is linked by ranges of documents and not in its bucket; at most
 #: 1 / FREQUENT_SHARE seeds are. Occurrences of one among PACKED that make it count, and rows of frequent seeds in a range.
 FREQUENT, FREQUENT_SHARE, TOLD, RANGE = 1 << 20, 2e-6, 16, 1 << 20
@@ -64,9 +64,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def told() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
+        h = np.concatenate(held)
         held.clear()
-        total, h, n = int(n.sum()), h[n >= TOLD], n[n >= TOLD]
+        h.sort()
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        n, total = np.diff(np.append(begin, len(h))), len(h)
+        h, n = h[begin[n >= TOLD]], n[n >= TOLD]
         return pa.RecordBatch.from_arrays([pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), total], pa.int64())], names=["h", "n"])
 
     for whole in batches:
@@ -142,31 +145,37 @@ def by_ranges(texts: DataFrame, ordered: np.ndarray) -> DataFrame:
 
 def _seeds(batches: Iterator[pa.RecordBatch], buckets: int, without: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Seeds by bucket, packed: a bucket is a range of hashes, told by the upper 16 bits; the lower 48 stay in a seed."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def packed() -> pa.RecordBatch:
-        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        at = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        to = np.searchsorted(at[order], np.arange(buckets + 1))
+    held: tuple[list[np.ndarray], ...] = ([], [], [])
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        # Column by column, and sent in parts: several copies of all the seeds at once would be most of a task's memory.
+        columns = []
+        for parts in held:
+            columns.append(np.concatenate(parts))
+            parts.clear()
+        h, doc, pos = columns
+        at = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+        order = np.argsort(at, kind="stable").astype(np.uint32)
+        to = np.append(0, np.cumsum(np.bincount(at, minlength=buckets)))
         some = np.flatnonzero(np.diff(to))
-        cut = [slice(to[i], to[i + 1]) for i in some]
-        low = h.view(np.uint8).reshape(-1, 8)[:, :6]
-        columns = [[low[c].T.tobytes() for c in cut], [_planes(doc[c]) for c in cut], [_planes(pos[c]) for c in cut]]
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "h", "doc", "pos"])
+        for part in np.split(some, np.flatnonzero(np.diff(to[some] // SENT)) + 1):
+            picked = order[to[part[0]] : to[part[-1] + 1]]
+            low, d, w = h[picked].view(np.uint8).reshape(-1, 8)[:, :6], doc[picked], pos[picked]
+            cut = [slice(to[i] - to[part[0]], to[i + 1] - to[part[0]]) for i in part]
+            binary = [[low[c].T.tobytes() for c in cut], [_planes(d[c]) for c in cut], [_planes(w[c]) for c in cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x, pa.binary()) for x in binary)], names=["bucket", "h", "doc", "pos"])
 
     for whole in batches:
         for batch in slices(whole, "text"):
             row, pos, h = seeds_of(text_buffers(batch.column(1)))
             if len(without):
                 row, pos, h = (x[~among(h, without)] for x in (row, pos, h))
-            held.append((h, batch.column(0).to_numpy()[row], pos.astype(np.uint32)))
-            if sum(len(x[0]) for x in held) >= PACKED:
-                yield packed()
-    if held:
-        yield packed()
+            for parts, x in zip(held, (h, batch.column(0).to_numpy()[row], pos.astype(np.uint32)), strict=True):
+                parts.append(x)
+            if sum(len(x) for x in held[0]) >= PACKED:
+                yield from packed()
+    if sum(len(x) for x in held[0]):
+        yield from packed()
 
 
 def facing(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
