@@ -413,3 +413,31 @@ def test_stages_take_odd_rows(spark):
             assert out.columns == df.columns
             assert out.count() <= df.count()
     assert corpus_pipeline.keep_one_of_each_group(spark, docs, str(SF)).count() == 5
+
+
+@pytest.mark.parametrize(("slots", "sent", "packed", "buckets"), [(1, 1, 1, 16), (5, 7, 40, 16), (3, 1 << 17, 2 << 20, 1 << 16)])
+def test_packed_seeds_are_all_seeds(monkeypatch, slots, sent, packed, buckets):
+    """Whatever is packed and sent at once, every seed comes once, in the bucket of its hash; and counts are those of all."""
+    monkeypatch.setattr(passages, "SENT", sent)
+    monkeypatch.setattr(passages, "PACKED", packed)
+    monkeypatch.setattr(passages, "TOLD", 1)
+    texts = [*corpus()[:60], "", None, "one two three", "a a a a a a a a"]
+    row, pos, h = passages.seeds_of(passages.text_buffers(pa.array(texts, pa.string())))
+    ids = np.arange(len(texts), dtype=np.int64) * 3 - 7
+    whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string())], names=["doc", "text"])
+    batches = [whole.slice(i, slots) for i in range(0, len(texts), slots)]
+    low = np.uint64((1 << 48) - 1)
+    want = Counter(zip(((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).tolist(), (h & low).tolist(), ids[row].tolist(), pos.tolist(), strict=True))
+    got = Counter()
+    for out in passages._seeds(iter(batches), buckets, np.zeros(0, np.uint64)):
+        for bucket, *columns in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            held = [passages._unplanes(x, kind, width).tolist() for x, kind, width in zip(columns, (np.uint64, np.int64, np.uint32), (6, 8, 4), strict=True)]
+            got.update((bucket, *x) for x in zip(*held, strict=True))
+    assert got == want
+    counts = Counter()
+    for out in passages._counts(b.select(["text"]) for b in batches):
+        for seed, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            counts[seed] += n
+    assert counts.pop(None) == len(h)
+    assert counts == Counter(h.view(np.int64).tolist())
+    assert list(passages._seeds(iter(batches), buckets, np.sort(h))) == []
