@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmeter.llm import bpe, counts, embeddings, html, minhash, packing, passages, sharding, toxicity
+from voxmeter.llm import bpe, counts, embeddings, html, minhash, packing, passages, sharding, toxicity, trie
 from voxmeter.sources.session import prepare
 
 
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "spans")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(*trie.with_heads(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_counts": op9_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_trie": op11_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -110,4 +115,20 @@ ORACLE: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(c.component_id, e.vec_id), true) AS kept
         FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    # h is crc32 of the decimal id, bit by bit; a node is a list of turns.
+    "op11_trie": """
+        WITH own AS (
+            SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (
+            SELECT c, l, (xor(list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::INTEGER, 1))::BIGINT),
+                lambda a, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x % 2) * 3988292384), xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 6)::INTEGER AS h FROM own),
+        r AS (SELECT h.c, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100),
+        p AS (SELECT c, len(l) AS n, d, l[1:d] AS k FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM r)),
+        n AS (
+            SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+                (count(*) - 1) * coalesce(length(k[d].text), 0) AS saved FROM p GROUP BY k, d),
+        m AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.k[1:n.d] = n.k) AS n_children FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]),
+        s AS (SELECT m.k, m.d, sum(x.saved)::BIGINT AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves FROM m JOIN m x ON x.d >= m.d AND x.k[1:m.d] = m.k GROUP BY m.k, m.d)
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN s USING (k, d)""",
 }
