@@ -64,13 +64,10 @@ def test_batches_leave_one_remainder_at_most(spark):
     assert {r["count"] for r in out} == {32}
 
 
-def test_clusters_refuse_huge_recordings(spark, monkeypatch):
-    import pytest
-
-    from voxmeter.operators import intervals
+def test_clusters_of_a_recording_of_any_size(spark, monkeypatch):
+    from voxmeter.operators import intervals, linkage
 
     df = spark.createDataFrame([("a", [1.0, float(i)]) for i in range(5)], "rec string, v array<double>")
     assert intervals.clusters(df, "rec", "v", 0.5).first()["n"] == 5
-    monkeypatch.setattr(intervals, "WINDOWS", 4)
-    with pytest.raises(ValueError, match="more than 4"):
-        intervals.clusters(df, "rec", "v", 0.5)
+    monkeypatch.setattr(linkage, "LARGE", 4)
+    assert intervals.clusters(df, "rec", "v", 0.5).first()["n"] == 5

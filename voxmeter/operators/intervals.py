@@ -11,8 +11,6 @@ from voxmeter.operators.aggregates import count_if
 
 #: Anchors are broadcast up to so many; a table of more is no set of classes.
 ANCHORS = 10_000
-#: Vectors of a recording that are clustered; a recording of more is refused.
-WINDOWS = 2_000
 
 
 def frames(df: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -53,31 +51,15 @@ def nearest_anchor(df: DataFrame, id_col: str, vector: str, label: str) -> DataF
 
 
 def clusters(df: DataFrame, rec: str, vector: str, cutoff: float) -> DataFrame:
-    """rec, n, clusters: average-linkage clusters of a recording's vectors by cosine distance, merged up to the cutoff.
+    """rec, n, clusters: average-linkage clusters of a recording's vectors by cosine distance, merged below the cutoff.
 
-    A recording's windows are few (minutes of sound), so one recording is one group; more than WINDOWS raise.
+    Vectors are numbered once; see linkage.clustered for recordings of any size.
     """
-    import numpy as np
-    import pandas as pd
-
-    most = df.groupBy(rec).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > WINDOWS:
-        raise ValueError(f"a recording has {most} vectors, more than {WINDOWS}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf[vector]])
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        groups = [[i] for i in range(len(x))]
-        dist = 1 - x @ x.T
-        while len(groups) > 1:
-            pairs = [(dist[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-            best, i, j = min(pairs)
-            if best > cutoff:
-                break
-            groups[i] += groups.pop(j)
-        return pd.DataFrame({rec: [pdf[rec].iloc[0]], "n": [len(x)], "clusters": [len(groups)]})
-
-    return df.select(rec, vector).groupBy(rec).applyInPandas(run, f"{rec} {df.schema[rec].dataType.simpleString()}, n long, clusters long")
+    from voxmeter.operators import linkage
+    from voxmeter.sources.session import written
+
+    rows = written(df.select(rec, F.col(vector).cast("array<double>").alias(vector), F.monotonically_increasing_id().alias("_id")), "vectors")
+    return linkage.clusters(rows, rec, "_id", vector, cutoff)
 
 
 def overlap_intervals(explicit: Column, unit: Column, single: Column, target: Column, other: Column, length: Column, total: int, rate: int) -> Column:

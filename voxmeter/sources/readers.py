@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import codecs
+import csv
+import functools
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxmeter.sources.session import prepare
+
 
 def json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A JSON array, or a document whose rows or results hold one: a row for each item."""
@@ -19,8 +27,12 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """A row for each line that isn't blank; strict: a line that isn't an object of the schema fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """A row for each line that isn't blank; strict: a line that isn't an object of the schema raises with its file and number."""
+    if strict:
+        from voxmeter.sources.lines import json_objects
+
+        return json_objects(spark, path, schema)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 def json_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -29,25 +41,43 @@ def json_lookup(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")))
 
 
-#: Encodings that Spark's CSV source reads itself.
-SPARK_CHARSETS = {"utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+#: Bytes of a file that its header may take, and different headers that one table may have.
+HEADER_BYTES, MOST_HEADERS = 1 << 16, 1000
+
 
+def _header(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[pa.RecordBatch]:
+    """Paths -> the names in each file's first record, from its first bytes alone."""
+    from voxmeter.sources.sound import opened
 
-def csv_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with a header; a byte order mark before the first name goes. Other encodings than Spark's own are decoded
-    file by file, and may have no line breaks inside a cell."""
-    if encoding.lower() in SPARK_CHARSETS:
-        df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    for batch in batches:
+        names = []
+        for path in batch.column(0).to_pylist():
+            with opened(path) as f:
+                text = codecs.getincrementaldecoder(encoding)("replace").decode(f.read(HEADER_BYTES))
+            names.append(next(csv.reader(io.StringIO(text.lstrip("\ufeff"), newline="")), []))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["path", "names"])
 
-    @F.pandas_udf(T.StringType())
-    def decoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: bytes(x).decode(encoding).lstrip("\ufeff"))
 
-    lines = spark.read.format("binaryFile").load(path).select(F.filter(F.split(decoded("content"), "\r?\n"), lambda x: x != "").alias("l"))
-    names = lines.select(F.col("l")[0]).first()[0].split(",")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return lines.select(F.explode(F.slice("l", F.lit(2), F.greatest(F.size("l"), F.lit(1)))).alias("v")).select(F.from_csv("v", schema).alias("r")).select("r.*")
+def csv_rows(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*.csv") -> DataFrame:
+    """CSV files, each with its own header; a byte order mark before the first name goes. Columns that a file lacks are null.
+
+    Any encoding that Java knows, such as gb18030: Spark's reader decodes and splits a file as a stream, so quoted cells may
+    hold commas, quotes (doubled) and line breaks, and a file may be larger than memory. Only the headers' distinct forms come
+    to the driver; files of one form are one scan.
+    """
+    prepare(spark)
+    # Spark refuses most charsets unless this is set.
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    told = files.mapInArrow(functools.partial(_header, encoding=encoding), "path string, names array<string>")
+    forms = told.groupBy("names").agg(F.collect_list("path").alias("paths")).limit(MOST_HEADERS + 1).collect()
+    if len(forms) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers")
+    reader = spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+    tables = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in f["names"]])).csv(f["paths"]) for f in sorted(forms, key=lambda f: f["names"])]
+    if not tables:
+        raise ValueError(f"no files: {path}")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +95,7 @@ def phrases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """path, length of files at any depth, contents unread."""
+    """path, length of files at any depth, contents unread; Spark lists no empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
@@ -86,30 +116,6 @@ def runs(spark: SparkSession, glob: str) -> DataFrame:
     return df.select("*", run.alias("run_id"), F.split(run, "_")[0].alias("dim"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _seconds(head: pd.Series) -> pd.Series:
-    def of(data: bytes | None) -> float:
-        if not data or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-            return 0.0
-        at, rate = 12, 0
-        while at + 8 <= len(data):
-            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-            if name == b"fmt ":
-                rate = int.from_bytes(data[at + 16 : at + 20], "little")
-            if name == b"data":
-                return size / rate if rate else 0.0
-            at += 8 + size + size % 2
-        return 0.0
-
-    return head.map(of)
-
-
-def wav_seconds(spark: SparkSession, path: str) -> DataFrame:
-    """path, seconds of sound files by their headers; 0 for what can't be read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
-    return files.select("path", _seconds(F.substring("content", 1, 4096)).alias("seconds"))
-
-
 def vectors(df: DataFrame, col: str, dim: int) -> DataFrame:
     """The rows, or an error in the job that meets a vector of another length or with a component that isn't finite."""
     good = F.col(col).isNotNull() & (F.size(col) == dim) & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

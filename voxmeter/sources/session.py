@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -42,3 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="voxmeter-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: iterations cut their lineage so, and lost executors don't matter."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def named_dir(spark: SparkSession, name: str) -> str:
+    """A folder of this name that later runs find again: right under spark.checkpoint.dir, not in the application's own folder."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or shared_dir(spark)}/named/{name}"
