@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from voxmeter.functions import vectors
 from voxmeter.operators.aggregates import count_if
+from voxmeter.sources.session import written
 
-#: Anchors are broadcast up to so many; a table of more is no set of classes.
-ANCHORS = 10_000
+#: Bytes of anchors that are broadcast at a time.
+ANCHOR_BYTES = 8 << 20
 
 
 def frames(df: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -33,21 +34,38 @@ def top_share_mean(df: DataFrame, key: str, value: str, order: str, share: float
     return told.where(F.col("_k") <= F.greatest(F.ceil(F.col("_n") * share), F.lit(1))).groupBy(key).agg(F.avg(value).alias("top_mean"))
 
 
-def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, mean: the mean vector of each key, component by component."""
+def mean_vectors(df: DataFrame, key: str, vector: str, unit: bool = False) -> DataFrame:
+    """key, mean: the mean vector of each key, component by component; with unit, of vectors of length 1, itself of length 1.
+
+    A vector without length takes no part then.
+    """
+    if unit:
+        df = df.withColumn(vector, vectors.unit(F.col(vector)))
     each = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    told = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    return told.withColumn("mean", vectors.unit(F.col("mean"))) if unit else told
 
 
-def nearest_anchor(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """id, anchor, max_sim: the class whose mean vector has the highest cosine, the first of equal ones."""
-    anchors = mean_vectors(df, label, vector)
-    if anchors.count() > ANCHORS:
-        raise ValueError(f"more than {ANCHORS} classes")
-    met = df.select(id_col, vector).crossJoin(F.broadcast(anchors))
-    sim = vectors.cosine(F.col(vector), F.col("mean"))
-    best = met.groupBy(id_col).agg(F.max_by(F.struct(F.col(label).alias("anchor"), sim.alias("sim")), F.struct(F.round(sim, 9), -F.col(label))).alias("b"))
-    return best.select(id_col, "b.anchor", F.col("b.sim").alias("max_sim"))
+def nearest_anchor(df: DataFrame, id_col: str, vector: str, label: str, unit: bool = False) -> DataFrame:
+    """id, anchor, max_sim: the class whose mean vector has the highest cosine, the first of equal ones.
+
+    Anchors are written, measured and cut into parts of ANCHOR_BYTES; a part is one row, an array of anchors, so each vector
+    meets a part in its own row and no pair of them is one. Parts are broadcast one after another, never two at a time.
+    """
+    anchors = written(mean_vectors(df, label, vector, unit), "anchors")
+    size = anchors.agg(F.sum(F.size("mean") * 8 + 64)).first()[0] or 0
+    parts = max(1, -(-size // ANCHOR_BYTES))
+    found = None
+    for p in range(parts):
+        held = anchors.where(F.pmod(F.xxhash64(label), F.lit(parts)) == p).agg(F.collect_list(F.struct(F.col(label).alias("label"), "mean")).alias("_held"))
+        sim = lambda a: vectors.cosine(F.col(vector), a["mean"])
+        best = F.array_max(F.transform("_held", lambda a: F.struct(F.round(sim(a), 9).alias("r"), (-a["label"]).alias("k"), sim(a).alias("sim"), a["label"].alias("anchor"))))
+        each = df.select(id_col, vector).crossJoin(F.broadcast(held)).select(id_col, best.alias("b")).where("b is not null")
+        if parts == 1:
+            return each.select(id_col, "b.anchor", F.col("b.sim").alias("max_sim"))
+        each = written(each, "nearest")
+        found = each if found is None else found.unionByName(each)
+    return found.groupBy(id_col).agg(F.max("b").alias("b")).select(id_col, "b.anchor", F.col("b.sim").alias("max_sim"))
 
 
 def clusters(df: DataFrame, rec: str, vector: str, cutoff: float) -> DataFrame:
@@ -56,7 +74,6 @@ def clusters(df: DataFrame, rec: str, vector: str, cutoff: float) -> DataFrame:
     Vectors are numbered once; see linkage.clustered for recordings of any size.
     """
     from voxmeter.operators import linkage
-    from voxmeter.sources.session import written
 
     rows = written(df.select(rec, F.col(vector).cast("array<double>").alias(vector), F.monotonically_increasing_id().alias("_id")), "vectors")
     return linkage.clusters(rows, rec, "_id", vector, cutoff)

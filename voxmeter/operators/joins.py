@@ -69,10 +69,20 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, width: float) -> DataFrame
 
 
 def common_members(df: DataFrame, group: str, member: str, least: int) -> DataFrame:
-    """Pairs of groups (a < b) with `least` common members or more, and how many. A member's groups meet, no other pairs."""
-    one = df.select(group, member).distinct()
-    a, b = one.select(F.col(group).alias("a"), member), one.select(F.col(group).alias("b"), member)
-    return a.join(b, member).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
+    """Pairs of groups (a < b) with `least` common members or more, and how many.
+
+    Two such groups share one of the first size - least + 1 members of each, if all order theirs alike: the rarest first. So
+    groups meet by these alone, and a member that very many groups hold brings hardly any together; the pairs that meet are
+    then counted over all their members.
+    """
+    one = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()
+    freq = one.groupBy(member).agg(F.count(F.lit(1)).alias("_f"))
+    by = Window.partitionBy(group).orderBy("_f", member)
+    ranked = one.join(freq, member).select(group, member, F.row_number().over(by).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("_n"))
+    head = ranked.where(F.col("_r") <= F.col("_n") - least + 1)
+    met = head.select(F.col(group).alias("a"), member).join(head.select(F.col(group).alias("b"), member), member).where("a < b").select("a", "b").distinct()
+    mine, other = one.select(F.col(group).alias("a"), member), one.select(F.col(group).alias("b"), member)
+    return met.join(mine, "a").join(other, ["b", member]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
 
 
 def nth_of_key(requests: DataFrame, items: DataFrame, key: str, order_requests: str, order_items: str) -> DataFrame:

@@ -138,9 +138,9 @@ def bootstrap_spearman(df: DataFrame, key: str, x: str, y: str, replicates: int
     rows = poisson_weights(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, replicates, seed).groupBy("replicate", x, y).agg(F.sum("w").alias("w"))
 
     def ranked(c: str, name: str) -> DataFrame:
-        each = rows.groupBy("replicate", c).agg(F.sum("w").alias("_c"))
-        upto = F.sum("_c").over(Window.partitionBy("replicate").orderBy(c))
-        return each.select("replicate", c, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
+        # Ranges of values within each replicate, so no task holds one.
+        told = cumulative(rows, c, {"_c": F.sum("w")}, within=("replicate",))
+        return told.select("replicate", c, (F.col("_c_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
 
     w, a, b = F.col("w"), F.col("_a"), F.col("_b")
     s = rows.join(ranked(x, "_a"), ["replicate", x]).join(ranked(y, "_b"), ["replicate", y]).groupBy("replicate").agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.sum(w * a * b).alias("ab"))

@@ -29,23 +29,34 @@ def _place(value: Column, edges: list[float]) -> Column:
     return F.when(block < 0, 0).otherwise(block * 64 + among(F.get(held, block)))
 
 
-def cumulative(df: DataFrame, by: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+def cumulative(df: DataFrame, by: str, sums: dict[str, Column], descending: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
     """by, then for each sum its value at `by` (x), up to and with it (x_upto), and in all (x_all). Ties are one row.
 
     Values are grouped first and cut into ranges; sums of ranges and sums within a range add up, so no task sees all rows.
+    With keys in `within` (replicates, labels) each of them has sums of its own, over the same ranges.
     """
-    grouped = df.where(F.col(by).isNotNull()).groupBy(by).agg(*[c.alias(k) for k, c in sums.items()])
+    grouped = df.where(F.col(by).isNotNull()).groupBy(*within, by).agg(*[c.alias(k) for k, c in sums.items()])
     edges = bounds_of(grouped, by)
     part = _place(F.col(by), edges)
     grouped = grouped.withColumn("_part", -part if descending else part)
     order = F.desc(by) if descending else F.asc(by)
-    inside = Window.partitionBy("_part").orderBy(order)
-    parts = grouped.groupBy("_part").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
-    # One row for each range goes through this window.
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}_base") for k in sums], *[F.sum(f"_{k}").over(Window.partitionBy()).alias(f"{k}_all") for k in sums])
-    told = grouped.withColumns({f"{k}_upto": F.sum(k).over(inside) for k in sums}).join(F.broadcast(parts), "_part")
-    return told.select(by, *sums, *[(F.col(f"{k}_upto") + F.col(f"_{k}_base")).alias(f"{k}_upto") for k in sums], *[f"{k}_all" for k in sums])
+    inside = Window.partitionBy(*within, "_part").orderBy(order)
+    parts = grouped.groupBy(*within, "_part").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
+    # One row for each range (of a key) goes through this window.
+    upto = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*within, "_part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}_base") for k in sums], *[F.sum(f"_{k}").over(Window.partitionBy(*within)).alias(f"{k}_all") for k in sums])
+    told = grouped.withColumns({f"{k}_upto": F.sum(k).over(inside) for k in sums}).join(parts if within else F.broadcast(parts), [*within, "_part"])
+    return told.select(*within, by, *sums, *[(F.col(f"{k}_upto") + F.col(f"_{k}_base")).alias(f"{k}_upto") for k in sums], *[f"{k}_all" for k in sums])
+
+
+def percentiles(df: DataFrame, value: str, at: dict[str, float], within: tuple[str, ...] = ()) -> DataFrame:
+    """Keys of `within` and a column for each share: interpolated between the two values around it, from cumulative counts."""
+    told = cumulative(df, value, {"_n": F.count(F.lit(1))}, within=within)
+    place = lambda q: q * (F.col("_n_all") - 1)
+    first = lambda k: F.min(F.when(F.col("_n_upto") > k, F.col(value)))
+    sides = {n: F.struct(first(F.floor(place(q))).alias("lo"), first(F.ceil(place(q))).alias("hi"), F.max(place(q) - F.floor(place(q))).alias("w")) for n, q in at.items()}
+    held = told.groupBy(*within).agg(*[c.alias(n) for n, c in sides.items()])
+    return held.select(*within, *[(F.col(f"{n}.lo") + (F.col(f"{n}.hi") - F.col(f"{n}.lo")) * F.col(f"{n}.w")).alias(n) for n in at])
 
 
 def mean_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
