@@ -60,7 +60,18 @@ def eligible(df: DataFrame, group: str, item: str, least: int) -> DataFrame:
 def replacement_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """Characters that stand for others in texts of equal length that differ in one place: wrong, right, n."""
     both = df.where(F.length(a) == F.length(b)).select(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] != p["y"]).alias("d"))
-    return both.where(F.size("d") == 1).select(F.col("d")[0]["y"].alias("wrong"), F.col("d")[0]["x"].alias("right")).groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n"))
+    return both.where(F.size("d") == 1).select(F.get("d", F.lit(0))["y"].alias("wrong"), F.get("d", F.lit(0))["x"].alias("right")).groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """The rows with place (from 1, without gaps, by key) and all (how many keys): a key of its own for each row.
+
+    Places come from cumulative counts over ranges of keys, so no task sees all rows.
+    """
+    from voxmeter.operators.windows import cumulative
+
+    told = cumulative(df, key, {"_k": F.max(F.lit(1).cast("long"))}).select(key, F.col("_k_upto").alias("place"), F.col("_k_all").alias("all"))
+    return df.join(told, key)
 
 
 def placed(target: Column, other: Column, u: Column) -> Column:

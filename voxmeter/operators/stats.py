@@ -67,7 +67,7 @@ def fit_threshold(df: DataFrame, feature: str, raw: str, enhanced: str) -> DataF
 
 
 def leave_one_out(df: DataFrame, group: str, feature: str, raw: str, enhanced: str) -> DataFrame:
-    """group, thr, errors: the threshold fitted on all other groups, and this group's errors by it.
+    """group, thr, errors, accepted: the threshold fitted on all other groups, and this group's errors and accepted rows by it.
 
     All rows' cumulative sums by threshold, less the group's own, are each fold's errors. Between two of the group's own
     values its own sums stay, so the best threshold there is the best of all rows' sums: each such stretch is a few nodes of
@@ -107,7 +107,7 @@ def leave_one_out(df: DataFrame, group: str, feature: str, raw: str, enhanced: s
     fold = met.join(own, group).crossJoin(F.broadcast(total)).select(group, F.col("best.thr").alias("thr"), (F.col("base") - F.col("own_base") + F.col("best.d") - F.col("ud")).alias("errors"), (F.col("best.n") - F.col("un")).alias("accepted"))
     none = own.crossJoin(F.broadcast(total)).select(group, F.lit(float("-inf")).alias("thr"), (F.col("base") - F.col("own_base")).alias("errors"), F.lit(0).cast("long").alias("accepted"))
     fits = _fit(fold.unionByName(none), [group]).select(group, "thr")
-    return df.join(fits, group).groupBy(group, "thr").agg(F.sum(F.when(F.col(feature) <= F.col("thr"), e).otherwise(r)).alias("errors"))
+    return df.join(fits, group).groupBy(group, "thr").agg(F.sum(F.when(F.col(feature) <= F.col("thr"), e).otherwise(r)).alias("errors"), F.sum(F.when(F.col(feature) <= F.col("thr"), 1).otherwise(0)).alias("accepted"))
 
 
 def bootstrap_threshold(df: DataFrame, key: str, sim: str, rate: str, negative: str, thresholds: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
@@ -148,6 +148,29 @@ def bootstrap_spearman(df: DataFrame, key: str, x: str, y: str, replicates: int
     return s.select("replicate", ((F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.nullif(low, F.lit(0.0))).alias("rho"))
 
 
+def bootstrap_pooled(df: DataFrame, groups: list[str], cluster: str, err: str, units: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """groups, pooled, lo, hi, valid: pooled rates with their intervals over replicates of whole clusters, each group by itself.
+
+    Null bounds where fewer than max(20, a tenth of the replicates) hold any unit. Sums by cluster come first.
+    """
+    sums = df.groupBy(*groups, cluster).agg(F.sum(err).alias("_e"), F.sum(units).alias("_u"))
+    w = F.col("w")
+    each = poisson_weights(sums, cluster, replicates, seed).groupBy(*groups, "replicate").agg(F.sum(w * F.col("_e")).alias("e"), F.sum(w * F.col("_u")).alias("u")).where("u > 0")
+    ok = F.count(F.lit(1))
+    at = lambda q: F.when(ok >= max(20, replicates // 10), F.percentile(F.col("e") / F.col("u"), F.lit(q)))
+    told = each.groupBy(*groups).agg(at(0.025).alias("lo"), at(0.975).alias("hi"), ok.alias("valid"))
+    return sums.groupBy(*groups).agg((F.sum("_e") / F.nullif(F.sum("_u"), F.lit(0))).alias("pooled")).join(told, groups).select(*groups, "pooled", "lo", "hi", "valid")
+
+
+def bootstrap_auc(df: DataFrame, key: str, score: str, positive: str, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """replicate, auc: each replicate's AUC, ties a half, from cumulative weights within it; null with one class only."""
+    y, w = F.col(positive), F.col("w")
+    rows = poisson_weights(df.where(F.col(score).isNotNull() & y.isNotNull()), key, replicates, seed)
+    told = cumulative(rows, score, {"p": F.sum(F.when(y, w).otherwise(0)), "q": F.sum(F.when(y, 0).otherwise(w))}, within=("replicate",))
+    wins = F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2.0))
+    return told.groupBy("replicate").agg((wins / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0))).alias("auc"))
+
+
 def interval(replicates: DataFrame, value: str, wanted: int, share: float = 0.95) -> DataFrame:
     """lo, hi, valid: the interval of a statistic over its replicates; null unless max(20, a tenth of those wanted) are valid."""
     ok = F.count(value)

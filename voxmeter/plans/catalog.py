@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmeter.plans import comparisons, evaluation, registry, relations, selection  # noqa: F401  importing registers their queries
+from voxmeter.plans import comparisons, derived, evaluation, registry, relations, selection  # noqa: F401  importing registers their queries
 from voxmeter.plans.registry import Query
 
 FLAGSHIP = "q2_eval_summary"

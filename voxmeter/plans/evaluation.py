@@ -372,7 +372,7 @@ f AS (SELECT c.spk, thr, sum(CASE WHEN sim <= thr THEN err_b ELSE err END) AS er
 b AS (SELECT spk, thr FROM (SELECT *, row_number() OVER (PARTITION BY spk ORDER BY errors, accepted, thr) AS k FROM f) WHERE k = 1) SELECT spk, thr, sum(CASE WHEN sim <= thr THEN err_b ELSE err END)::BIGINT AS errors FROM b JOIN utt USING (spk) GROUP BY spk, thr""")
 def leave_one_out(spark, d):
     """Thresholds fitted without a speaker, used on that speaker."""
-    return stats.leave_one_out(utterances(spark, d), "spk", "sim", "err", "err_b")
+    return stats.leave_one_out(utterances(spark, d), "spk", "sim", "err", "err_b").drop("accepted")
 
 
 @query("m5_bootstrap_delta", f"""WITH {UTT_SQL}, c AS (SELECT spk, sum(n) AS u, sum(err) AS b, sum(err_b) AS a FROM utt GROUP BY spk), w AS (SELECT *, {weight_sql('spk', 'replicate')} AS w FROM c, range(100) r(replicate)), x AS (SELECT replicate, (sum(w * a) - sum(w * b)) / sum(w * u) AS d FROM w WHERE w > 0 GROUP BY replicate)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from voxmeter.functions import errors, hashing, scores, text, vectors
 from voxmeter.operators import aggregates as agg
-from voxmeter.operators import intervals, protocol, sampling, stats, sweep
+from voxmeter.operators import intervals, protocol, sampling, stats, sweep, windows
 from voxmeter.plans.evaluation import CURVE_SQL, THR, r6
 from voxmeter.plans.fixtures import UTT_SQL, read, utterances, weight_sql
 from voxmeter.plans.registry import query
@@ -78,15 +78,6 @@ def replacement_scheme(spark, d):
     return rows.agg(agg.count_if(a < b).alias("better"), agg.count_if(a > b).alias("worse"), r6(errors.pooled(b, F.col("n")), "before"), r6(errors.pooled(a, F.col("n")), "after"))
 
 
-@query("t29_routes", """SELECT CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0 END::INT AS idx, CASE p_size % 4 WHEN 0 THEN 'score_5.50_vs_-8.50' WHEN 1 THEN 'score_-8.50_vs_5.50' WHEN 2 THEN 'tie_both_valid_shorter' ELSE 'tie_both_invalid_fallback_src0' END AS reason, count(*) AS n FROM part GROUP BY 1, 2""")
-def routes(spark, d):
-    """Which of two transcripts to take, and why."""
-    good, bad, k = F.lit("打开空调"), F.lit("中国市场同比增长"), F.col("p_size") % 4
-    rows = read(spark, d, "part").select(F.when((k == 0) | (k == 2), good).otherwise(bad).alias("a"), F.when((k == 1) | (k == 2), good).otherwise(bad).alias("b"))
-    told = rows.select(text.pick_route(F.col("a"), F.col("b"), text.command_score(F.col("a")), text.command_score(F.col("b"))).alias("r"))
-    return told.groupBy("r.idx", "r.reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("t13_loops", """SELECT event_id % 3 >= 1 AS cyclic, event_id % 3 = 2 AS loop, count(*) AS n FROM events GROUP BY 1, 2""")
 def loops(spark, d):
     """Texts that repeat a piece twice, and three times."""
@@ -94,13 +85,6 @@ def loops(spark, d):
     return read(spark, d, "events").select(t.alias("t")).groupBy(text.is_cyclic(F.col("t")).alias("cyclic"), text.is_loop(F.col("t")).alias("loop")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t36_choices", """SELECT CASE event_id % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'A' END AS choice, count(*) AS n FROM events GROUP BY 1""")
-def choices(spark, d):
-    """A or B from answers in prose."""
-    raw = F.element_at(F.array(*map(F.lit, (" b.", "the answer", "a or b", "no"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, d, "events").groupBy(text.parse_choice(raw).alias("choice")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("t38_picks", f"""WITH {UTT_SQL}, x AS (SELECT *, sim >= 0.5 AS a, sim_b >= 0.5 AS b FROM utt) SELECT uid, CASE WHEN a AND b THEN 'longest' WHEN a OR b THEN 'unique' ELSE 'none' END AS mode, CASE WHEN a AND b THEN CASE WHEN length(hyp_b) > length(hyp) THEN hyp_b ELSE hyp END WHEN a THEN hyp WHEN b THEN hyp_b ELSE '' END AS text FROM x""")
 def picks(spark, d):
     """One of several speakers' texts."""
@@ -126,7 +110,8 @@ def active(spark, d):
 @query("p12_first_rows", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100""")
 def first_rows(spark, d):
     """The first hundred rows in the order of the input, told by its ordinal."""
-    return read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
+    rows = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return rows.orderBy("file", "at").limit(100).select("o_orderkey", "o_totalprice")
 
 
 @query("p13_guard", """SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderpriority LIKE '%URGENT%') AS marked, count(DISTINCT o_orderpriority) AS strings FROM orders GROUP BY 1""")
@@ -138,22 +123,23 @@ def guard(spark, d):
     return told.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), agg.count_if(F.col("marked")).alias("marked"), F.countDistinct("s").alias("strings"))
 
 
-@query("j14_factorial", """SELECT s_suppkey AS target, ov AS overlap, snr, (s_suppkey + ov + snr) % (SELECT count(*) FROM supplier) AS pick FROM supplier, (VALUES (0), (2), (4)) a(ov), (VALUES (0), (5), (10)) b(snr)""")
+@query("j14_factorial", """WITH s AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier), g AS (SELECT s_suppkey AS target, ov AS overlap, snr, (r + ov + snr + 1) % n AS pick FROM s, (VALUES (0), (2), (4)) a(ov), (VALUES (0), (5), (10)) b(snr))
+SELECT target, overlap, snr, s_suppkey AS interferer, s_name AS name FROM g JOIN s ON r = pick""")
 def factorial(spark, d):
-    """Each target in each cell of a grid of conditions, with a seeded interferer's number."""
+    """Each target in each cell of a grid of conditions, with another supplier as interferer, by dense numbers."""
     s = read(spark, d, "supplier")
-    grid = s.select(F.col("s_suppkey").alias("target"), F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("overlap")).withColumn("snr", F.explode(F.array(*map(F.lit, (0, 5, 10)))))
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    return grid.crossJoin(F.broadcast(n)).withColumn("pick", (F.col("target") + F.col("overlap") + F.col("snr")) % F.col("n")).drop("n")
+    numbered = sampling.numbered(s.select("s_suppkey", "s_name"), "s_suppkey")
+    grid = numbered.select(F.col("s_suppkey").alias("target"), "place", "all", F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("overlap")).withColumn("snr", F.explode(F.array(*map(F.lit, (0, 5, 10)))))
+    picked = grid.select("target", "overlap", "snr", ((F.col("place") + F.col("overlap") + F.col("snr")) % F.col("all") + 1).alias("place"))
+    return picked.join(numbered.select("place", F.col("s_suppkey").alias("interferer"), F.col("s_name").alias("name")), "place").select("target", "overlap", "snr", "interferer", "name")
 
 
-@query("c4_pairs", """WITH n AS (SELECT count(*) AS n FROM customer), t AS (SELECT c_custkey AS target, (c_custkey + k * 7) % n + 1 AS other FROM customer, n, range(1, 4) r(k)) SELECT target, other, c_mktsegment AS segment FROM t JOIN customer ON c_custkey = other WHERE target <> other""")
+@query("c4_pairs", """WITH c AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer WHERE c_custkey % 3 <> 1), t AS (SELECT c_custkey AS target, (r + k * 7 - 1) % n + 1 AS pick FROM c, range(1, 4) x(k)) SELECT target, c_custkey AS other, c_mktsegment AS segment FROM t JOIN c ON r = pick WHERE target <> c_custkey""")
 def pairs(spark, d):
-    """Three interferers for each target, by arithmetic on dense ids, never the target itself."""
-    c = read(spark, d, "customer")
-    n = c.agg(F.count(F.lit(1)).alias("n"))
-    t = c.crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("target"), "n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("target", ((F.col("target") + F.col("k") * 7) % F.col("n") + 1).alias("other"))
-    return t.where("target <> other").join(c.select(F.col("c_custkey").alias("other"), F.col("c_mktsegment").alias("segment")), "other").select("target", "other", "segment")
+    """Three interferers for each target by their dense numbers, whatever gaps the ids have; never the target itself."""
+    c = sampling.numbered(read(spark, d, "customer").where("c_custkey % 3 <> 1").select("c_custkey", "c_mktsegment"), "c_custkey")
+    t = c.select(F.col("c_custkey").alias("target"), "place", "all", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("target", ((F.col("place") + F.col("k") * 7 - 1) % F.col("all") + 1).alias("place"))
+    return t.join(c.select("place", F.col("c_custkey").alias("other"), F.col("c_mktsegment").alias("segment")), "place").where("target <> other").select("target", "other", "segment")
 
 
 @query("j19_positional", """SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax) - 1)::INT AS place, l_quantity AS a, l_tax AS b FROM lineitem""")
@@ -255,19 +241,19 @@ def loso_sql(group: str, feature: str, name: str) -> str:
 @query("m15_holdout", f"""WITH {UTT_SQL}, x AS (SELECT *, floor(('0x' || substr(md5(concat(uid, '|0')), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold FROM utt), {loso_sql('fold', 'sim', 'o')} SELECT g AS fold, thr, errors FROM o""")
 def holdout(spark, d):
     """Thresholds fitted on four folds, used on the fifth."""
-    return stats.fit_by_fold(stats.folds(utterances(spark, d), "uid", 5), 5, "sim", "err", "err_b")
+    return stats.fit_by_fold(stats.folds(utterances(spark, d), "uid", 5), 5, "sim", "err", "err_b").drop("accepted")
 
 
-@query("q15_proxies", f"""WITH {UTT_SQL}, x AS (SELECT *, audio_sec AS len FROM utt), {loso_sql('overlap', 'sim', 'o')}, {loso_sql('overlap', 'len', 'p')}, a AS (SELECT 'sim' AS proxy, sum(errors) AS errors FROM o UNION ALL SELECT 'len', sum(errors) FROM p)
-SELECT proxy, round(errors / (SELECT sum(n) FROM utt), 6) AS loso_cer, row_number() OVER (ORDER BY errors, proxy) = 1 AS best FROM a""")
+@query("q15_proxies", f"""WITH {UTT_SQL}, x AS (SELECT *, audio_sec AS len FROM utt), {loso_sql('overlap', 'sim', 'o')}, {loso_sql('overlap', 'len', 'p')}, a AS (SELECT 'sim' AS proxy, sum(errors) AS errors, sum(accepted) AS accepted FROM o UNION ALL SELECT 'len', sum(errors), sum(accepted) FROM p)
+SELECT proxy, round(errors / (SELECT sum(n) FROM utt), 6) AS loso_cer, accepted::BIGINT AS accepted, row_number() OVER (ORDER BY errors, accepted, proxy) = 1 AS best FROM a""")
 def proxies(spark, d):
     """Each proxy's errors when its threshold comes from other speakers' data, and the best one."""
     u = utterances(spark, d).withColumn("len", F.col("audio_sec")).withColumn("grp", F.col("overlap"))
-    each = [stats.leave_one_out(u, "grp", p, "err", "err_b").agg(F.sum("errors").alias("errors")).select(F.lit(p).alias("proxy"), "errors") for p in ("sim", "len")]
+    each = [stats.leave_one_out(u, "grp", p, "err", "err_b").agg(F.sum("errors").alias("errors"), F.sum("accepted").alias("accepted")).select(F.lit(p).alias("proxy"), "errors", "accepted") for p in ("sim", "len")]
     told = sweep.union(each).crossJoin(F.broadcast(u.agg(F.sum("n").alias("units"))))
     # A row for each proxy.
-    best = F.row_number().over(Window.orderBy("errors", "proxy")) == 1
-    return told.select("proxy", r6(F.col("errors") / F.col("units"), "loso_cer"), best.alias("best"))
+    best = F.row_number().over(Window.orderBy("errors", "accepted", "proxy")) == 1
+    return told.select("proxy", r6(F.col("errors") / F.col("units"), "loso_cer"), "accepted", best.alias("best"))
 
 
 @query("m22_break_even", f"""WITH {UTT_SQL} SELECT round(1 / (1 + 0.9 * count(*) FILTER (negative) / count(*) FILTER (NOT negative)), 6) AS least FROM utt""")
@@ -301,8 +287,9 @@ def agreement(spark, d):
     e = read(spark, d, "embeddings")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o"))
     p = e.join(other, "vec_id").select("label", F.round(vectors.cosine(F.col("embedding"), F.col("o")), 9).alias("c"))
-    at = lambda q, name: F.round(F.percentile("c", F.lit(q)), 5).alias(name)
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 5).alias("mean"), at(0.5, "middle"), at(0.1, "low"), F.round(F.min("c"), 5).alias("least"))
+    told = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 5).alias("mean"), F.round(F.min("c"), 5).alias("least"))
+    each = windows.percentiles(p, "c", {"middle": 0.5, "low": 0.1}, ("label",))
+    return told.join(each, "label").select("label", "n", "mean", F.round("middle", 5).alias("middle"), F.round("low", 5).alias("low"), "least")
 
 
 @query("i5_overlaps", """WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS id, (l_quantity * 10)::BIGINT AS q, l_linenumber AS k FROM lineitem) SELECT id, CASE k % 3 WHEN 0 THEN 's' WHEN 1 THEN 'i' ELSE 'c' END AS source, greatest(0, CASE k % 3 WHEN 0 THEN 16 * q WHEN 1 THEN q ELSE greatest(q, 100) END - 20) AS "start", least(9000, CASE k % 3 WHEN 0 THEN 16 * q + 800 WHEN 1 THEN q + 90 ELSE greatest(q, 100) + 50 END + 20) AS "end"
