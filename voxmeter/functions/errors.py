@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmeter.functions.text import normalize, or_empty
@@ -40,3 +40,10 @@ def pooled(err: Column, n: Column) -> Column:
 def rejected_errors(err: Column, n: Column, rejected: Column) -> Column:
     """Errors of a row that may be rejected: all of its reference is then missing."""
     return F.when(rejected, n).otherwise(err)
+
+
+def batch_rates(pairs: DataFrame, dialect: str = "official") -> DataFrame:
+    """utt, cer, mean of paired texts (utt, hyp, ref): each row's rate, and the mean of all rows' rates beside it."""
+    each = pairs.select("utt", rate(errors(F.col("hyp"), F.col("ref"), dialect), units(F.col("ref"), dialect)).alias("cer"))
+    # One row.
+    return each.crossJoin(F.broadcast(each.agg(F.avg("cer").alias("mean"))))

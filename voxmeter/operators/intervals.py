@@ -27,6 +27,13 @@ def stno(frames_: DataFrame, rec: str, spk: str, frame: str, target: str) -> Dat
     return each.groupBy(rec).agg(count_if(t & ~o).alias("target"), count_if(~t).alias("others"), count_if(t & o).alias("overlap"))
 
 
+def stno_ratios(frames_: DataFrame, rec: str, spk: str, frame: str, target: str) -> DataFrame:
+    """rec, exclusive, active: shares of a recording's frames, from its first to its last, in which the target speaks alone, and at all."""
+    span = frames_.groupBy(rec).agg((F.max(frame) - F.min(frame) + 1).alias("_t"))
+    told = stno(frames_, rec, spk, frame, target).join(span, rec)
+    return told.select(rec, (F.col("target") / F.col("_t")).alias("exclusive"), ((F.col("target") + F.col("overlap")) / F.col("_t")).alias("active"))
+
+
 def top_share_mean(df: DataFrame, key: str, value: str, order: str, share: float) -> DataFrame:
     """Mean of the largest share of each key's values, one at least."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

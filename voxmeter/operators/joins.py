@@ -85,6 +85,25 @@ def common_members(df: DataFrame, group: str, member: str, least: int) -> DataFr
     return met.join(mine, "a").join(other, ["b", member]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
 
 
+def content_key(*cols: str) -> Column:
+    """A key of what a row holds: the SHA-256 of its values as JSON, nulls and all."""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def with_cached(manifest: DataFrame, cache: DataFrame, content: list[str], value: str, key: str = "key") -> DataFrame:
+    """The manifest's rows with key (see content_key), hit, and the value that a cache (key, value) holds for what they hold.
+
+    Rows of equal content share an entry, whatever their ids or paths; what a cache lacks is null, and misses() are to be made.
+    """
+    keyed = manifest.withColumn(key, content_key(*content))
+    return keyed.join(cache.select(key, value, F.lit(True).alias("hit")), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def misses(attached: DataFrame, content: list[str], key: str = "key") -> DataFrame:
+    """key and content of what the cache lacks, each once."""
+    return attached.where(~F.col("hit")).groupBy(key).agg(*[F.first(c).alias(c) for c in content])
+
+
 def nth_of_key(requests: DataFrame, items: DataFrame, key: str, order_requests: str, order_items: str) -> DataFrame:
     """Each request gets the next unused item of its key."""
     n = lambda d, o: d.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(o)))

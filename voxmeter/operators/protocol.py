@@ -87,10 +87,21 @@ def dominant(df: DataFrame, key: str, kind: str, priority: list[str]) -> DataFra
     return counted.groupBy(key).agg(F.max_by(kind, F.struct("n", -place, kind)).alias(kind))
 
 
-def batches(df: DataFrame, key: str, size: int, seed: int = 0, parts: int = 64) -> DataFrame:
-    """Column batch: rows in a seeded order, `size` to a batch, numbered over all of `parts` hash ranges; one short batch at most goes."""
+def batches(df: DataFrame, key: str, size: int, seed: int = 0, parts: int | None = None, short: str = "drop") -> DataFrame:
+    """Column batch: rows in a seeded order, `size` to a batch, numbered over all hash ranges (one for each million rows).
+
+    What the rows leave over, less than a batch, goes (drop), makes a short batch (keep), or raises (error): an epoch then
+    must divide into batches.
+    """
     from voxmeter.functions.hashing import unit_hash
 
+    if short not in ("drop", "keep", "error"):
+        raise ValueError(f"short batches: {short}")
+    if short == "error" or parts is None:
+        n = df.count()
+        if short == "error" and n % size:
+            raise ValueError(f"{n} rows don't make whole batches of {size}")
+        parts = max(64, -(-n // 1_000_000)) if parts is None else parts
     told = df.withColumns({"_u": unit_hash(F.col(key), seed=seed)}).withColumn("_p", F.floor(F.col("_u") * parts).cast("int"))
     counts = told.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     # A row for each range: the rows of the ranges before it, and all rows.
@@ -98,7 +109,7 @@ def batches(df: DataFrame, key: str, size: int, seed: int = 0, parts: int = 64)
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"), F.sum("_c").over(every).alias("_n"))
     n = F.row_number().over(Window.partitionBy("_p").orderBy("_u", key)) - 1
     told = told.withColumn("_r", n).join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_o") + F.col("_r")) / size))
-    return told.where((F.col("batch") + 1) * size <= F.col("_n")).drop("_u", "_p", "_r", "_o", "_n")
+    return (told if short == "keep" else told.where((F.col("batch") + 1) * size <= F.col("_n"))).drop("_u", "_p", "_r", "_o", "_n")
 
 
 def permuted(df: DataFrame, key: str, value: str, group: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmeter.functions import errors, phrases, text
+from voxmeter.functions import errors, phrases, signal, text
 from voxmeter.operators import aggregates as agg
-from voxmeter.operators import attribution, corrections, intervals, linkage, sampling, stats, waves
+from voxmeter.operators import attribution, corrections, intervals, joins, linkage, sampling, stats, waves
 from voxmeter.plans.evaluation import THR, r6
-from voxmeter.plans.fixtures import UTT_SQL, read, utterances, weight_sql
+from voxmeter.plans.fixtures import SEG_SQL, UTT_SQL, read, segments, utterances, weight_sql
 from voxmeter.plans.registry import query
 from voxmeter.sources import pdf
 from voxmeter.sources.session import named_dir
@@ -264,3 +264,33 @@ def unit_anchor(spark, d):
     """The class whose enrollment is nearest: the mean of its vectors of length one."""
     e = read(spark, d, "embeddings")
     return intervals.nearest_anchor(e, "vec_id", "embedding", "label", unit=True).select("vec_id", "anchor", r6(F.col("max_sim"), "max_sim"))
+
+
+@query("i3_target_ratios", f"""WITH {SEG_SQL}, f AS (SELECT DISTINCT rec, spk, unnest(range(s // 1000000, (e - 1) // 1000000 + 1)) AS frame FROM seg WHERE e > s), g AS (SELECT rec, frame, bool_or(spk = 'click') AS tgt, bool_or(spk <> 'click') AS oth FROM f GROUP BY 1, 2)
+SELECT rec, round(count(*) FILTER (tgt AND NOT oth) / (max(frame) - min(frame) + 1), 9) AS exclusive, round(count(*) FILTER (tgt) / (max(frame) - min(frame) + 1), 9) AS active FROM g GROUP BY rec""")
+def target_ratios(spark, d):
+    """Shares of a recording's seconds in which the target speaks alone, and at all."""
+    f = intervals.frames(segments(spark, d), ["rec", "spk"], 1_000_000)
+    told = intervals.stno_ratios(f, "rec", "spk", "frame", "click")
+    return told.select("rec", F.round("exclusive", 9).alias("exclusive"), F.round("active", 9).alias("active"))
+
+
+@query("i8_target_slice", """WITH o AS (SELECT l_orderkey AS id, list(l_quantity::INT ORDER BY l_linenumber, l_quantity) AS x FROM lineitem GROUP BY 1), s AS (SELECT id, x, list_concat(x[id % 3 + 1:id % 3 + 1], x[4:id % 5 + 3]) AS cut FROM o)
+SELECT id, len(CASE WHEN len(cut) < 2 THEN x ELSE cut END)::INT AS samples, list_sum(CASE WHEN len(cut) < 2 THEN x ELSE cut END)::BIGINT AS total FROM s""")
+def target_slice(spark, d):
+    """Each order's quantities as a signal of ten samples a second: two segments of it, or all where these are too short."""
+    x = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s["l_quantity"].cast("int"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(x.alias("x"))
+    at = lambda n: n / F.lit(10.0)
+    segs = F.array(F.struct(at(F.lit(3)).alias("start"), at(F.col("id") % 5 + 3).alias("end")), F.struct(at(F.col("id") % 3).alias("start"), at(F.col("id") % 3 + 1).alias("end")))
+    # In order of time the shorter segment comes first.
+    cut = signal.target_slice(F.col("x"), segs, 10, 0.2)
+    return rows.select("id", cut.alias("cut")).select("id", F.size("cut").alias("samples"), F.aggregate("cut", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
+@query("c12_content_cache", """WITH c AS (SELECT sha256(coalesce(text, '~')) AS k, min(doc_id) AS maker FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT d.doc_id, maker IS NOT NULL AS hit, maker FROM documents d LEFT JOIN c ON k = sha256(coalesce(text, '~'))""")
+def content_cache(spark, d):
+    """Documents with what a cache by content holds for them: copies share an entry, whatever their ids."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    cache = docs.where("doc_id % 3 = 0").groupBy(joins.content_key("text").alias("key")).agg(F.min("doc_id").alias("maker"))
+    return joins.with_cached(docs, cache, ["text"], "maker").select("doc_id", "hit", "maker")

@@ -135,3 +135,23 @@ def first_of(df: DataFrame, names: list[str]) -> Column:
     if not held:
         raise ValueError(f"none of {names} is a column")
     return F.coalesce(*held)
+
+
+# The names that recordings' manifests give their columns, and those used here.
+MANIFEST_NAMES = {"唤醒音频": "enrollment", "识别音频": "recognition", "识别文本": "ref", "唤醒文本": "kws_txt"}
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None, required: tuple[str, ...] = ("enrollment", "recognition")) -> DataFrame:
+    """Manifest columns under the names used here; others stay. A column that is required and missing raises, one that isn't is null."""
+    names = names or MANIFEST_NAMES
+    held = {old: new for old, new in names.items() if old in df.columns}
+    missing = [new for new in names.values() if new not in held.values() and new not in df.columns]
+    if bad := [m for m in missing if m in required]:
+        raise ValueError(f"columns are missing: {bad}")
+    return df.withColumnsRenamed(held).withColumns({m: F.lit(None).cast("string") for m in missing})
+
+
+def paired_texts(spark: SparkSession, hyp_dir: str, ref_dir: str, pattern: str = "*.txt") -> DataFrame:
+    """utt, hyp, ref of two folders' text files by base name; a file that the first lacks is an empty hyp."""
+    told = lambda d, c: spark.read.option("pathGlobFilter", pattern).text(d, wholetext=True).select(utt_id(F.col("_metadata.file_path")).alias("utt"), F.trim("value").alias(c))
+    return told(ref_dir, "ref").join(told(hyp_dir, "hyp"), "utt", "left").select("utt", F.coalesce("hyp", F.lit("")).alias("hyp"), "ref")

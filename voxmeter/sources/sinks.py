@@ -25,6 +25,26 @@ def document(df: DataFrame, order: str, **head: object) -> DataFrame:
     return told.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in head.items()], F.size("results").alias("n"), "results"), {"pretty": "true"}).alias("value"))
 
 
+def document_parts(df: DataFrame, order: str, path: str, **head: object) -> None:
+    """A JSON document of any size in part files: joined in the order of their names they are one document with `head`, n and
+    the rows, one a line, as results. Rows are dealt by ranges of `order` (a key of its own for each row), and no task holds all."""
+    import json
+
+    first = df.agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).first()
+    rows = df.select(F.col(order).alias("_o"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_row")).repartitionByRange(F.col("_o"))
+    line = F.concat(F.when(F.col("_o") == F.lit(first["first"]), "  ").otherwise("  ,"), F.col("_row"))
+    opening = json.dumps({**head, "n": first["n"]}, ensure_ascii=False)[:-1] + ', "results": [\n'
+    ends = df.sparkSession.createDataFrame([(0, opening.rstrip("\n")), (2, "]}")], "side int, value string")
+    sides = [ends.where("side = 0").select("value").coalesce(1), rows.sortWithinPartitions("_o").select(line.alias("value")), ends.where("side = 2").select("value").coalesce(1)]
+    # A union keeps its sides' partitions in order, and part files are numbered by partition.
+    sides[0].unionByName(sides[1]).unionByName(sides[2]).write.mode("errorifexists").text(path)
+
+
+def mode_of(df: DataFrame, ref: str) -> DataFrame:
+    """mode: pos if any row has a reference that isn't empty, else neg."""
+    return df.agg(F.when(F.coalesce(F.bool_or(F.coalesce(F.col(ref), F.lit("")) != ""), F.lit(False)), "pos").otherwise("neg").alias("mode"))
+
+
 def submission(results: DataFrame, manifest: DataFrame) -> DataFrame:
     """id, label, text, cer of scored results: cer is '' for negatives, 1.0 for rejected positives."""
     from voxmeter.functions.errors import errors, rate, units
