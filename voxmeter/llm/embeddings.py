@@ -368,7 +368,7 @@ def top_k(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_
     of its block. A first scan of the cells gives each query a score that k rows are sure to reach, over all blocks; a second
     one the rows that can reach it. Only these rows' exact vectors are fetched, and read in the order of their bounds until
     the kth result is certain. Equal vectors count as one, with the ids of k + 1 rows, so a vector that very many rows share
-    costs no more. Queries, a stated set, meet the cells in parts of broadcast_bytes. Vectors that are null, empty, or hold
+    costs no more. Queries, a stated set, meet the cells in parts of broadcast_bytes, one after another. Vectors that are null, empty, or hold
     null or non-finite components take no part; nor do null ids. Vectors of another dimension than the query's are no
     candidates. Rows with the query's own id are no candidates either; of queries with one id the smallest vector counts,
     while repeated candidates each take a rank. Scores beyond a long raise. An empty table gives no rows.
@@ -386,9 +386,9 @@ def top_k(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_
 
     def scanned(held: DataFrame, scan: Callable, ddl: str) -> DataFrame:
         held = materialize(held.mapInArrow(_queries, blocks), "queries")
-        # Parts are measured, so each may be broadcast.
+        # Parts are measured, so each may be broadcast; each is a job of its own, so that no two are held at a time.
         met = [files.join(F.broadcast(part), F.col("dim") == F.col("q_dim")).drop("q_dim").mapInArrow(scan, ddl) for part in _chunks(held, broadcast_bytes)]
-        return functools.reduce(DataFrame.unionByName, met)
+        return met[0] if len(met) == 1 else functools.reduce(DataFrame.unionByName, [materialize(m, "scanned") for m in met])
 
     # One of the k + 1 may be the query's own row.
     lower = scanned(asked.withColumn("least", F.lit(0.0)), functools.partial(_sure, k=k + 1), "id long, lower double")
