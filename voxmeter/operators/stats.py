@@ -162,6 +162,20 @@ def bootstrap_pooled(df: DataFrame, groups: list[str], cluster: str, err: str, u
     return sums.groupBy(*groups).agg((F.sum("_e") / F.nullif(F.sum("_u"), F.lit(0))).alias("pooled")).join(told, groups).select(*groups, "pooled", "lo", "hi", "valid")
 
 
+def bootstrap_gain(df: DataFrame, cluster: str, err: str, units: str, negative: str, base: str, gated: str, legs: tuple[float, float] = (0.4, 0.4), replicates: int = 100, seed: int = 42) -> DataFrame:
+    """gain, lo, hi, valid: what a gate gains over the base on the same rows, with its interval over replicates of whole clusters.
+
+    base and gated say which rows are rejected: a rejected positive costs all its units, a rejected negative is right. The gain
+    is the fall of the pooled rate and the rise of the negatives' rejection, each times its leg.
+    """
+    pos, neg = ~F.col(negative), F.col(negative)
+    cost = lambda c: F.sum(F.when(pos, F.when(F.col(c), F.col(units)).otherwise(F.col(err))).otherwise(0))
+    sums = df.groupBy(cluster).agg((cost(base) - cost(gated)).alias("_c"), F.sum(F.when(pos, F.col(units)).otherwise(0)).alias("_u"), F.sum(F.when(neg, F.col(gated).cast("int") - F.col(base).cast("int")).otherwise(0)).alias("_r"), F.sum(neg.cast("int")).alias("_n"))
+    gain = lambda w: legs[0] * F.sum(w * F.col("_c")) / F.nullif(F.sum(w * F.col("_u")), F.lit(0)) + legs[1] * F.sum(w * F.col("_r")) / F.nullif(F.sum(w * F.col("_n")), F.lit(0))
+    each = poisson_weights(sums, cluster, replicates, seed).groupBy("replicate").agg(gain(F.col("w")).alias("gain"))
+    return sums.agg(gain(F.lit(1)).alias("gain")).crossJoin(F.broadcast(interval(each, "gain", replicates)))
+
+
 def bootstrap_auc(df: DataFrame, key: str, score: str, positive: str, replicates: int = 100, seed: int = 42) -> DataFrame:
     """replicate, auc: each replicate's AUC, ties a half, from cumulative weights within it; null with one class only."""
     y, w = F.col(positive), F.col("w")

@@ -87,6 +87,17 @@ def merge_intervals(df: DataFrame, keys: list[str], gap: Column | float = 0.0) -
     return isle.groupBy(*keys, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
+def dilated(hits: DataFrame, keys: list[str], frame: str, score: str, before: int = 3, after: int = 3) -> DataFrame:
+    """keys, start, end, frames, mean: frames that hit, each widened on both sides, as a timeline (end excluded, from 0) where
+    those that overlap or touch are one; with how many frames hit in it and their mean score. A frame counts once."""
+    by = Window.partitionBy(*keys).orderBy(frame)
+    once = hits.groupBy(*keys, frame).agg(F.max(score).alias(score))
+    far = F.coalesce(F.col(frame) - F.lag(frame).over(by) > before + after + 1, F.lit(True))
+    told = once.withColumn("_far", far).withColumn("_i", F.sum(F.col("_far").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    end = (F.max(frame) + after + 1).alias("end")
+    return told.groupBy(*keys, "_i").agg(F.greatest(F.min(frame) - before, F.lit(0)).alias("start"), end, F.count(F.lit(1)).alias("frames"), F.avg(score).alias("mean")).drop("_i")
+
+
 def padded(df: DataFrame, keys: list[str], pad: float, total: Column) -> DataFrame:
     """Segments with ends moved out by pad, not beyond the next segment or the recording; the first also begins earlier."""
     by = Window.partitionBy(*keys).orderBy("start")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmeter.functions import errors, phrases, signal, text
+from voxmeter.functions import errors, hashing, phrases, signal, text, vectors
 from voxmeter.operators import aggregates as agg
-from voxmeter.operators import attribution, corrections, intervals, joins, linkage, sampling, stats, waves
+from voxmeter.operators import attribution, corrections, intervals, joins, linkage, sampling, stats, waves, windows
 from voxmeter.plans.evaluation import THR, r6
 from voxmeter.plans.fixtures import SEG_SQL, UTT_SQL, read, segments, utterances, weight_sql
 from voxmeter.plans.registry import query
@@ -294,3 +294,52 @@ def content_cache(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     cache = docs.where("doc_id % 3 = 0").groupBy(joins.content_key("text").alias("key")).agg(F.min("doc_id").alias("maker"))
     return joins.with_cached(docs, cache, ["text"], "maker").select("doc_id", "hit", "maker")
+
+
+@query("i9_dilated", """WITH h AS (SELECT user_id AS rec, epoch_us(ts) // 3600000000 AS f, max(value) AS v FROM events WHERE value > 20 GROUP BY 1, 2), g AS (SELECT *, coalesce((f - lag(f) OVER w > 7)::INT, 1) AS far FROM h WINDOW w AS (PARTITION BY rec ORDER BY f)), i AS (SELECT *, sum(far) OVER (PARTITION BY rec ORDER BY f) AS k FROM g)
+SELECT rec, min(f) - 3 AS "start", max(f) + 4 AS "end", count(*) AS frames, round(avg(v), 6) AS mean FROM i GROUP BY rec, k""")
+def dilated(spark, d):
+    """Hours in which a user's events reach a value, widened by three on both sides and joined, with their mean."""
+    hits = read(spark, d, "events").where("value > 20").select(F.col("user_id").alias("rec"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("f"), "value")
+    return windows.dilated(hits, ["rec"], "f", "value").select("rec", "start", "end", "frames", r6(F.col("mean"), "mean"))
+
+
+@query("m24_capacity", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS w FROM e), p AS (SELECT label, i, avg(w[i]) AS m FROM (SELECT label, w, unnest(range(1, len(w) + 1)) AS i FROM u) GROUP BY 1, 2), a AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY 1),
+s AS (SELECT e.label, true AS same, round(list_cosine_similarity(v, c), 9) AS s FROM e JOIN a ON a.label = e.label UNION ALL SELECT e.label, false, round(list_cosine_similarity(v, c), 9) FROM e JOIN a ON a.label = (e.label + 1) % 10),
+k AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY s) + (count(*) OVER (PARTITION BY label, s) - 1) / 2.0 AS r FROM s)
+SELECT label, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS different, round((sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2.0) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 5) AS auc, round(avg(s) FILTER (same), 5) AS mean_same, round(avg(s) FILTER (NOT same), 5) AS mean_different FROM k GROUP BY label""")
+def capacity(spark, d):
+    """How well each class's vectors tell its own enrollment from the next class's: AUC of same against different."""
+    e = read(spark, d, "embeddings").select("label", "embedding")
+    means = intervals.mean_vectors(e, "label", "embedding", unit=True)
+    sides = e.select("label", "embedding", F.inline(F.array(F.struct(F.lit(True).alias("same"), F.col("label").alias("to")), F.struct(F.lit(False).alias("same"), ((F.col("label") + 1) % 10).alias("to")))))
+    s = sides.join(means.withColumnRenamed("label", "to"), "to").select("label", "same", F.round(vectors.cosine(F.col("embedding"), F.col("mean")), 9).alias("s"))
+    told = windows.cumulative(s, "s", {"p": F.sum(F.col("same").cast("long")), "q": F.sum((~F.col("same")).cast("long"))}, within=("label",))
+    p, q = F.sum("p"), F.sum("q")
+    auc = F.sum(F.col("p") * (F.col("q_upto") - F.col("q") / 2.0)) / F.nullif((p * q).cast("double"), F.lit(0.0))
+    mean = lambda c: F.sum(F.col(c) * F.col("s")) / F.nullif(F.sum(c), F.lit(0))
+    return told.groupBy("label").agg(p.alias("same"), q.alias("different"), F.round(auc, 5).alias("auc"), F.round(mean("p"), 5).alias("mean_same"), F.round(mean("q"), 5).alias("mean_different"))
+
+
+@query("q9_gain_interval", f"""WITH {UTT_SQL}, x AS (SELECT spk, negative, err, n, sim < {THR} AS base, sim < {THR} OR length(hyp) > 20 AS gated FROM utt WHERE ('0x' || right(md5(concat(uid, '|seed=7')), 1))::INT % 2 = 1),
+c AS (SELECT spk, coalesce(sum(CASE WHEN base THEN n ELSE err END - CASE WHEN gated THEN n ELSE err END) FILTER (NOT negative), 0) AS c, coalesce(sum(n) FILTER (NOT negative), 0) AS u, coalesce(sum(gated::INT - base::INT) FILTER (negative), 0) AS r, count(*) FILTER (negative) AS n FROM x GROUP BY spk),
+w AS (SELECT *, {weight_sql('spk', 'replicate')} AS w FROM c, range(50) t(replicate)), g AS (SELECT replicate, 0.4 * sum(w * c) / nullif(sum(w * u), 0) + 0.4 * sum(w * r) / nullif(sum(w * n), 0) AS gain FROM w WHERE w > 0 GROUP BY replicate)
+SELECT (SELECT round(0.4 * sum(c) / sum(u) + 0.4 * sum(r) / sum(n), 6) FROM c) AS gain, round(quantile_cont(gain, 0.025), 6) AS lo, round(quantile_cont(gain, 0.975), 6) AS hi, count(gain) AS valid FROM g""")
+def gain_interval(spark, d):
+    """What a limit of length gains on the sealed half, with its interval by clusters of speakers."""
+    low = F.col("sim") < THR
+    x = utterances(spark, d).where(hashing.md5_half(F.col("uid"), 7) == 1).withColumns({"base": low, "gated": low | (F.length("hyp") > 20)})
+    told = stats.bootstrap_gain(x, "spk", "err", "n", "negative", "base", "gated", replicates=50)
+    return told.select(*[r6(F.col(c), c) for c in ("gain", "lo", "hi")], "valid")
+
+
+VERDICT = "CASE p_size % 6 WHEN 0 THEN 'accept' WHEN 1 THEN ' Reject ' WHEN 2 THEN 'ACCEPT' WHEN 3 THEN 'maybe' WHEN 4 THEN '' ELSE p_type END"
+
+
+@query("t35_answers", f"""WITH x AS (SELECT p_partkey AS id, lower(trim({VERDICT})) AS v, p_partkey % 5 AS k FROM part) SELECT id, CASE WHEN k <> 3 AND k <> 4 AND v IN ('accept', 'reject') THEN v ELSE 'reject' END AS verdict FROM x""")
+def answers(spark, d):
+    """Verdicts from answers that hold JSON plainly, within a fence, with words around it, cut off, or not at all."""
+    body = F.concat(F.lit('{"verdict": "'), F.expr(VERDICT), F.lit('", "why": "'), F.col("p_name"), F.lit('"}'))
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("I think: "), body, F.lit(" - done"))).when(k == 3, F.substr(body, F.lit(1), F.length(body) - 4)).otherwise(F.col("p_name"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.parse_verdict(raw).alias("verdict"))

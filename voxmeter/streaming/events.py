@@ -1,4 +1,4 @@
-"""Streams of events: windows, sessions, and running accumulators."""
+"""Streams of events: windows and sessions. Totals that go on in later runs are in `accumulate`."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(path)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 4)
     folder, _, name = path.rstrip("/").rpartition("/")
-    if all(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles()[:1]):
+    # A table that is one file is its own only input; the listing of a folder isn't asked for.
+    if table.select("_metadata.file_path").limit(1).where(F.col("file_path").endswith(f"/{name}")).count():
         return stream.option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
     return stream.parquet(path)
 
