@@ -339,6 +339,25 @@ def test_passages_with_ends_longer_than_any_window():
     assert passages.align(x, y, [(1500, 1500, 5)]) == [(0, 2999, 0, 2999)]
 
 
+@pytest.mark.parametrize("vocabulary,edits,least", [(9, 0, 0.9), (9, 0.1, 0.6), (7, 0, 0.9)])
+def test_passages_of_common_words_meet_their_partner(spark, vocabulary, edits, least):
+    """Each four-word seed comes 18 or 50 times by chance; a copied passage is found by its longer seeds."""
+    rng = random.Random(vocabulary)
+    docs = [[f"w{rng.randrange(vocabulary)}" for _ in range(150)] for _ in range(800)]
+    planted = []
+    for _ in range(30):
+        a, b = sorted(rng.sample(range(800), 2))
+        i, j = rng.randint(0, 90), rng.randint(0, 90)
+        piece = docs[a][i : i + 60]
+        for p in rng.sample(range(60), int(60 * edits)):
+            piece[p] = f"x{rng.random()}"
+        docs[b][j : j + 60] = piece
+        planted.append((b, j))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = [(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.passages(df).collect()]
+    assert sum(any(d == b and s <= j + 8 and e >= j + 52 for d, s, e in found) for b, j in planted) >= least * 30
+
+
 def test_removal_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 2, 3, 4), (None, "x", 1, 2, 3, 4)], "doc_id long, text string, _row int, spans int, _before int, row int")
     found = spark.createDataFrame([(1, 1, 3)], "doc_id long, start_word long, end_word long")
