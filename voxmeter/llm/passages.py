@@ -14,9 +14,9 @@ from voxmeter.llm.common import join_small, materialize, mix64, seeded, shingles
 
 #: Words of a seed. Every k-mer is one: 50 words of which any 10 differ still share 7 (50 - K + 1 - 10 * K).
 K = 4
-#: Places of the words of a spaced seed, of which a third is kept: where short seeds are common, these are rare, so a passage meets
+#: Places of the words of a spaced seed, of which one in five is kept: where short seeds are common, these are rare, so a passage meets
 #: its partner and not only the first and the last document that has its short seeds. They begin with a k-mer, and match as one.
-SPACED, KEPT = (0, 1, 2, 3, 5, 8, 11, 13), 3
+SPACED, KEPT = (0, 1, 2, 3, 5, 8, 11, 13), 5
 #: Words that a passage has at least, and share of them that is equal in both texts.
 LEAST_WORDS, SIMILAR = 50, 0.8
 #: Words that a chain covers at least (7 neighbouring seeds do); cost of a word between anchors; words between anchors that are still aligned.
@@ -26,14 +26,14 @@ BRIDGE = 3
 #: Ungapped extension ends when its score falls so far.
 DROP = 4
 #: Bytes of text whose seeds make a bucket, seeds that are packed by bucket at once, and seeds of a batch that is sent.
-BUCKET, PACKED, SENT = 6 << 20, 2 << 20, 1 << 17
+BUCKET, PACKED, SENT = 6 << 20, 3 << 19, 1 << 17
 #: A seed with so many occurrences, or with this share of all, is linked by ranges of documents and not in its bucket; at most
 #: 1 / FREQUENT_SHARE seeds are. Occurrences of one among PACKED that make it count, and rows of frequent seeds in a range.
 FREQUENT, FREQUENT_SHARE, TOLD, RANGE = 1 << 20, 2e-6, 16, 1 << 20
 
 
 def seeds_of(batch_text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word position and hash of every k-mer of each row, and of a third of its spaced seeds, by their hashes."""
+    """Row, word position and hash of every k-mer of each row, and of one in KEPT of its spaced seeds, by their hashes."""
     words, _, _, first = words_of(*batch_text)
     held, begin = shingles_of(words, first, K)
     n = np.diff(begin)
@@ -507,7 +507,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """A row for each passage of `least` words or more that an earlier document (smaller id) has too, exactly or nearly.
 
     doc_id, start_word, end_word (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, from 0, end excluded), source_id (the
-    smallest document it was found in), source_ids. Seeds are all k-mers of words and a third of longer spaced ones, which stay
+    smallest document it was found in), source_ids. Seeds are all k-mers of words and a fifth of longer spaced ones, which stay
     rare where k-mers are common; each occurrence is joined with the seed's first document and with the one before it, never with all, so a passage that very
     many documents share costs two rows for each. Matches of a pair of documents are chained with gap costs and aligned;
     aligned stretches of one document that touch are one passage, whatever documents hold its parts. Documents of equal
