@@ -203,7 +203,11 @@ def links(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     The n-th occurrence of a document meets the n-th of the other one, counted from the front and from the back (or the
     last there is): a text that repeats a phrase meets its copy along its whole length, in as many links as it has words.
     """
-    order = np.lexsort((pos, doc, h))
+    # Seeds that come once meet nobody: one quick sort leaves them out of the slow one.
+    order = np.argsort(h)
+    again = h[order][1:] == h[order][:-1]
+    order = order[np.append(again, False) | np.append(False, again)] if len(h) else order
+    order = order[np.lexsort((pos[order], doc[order], h[order]))]
     h, doc, pos = h[order], doc[order], pos[order]
     new = np.append(True, h[1:] != h[:-1])[: len(h)]
     fresh = new | np.append(True, doc[1:] != doc[:-1])[: len(h)]
