@@ -1,5 +1,6 @@
 """Near-duplicates, search, passages and the pipeline against brute force."""
 
+import functools
 import random
 import re
 from collections import Counter, defaultdict
@@ -119,6 +120,55 @@ def test_large_groups_are_linked_whole(spark):
         connect.BLOCK_ROWS = old
 
 
+@pytest.mark.parametrize("often", [20, 4096])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_mixed_groups_are_split_by_rare_tokens(spark, monkeypatch, percent, often):
+    """Of a template's many texts few are alike: the links are those of all pairs, and whole sets travel few times."""
+    monkeypatch.setattr(connect, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(connect, "OFTEN", often)
+    rng, n = np.random.default_rng(percent), 600
+    template = rng.integers(1, 1 << 62, 120)
+    sets = []
+    for i in range(n):
+        if i % 5 == 4:  # near the threshold, above and below it
+            old = sets[rng.integers(0, i)]
+            gone = rng.integers(0, 30)
+            sets.append(np.unique(np.concatenate([rng.permutation(old)[gone:], rng.integers(1, 1 << 62, rng.integers(0, 12))])))
+        else:
+            sets.append(np.unique(np.concatenate([rng.permutation(template)[: rng.integers(60, 120)], rng.integers(1, 1 << 62, rng.integers(20, 80))])))
+    held = [x.astype(np.uint64).tobytes() for x in sets]
+    rows = [(g, 1000 * g + i, held[i]) for g, m in ((1, n), (2, 100), (3, 5)) for i in range(m)] + [(1, 1003, held[3]), (1, 1004, held[7])]
+    df = spark.createDataFrame(rows, "grp long, id long, payload binary").repartition(4)
+    sent = []
+    whole = connect.materialize
+    monkeypatch.setattr(connect, "materialize", lambda d, name: sent.append(whole(d, name)) or sent[-1] if name == "members" else whole(d, name))
+    got = {r["id"]: r["component"] for r in connect.components(connect.link_groups(df, functools.partial(minhash._close, percent), minhash._shingles, percent / 100)).collect()}
+    of = {x: set(np.frombuffer(x, np.uint64).tolist()) for x in held}
+    common = {(x, y): len(of[x] & of[y]) for x in held for y in held}
+    links = [(a, b) for k, (g, a, x) in enumerate(rows) for h, b, y in rows[:k] if g == h and 100 * common[x, y] >= percent * (len(of[x]) + len(of[y]) - common[x, y])]
+    want = components({r[1] for r in rows}, links)
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(set(want.values())) > n / 2
+    # In pairs of blocks every set would travel some 150 times.
+    assert len(sent) == 1 and sent[0].count() < 4 * n
+
+
+def test_mixed_groups_of_signatures(spark, monkeypatch):
+    monkeypatch.setattr(connect, "BLOCK_ROWS", 8)
+    rng, n, least = np.random.default_rng(5), 300, 0.66
+    base = rng.integers(0, 1 << 32, 72, np.uint32)
+    held = []
+    for i in range(n):
+        of, share = (base, 0.5) if i % 3 else (held[i // 2] if i else base, 0.75)
+        held.append(np.where(rng.random(72) < share, of, rng.integers(0, 1 << 32, 72, np.uint32)))
+    rows = [(7, i, x.tobytes()) for i, x in enumerate(held)]
+    df = spark.createDataFrame(rows, "grp long, id long, payload binary")
+    got = {r["id"]: r["component"] for r in connect.components(connect.link_groups(df, functools.partial(minhash._alike, least), minhash._places, least)).collect()}
+    want = components(range(n), [(a, b) for a in range(n) for b in range(a) if (held[a] == held[b]).sum() >= least * 72])
+    assert {i: got.get(i, i) for i in range(n)} == {i: want[i] for i in range(n)}
+    assert 1 < len(set(want.values())) < n
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["component"] for r in connect.components(spark.createDataFrame(edges, "a long, b long")).collect()}

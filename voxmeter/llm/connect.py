@@ -14,6 +14,10 @@ from voxmeter.llm.common import join_small, materialize
 
 #: Rows of a group that one comparison holds on a side, and bytes of their payloads.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+#: Up to so many blocks of rows that their leader doesn't link are met block by block, so a row travels eight times on average at most.
+MIXED_PARTS = 4
+#: A token in more rows of a group than that gets its count by a join of measured size, so no task gathers its rows.
+OFTEN = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -113,13 +117,58 @@ def _blocks(batches: Iterator[pa.RecordBatch], similar: Similar) -> Iterator[pa.
         yield _edges(a, b)
 
 
-def link_groups(rows: DataFrame, similar: Similar) -> DataFrame:
+#: Payload -> distinct 64-bit tokens of a row.
+Tokens = Callable[[bytes], np.ndarray]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], tokens: Tokens, share: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK_ROWS):
+            batch = whole.slice(at, BLOCK_ROWS)
+            held = [tokens(x) for x in batch.column(2).to_pylist()]
+            size = np.array([len(x) for x in held], np.int64)
+            # Of two rows that share that part of their tokens, each has a common one among so many of its first, in any fixed order.
+            first = size - np.ceil(size * share - 1e-9).astype(np.int64) + 1
+            row = np.repeat(np.arange(len(held)), size)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(pa.array(row)) for k in (0, 1, 3)), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(size[row]), pa.array(first[row])],
+                names=["key", "grp", "linked", "token", "size", "first"],
+            )
+
+
+def _by_rare_tokens(mixed: DataFrame, tokens: Tokens, share: float) -> DataFrame:
+    """Rows (grp, id, payload) of smaller groups in which all similar pairs of mixed (grp, id, payload, linked) with an unlinked row meet.
+
+    Tokens of a group are ordered by the number of its rows that hold them; two rows that share the given part of their
+    tokens share one of their rarest. Rows travel as tokens and numbers first; whole payloads go only to tokens that two
+    rows have among their rarest, and of tokens with equal rows to one. Tokens of one row need no place in a shuffle.
+    """
+    keyed = mixed.withColumn("key", F.xxhash64("grp", "id", "payload"))
+    made = keyed.select("key", "grp", "payload", "linked").mapInArrow(functools.partial(_tokens, tokens=tokens, share=share), f"key long, grp {mixed.schema['grp'].dataType.simpleString()}, linked boolean, token long, size long, first long")
+    made = materialize(made, "tokens")
+    on = ["grp", "token"]
+    counts = materialize(made.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "tallies")
+    held = join_small(made, counts.where(F.col("n") > OFTEN), on, "left")
+    held = held.where("n is not null").unionByName(join_small(held.where("n is null").drop("n"), counts.where(F.col("n") <= OFTEN), on, "inner").select(*held.columns))
+    # The rarest are those that no other row has; what is left of a row's first tokens are its rarest shared ones.
+    shared = held.groupBy("key", "grp", "linked", "size", "first").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("x"))
+    places = F.greatest(F.col("first") - F.col("size") + F.size("x"), F.lit(0)).cast("int")
+    rare = materialize(shared.select("key", "grp", "linked", F.explode(F.slice("x.token", F.lit(1), places)).alias("token")), "rare")
+    met = rare.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("linked")).alias("open"), F.sum(F.col("key").cast("decimal(38,0)")).alias("total"), F.bit_xor("key").alias("bits"))
+    kept = materialize(met.where("n > 1 and open").groupBy("grp", "n", "total", "bits").agg(F.min("token").alias("token")).select(*on), "kept")
+    members = join_small(rare, kept, on, "left_semi").select("key", F.xxhash64(*on).alias("at"))
+    return materialize(members.join(keyed.select("key", "id", "payload").hint("merge"), "key").select(F.col("at").alias("grp"), "id", "payload"), "members")
+
+
+def link_groups(rows: DataFrame, similar: Similar, tokens: Tokens | None = None, share: float = 0.0) -> DataFrame:
     """Edges (a, b) that connect, within each grp of rows (grp, id, payload), whatever its similar pairs connect.
 
     A group that fits a block is compared whole. A larger one is first compared with its smallest id (rows that are
     similar to it are connected already); the others, and only they, are then compared with every row of the group in
     pairs of blocks. So no task holds a group, a group of near copies costs as many comparisons as it has rows, and no
-    similar pair goes unseen. Links of one block come out as a spanning forest, never as all pairs.
+    similar pair goes unseen. Links of one block come out as a spanning forest, never as all pairs. Where similar rows have
+    the given share of each one's tokens in common, a group with many others is split by their rare tokens instead, and
+    only what stays large and mixed under one rare token is compared by blocks.
     """
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -139,8 +188,15 @@ def link_groups(rows: DataFrame, similar: Similar) -> DataFrame:
     edges = edges.unionByName(led.where("linked and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
     rest = led.where(~F.col("linked"))
     left = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes")).select("grp", parts.alias("rest_parts"))
+    left = materialize(left, "left")
+    if tokens is not None:
+        mixed = left.where(F.col("rest_parts") > MIXED_PARTS).select("grp")
+        if not mixed.isEmpty():
+            split = _by_rare_tokens(join_small(led.select("grp", "id", "payload", "linked"), mixed, "grp", "left_semi"), tokens, share)
+            edges = edges.unionByName(link_groups(split, similar))
+            left = left.where(F.col("rest_parts") <= MIXED_PARTS)
     at = F.xxhash64("id")
-    led = join_small(join_small(led, materialize(left, "left"), "grp", "inner"), large.select("grp", "parts"), "grp", "inner")
+    led = join_small(join_small(led, left, "grp", "inner"), large.select("grp", "parts"), "grp", "inner")
     lone = led.where(~F.col("linked")).select("grp", F.pmod(at, "rest_parts").cast("int").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("v"), "id", "payload", F.lit(True).alias("left"))
     every = led.select("grp", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)).alias("u"), F.pmod(at, "parts").cast("int").alias("v"), "id", "payload", F.lit(False).alias("left"))
     item = F.struct("id", "payload")

@@ -112,6 +112,16 @@ def _close(percent: int, left: list[bytes], right: list[bytes] | None) -> tuple[
     return (i[i < j], j[i < j]) if right is None else (i, j)
 
 
+def _places(signature: bytes) -> np.ndarray:
+    """A signature's minwise tokens, each with its place."""
+    held = np.frombuffer(signature, np.uint32)
+    return (held.astype(np.int64) << 16) | np.arange(len(held))
+
+
+def _shingles(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, np.int64)
+
+
 def _payloads(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -142,7 +152,7 @@ def candidates(distinct: DataFrame, percent: int) -> DataFrame:
             break
         paths = materialize(join_small(paths, large, at, "left_semi"), "nodes")
     # Paths are short; signatures join only the few documents that share a leaf.
-    return link_groups(materialize(leaves.join(distinct, "id").select("grp", "id", "payload"), "leaves"), functools.partial(_alike, least))
+    return link_groups(materialize(leaves.join(distinct, "id").select("grp", "id", "payload"), "leaves"), functools.partial(_alike, least), _places, least)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -167,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = maybe.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     near = join_small(source, wanted, "doc_id", "inner")
     full = near.select("doc_id", "text", "grp").mapInArrow(functools.partial(_payloads, k=k), "grp long, id long, payload binary")
-    linked = components(link_groups(materialize(full, "sets"), functools.partial(_close, percent)))
+    linked = components(link_groups(materialize(full, "sets"), functools.partial(_close, percent), _shingles, percent / 100))
     linked = materialize(linked.withColumnRenamed("id", "rep"), "linked")
     joined = join_small(classes.select("digest", "rep"), linked, "rep", "left")
     if classes.where("n > 1").isEmpty() and linked.isEmpty():
