@@ -529,7 +529,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     buckets = min(max(size // BUCKET, 16), 1 << 16)
     often = frequent(distinct)
     seeds = distinct.select("doc", "text").mapInArrow(functools.partial(_seeds, buckets=buckets, without=often), "bucket int, h binary, doc binary, pos binary")
-    met = seeds.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, "doc long, owner long, m array<long>")
+    # A partition is one bucket: hashed numbers would put up to five of them into one task's memory.
+    met = seeds.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_links, "doc long, owner long, m array<long>")
     if len(often):
         met = met.unionByName(by_ranges(distinct, often))
     # A chain of LEAST_CHAIN words has three seeds at least.
