@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from voxmeter.sources import readers, sinks, sound
+from voxmeter.sources import readers, session, sinks, sound
 
 
 def rows(df, *order):
@@ -86,3 +86,16 @@ def test_submission_summary_and_marked_tables(spark, tmp_path):
     sinks.csv_table(man.coalesce(1), str(tmp_path / "m"), mark=True)
     (part,) = (tmp_path / "m").glob("part-*")
     assert part.read_bytes().startswith(b"\xef\xbb\xbfid,ref")
+
+
+def test_arrow_batches_get_a_smaller_bound_unless_the_session_set_one(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session.prepare(spark)
+    assert spark.conf.get(bound) == session.ARROW_BYTES
+    sizes = spark.range(400).selectExpr("repeat('x', 100000) as t").coalesce(1).mapInPandas(lambda it: (x.assign(n=x.t.str.len().sum())[["n"]][:1] for x in it), "n long")
+    assert max(r.n for r in sizes.collect()) < 8 << 20
+    spark.conf.set(bound, "1m")
+    try:
+        assert session.prepare(spark).conf.get(bound) == "1m"
+    finally:
+        spark.conf.set(bound, session.ARROW_BYTES)

@@ -13,7 +13,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 #: Spark's own bound on an Arrow batch, and the smaller one that is set in its place: several batches are held at a time.
-ARROW_DEFAULT, ARROW_BYTES = "67108864b", "8m"
+ARROW_DEFAULT, ARROW_BYTES = "67108864b", "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,7 +22,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     Arrow batches get a smaller bound, unless the session has set its own.
     """
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, None) == ARROW_DEFAULT:
+    # Without a second argument: with one, an unset bound reads as that, and not as Spark's own.
+    if spark.conf.get(bound) == ARROW_DEFAULT:
         spark.conf.set(bound, ARROW_BYTES)
     held = spark.sparkContext.environment
     paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
