@@ -201,3 +201,48 @@ def test_longest_rising_runs_by_brute_force():
         best = max((len(s) for m in range(1 << len(js)) if (s := [j for k, j in enumerate(js) if m >> k & 1]) == sorted(s)), default=0)
         got = html.rising(list(enumerate(js)))
         assert len(got) == best and got == sorted(got) and [j for _, j in got] == sorted(j for _, j in got)
+
+
+def digits(ks):
+    """Lists of as many forms: an item for each binary digit, of one of two kinds."""
+    return "".join("<ul>" + "".join("<li>x</li>" if c == "0" else "<li><p>x</p></li>" for c in f"{k:b}") + "</ul>" for k in ks)
+
+
+def test_matching_is_exact_beyond_any_number_of_forms():
+    """Over 70 forms a side, out of step, so pairing the nth with the nth is far from best."""
+    rng = random.Random(5)
+    ks = [*range(1, 72)]
+    rng.shuffle(ks)
+    a, b = tree(f"<div>{digits(ks)}</div><p>a</p>"), tree(f"<div>{digits([*range(100, 105), *ks[:40], 1, 2, *ks[40:]])}</div><p>b</p>")
+    assert html.matched(a, 0, b, 0, html.Memo()) == brute(a, 0, b, 0)
+    at = html.slots(b, a, html.Memo())
+    x, y = a.children[a.children[0][0]], b.children[b.children[0][0]]
+    total = sum(brute(a, at[q], b, q) * (1 + html.EQUAL * (a.whole[at[q]] == b.whole[q])) for q in y if at[q] >= 0)
+    assert total == best_total(a, x, b, y)
+    # All lists of the one page are in the other, in order.
+    assert [at[q] for q in y if at[q] >= 0 and a.whole[at[q]] == b.whole[q]] == x
+
+
+def test_alignment_of_large_pages_is_that_of_small_ones():
+    """A block that moved among others finds its place as well among thousands as among a few."""
+    for n in (10, 1500):
+        a, b = (tree("".join(f"<p>{k} {s}</p>" for k in range(n)) + "<p>same</p><p>same</p>" + "".join(f"<h2>{k} {s}</h2>" for k in range(more)) + f"<p>{s}</p>") for s, more in ((0, n), (1, 2 * n)))
+        at = html.slots(b, a, html.Memo())
+        met = [(i, j) for j, i in enumerate(at) if i in a.children[0]]
+        assert len(met) == 2 * n + 3
+        assert sum(a.whole[i] == b.whole[j] for i, j in met) == 2
+        # A small equal block outweighs a large one of other text, whatever its size.
+        a, b = (tree("<p>keep</p>" * before + "<div>" + f"<h2>{before}</h2>" * n + "</div>" + "<p>keep</p>" * (1 - before)) for before in (0, 1))
+        keep = [[p for p in t.children[0] if t.label[p] == html.label_mark("p")][0] for t in (a, b)]
+        assert html.slots(b, a, html.Memo())[keep[1]] == keep[0]
+
+
+def test_alignment_does_not_depend_on_how_tables_are_kept(monkeypatch):
+    rng = random.Random(8)
+    pages = [tree("".join(f"<{rng.choice(['p', 'h2'])}>{rng.randint(0, 3)}" if rng.random() < 0.5 else random_page(rng) for _ in range(rng.randint(1, 40)))) for _ in range(80)]
+    found = []
+    for cells, parts, kept in ((1 << 18, 64, 1 << 25), (1, 2, 0), (12, 3, 100), (50, 64, 1)):
+        for name, value in (("CELLS", cells), ("PARTS", parts), ("KEPT_ROWS", kept)):
+            monkeypatch.setattr(html, name, value, raising=False)
+        found.append([html.slots(b, a, html.Memo()) for a, b in zip(pages[::2], pages[1::2], strict=True)])
+    assert all(f == found[0] for f in found)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import collections
 import functools
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,11 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 NAME = re.compile(r"[a-z]+")
 #: Distinct pages of a host from which a node with one text in all of them is template, and the share that must have it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.9
-#: Of two alignments the one with more nodes in equal subtrees wins, then the one with more nodes.
-EQUAL = 1 << 10
-#: Cells of a table of matches that is kept whole; a larger one is divided, so memory is linear in the children.
-CELLS = 1 << 18
-#: Children of two nodes are matched by all weights up to so many cells and pairs of different forms, and up to so many cells of
-#: a page; beyond that children in equal subtrees that come once are fixed first, and what is left between them is paired in
-#: order, the nth of a label with the nth.
-DENSE, PAIRS, PAGE_CELLS = 1 << 20, 1 << 12, 1 << 25
+#: Of two alignments the one with more nodes in equal subtrees wins, then the one with more nodes, however many there are.
+EQUAL = 1 << 31
+#: Cells of a table of matches that is kept whole; of a larger one only the rows between PARTS parts are, and parts are filled
+#: again. Numbers of rows of matches that a page keeps; dropped ones are found again. No result depends on either.
+CELLS, PARTS, KEPT_ROWS = 1 << 18, 64, 1 << 25
 #: Hosts whose reference trees a task keeps.
 KEPT_HOSTS = 64
 
@@ -261,59 +259,177 @@ def skeleton(page: Page) -> tuple[Tree, list[tuple[int, str]]]:
     return Tree(parent, label, marks), texts
 
 
+class Group:
+    """Forms of one label at one depth of a page, with the places of their children in the level below, one form after the other."""
+
+    def __init__(self, page: Tree, level: Level, places: list[int], below: Level):
+        self.all = np.array(places, np.int64)
+        kids = [(k, [below.code[page.form[c]] for c in page.children[level.nodes[k]]]) for k in places]
+        kids = [(k, codes) for k, codes in kids if codes]
+        self.columns = np.array([k for k, _ in kids], np.int64)
+        self.kids = np.array([c for _, codes in kids for c in codes], np.int64)
+        lengths = np.array([len(codes) for _, codes in kids], np.int64)
+        self.longest = int(lengths.max(initial=0))
+        self.ends = lengths.cumsum() - 1
+        self.starts = self.ends + 1 - lengths
+        self.owner = np.repeat(np.arange(len(kids)), lengths)
+        # How often each form has each kind of child.
+        kinds = [(n, code, times) for n, (_, codes) in enumerate(kids) for code, times in collections.Counter(codes).items()]
+        self.kind_owner, self.kind, self.times = np.array(kinds, np.int64).reshape(-1, 3).T
+
+    def largest(self, weights: np.ndarray, n: int) -> np.ndarray:
+        """For each form the best total of n equal children: the sum of its n largest weights."""
+        w = weights[self.kind].astype(np.int64)
+        order = np.lexsort((-w, self.kind_owner))
+        times, first = self.times[order], np.searchsorted(self.kind_owner, np.arange(len(self.columns)))
+        before = times.cumsum() - times
+        taken = np.clip(n - (before - before[first][self.kind_owner]), 0, times)
+        return np.add.reduceat(taken * w[order], first)
+
+
+class Level:
+    """The distinct forms at one depth of a page: nodes, places by form, places by label."""
+
+    def __init__(self, page: Tree, nodes: list[int]):
+        self.code: dict[int, int] = {}
+        self.nodes: list[int] = []
+        self.labels: dict[int, list[int]] = {}
+        self.groups: dict[int, Group] = {}
+        for q in nodes:
+            if page.form[q] not in self.code:
+                self.labels.setdefault(page.label[q], []).append(len(self.nodes))
+                self.code[page.form[q]] = len(self.nodes)
+                self.nodes.append(q)
+
+
+class Memo(dict):
+    """Rows of matches of a reference with one page, by depth and form of the reference's subtree (see row)."""
+
+    def __init__(self):
+        super().__init__()
+        self.numbers, self.levels = 0, []
+
+    def level(self, page: Tree, depth: int) -> Level:
+        while len(self.levels) <= depth:
+            self.levels.append(Level(page, [c for q in self.levels[-1].nodes for c in page.children[q]] if self.levels else [0]))
+        return self.levels[depth]
+
+    def row(self, a: Tree, p: int, page: Tree, depth: int) -> np.ndarray:
+        """Nodes of the largest match of subtree p with each form at a depth of the page."""
+        kept = self.get((depth, a.form[p]))
+        if kept is not None:
+            return kept
+        # Generators stand for calls, as pages may be deeper than calls.
+        open_, value = [self._row(a, p, page, depth)], None
+        while open_:
+            try:
+                p, depth = open_[-1].send(value)
+            except StopIteration as done:
+                open_.pop()
+                value = done.value
+                continue
+            value = self.get((depth, a.form[p]))
+            if value is None:
+                open_.append(self._row(a, p, page, depth))
+        return value
+
+    def _row(self, a: Tree, p: int, page: Tree, depth: int) -> Generator[tuple[int, int], np.ndarray, np.ndarray]:
+        """Asks for the rows of children, one at a time."""
+        level, below = self.level(page, depth), self.level(page, depth + 1)
+        out, label = np.zeros(len(level.nodes), np.int32), a.label[p]
+        if label in level.labels:
+            if label not in level.groups:
+                level.groups[label] = Group(page, level, level.labels[label], below)
+            group = level.groups[label]
+            out[group.all] = 1
+            # Children whose label the level below lacks match nothing.
+            kids = [c for c in a.children[p] if a.label[c] in below.labels] if len(group.kids) else []
+            if len({a.form[c] for c in kids}) == 1:
+                out[group.columns] += group.largest((yield kids[0], depth + 1), len(kids))
+            elif kids:
+                # Each form's totals lie above all those of the form before, so one running maximum serves all.
+                floor = np.arange(len(group.columns)) * (a.count[p] + 1)
+                last, form, run = floor[group.owner], None, 0
+                ahead = np.empty_like(last)
+                for c in kids:
+                    if a.form[c] != form:
+                        w, form, run = (yield c, depth + 1)[group.kids], a.form[c], 0
+                    run += 1
+                    # Of equal children in a row no more than the longest list has can match.
+                    if run <= group.longest:
+                        ahead[1:] = last[:-1]
+                        ahead[group.starts] = floor
+                        ahead += w
+                        np.maximum(ahead, last, out=ahead)
+                        np.maximum.accumulate(ahead, out=last)
+                out[group.columns] += last[group.ends] - floor
+        if self.numbers > KEPT_ROWS:
+            self.clear()
+            self.numbers = 0
+        self[depth, a.form[p]] = out
+        self.numbers += len(out) + 32
+        return out
+
+
 class Weights:
     """Weights of the matches of children x of one node with children y of another, row by row."""
 
-    def __init__(self, a: Tree, x: list[int], b: Tree, y: list[int], memo: dict, equal: int):
-        self.a, self.x, self.memo, self.equal = a, x, memo, equal
-        self.kinds = list(dict.fromkeys(b.form[j] for j in y))
-        code = {f: k for k, f in enumerate(self.kinds)}
-        self.code = np.array([code[b.form[j]] for j in y], np.int64)
-        self.whole = np.array([b.whole[j] for j in y], np.int64)
+    def __init__(self, a: Tree, x: list[int], page: Tree, y: list[int], depth: int, memo: Memo):
+        self.a, self.x, self.page, self.depth, self.memo = a, x, page, depth, memo
+        code = memo.level(page, depth).code
+        self.code = np.array([code[page.form[q]] for q in y], np.int64)
+        places: dict[int, list[int]] = {}
+        for k, q in enumerate(y):
+            places.setdefault(page.whole[q], []).append(k)
+        self.equal = {w: np.array(places[w]) for w in {a.whole[p] for p in x} & places.keys()}
         self.rows: dict[int, np.ndarray] = {}
 
     def row(self, i: int) -> np.ndarray:
         node = self.x[i]
         form = self.a.form[node]
         if form not in self.rows:
-            self.rows[form] = np.array([self.memo.get((form, g), 0) for g in self.kinds], np.int64)[self.code]
-        w = self.rows[form]
-        return w * np.where(self.whole == self.a.whole[node], 1 + self.equal, 1) if self.equal else w
-
-    def totals(self, rows: range, lo: int, hi: int, back: bool = False) -> np.ndarray:
-        """The best total of the rows with each beginning (or end) of the columns lo to hi."""
-        last = np.zeros(hi - lo + 1, np.int64)
-        for i in rows:
-            w = self.row(i)[lo:hi]
-            last[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (w[::-1] if back else w)))
-        return last
+            if len(self.rows) * len(self.code) > CELLS:
+                self.rows.clear()
+            self.rows[form] = self.memo.row(self.a, node, self.page, self.depth)[self.code].astype(np.int64)
+        w, equal = self.rows[form], self.equal.get(self.a.whole[node])
+        if equal is not None:
+            w = w.copy()
+            w[equal] *= 1 + EQUAL
+        return w
+
+    def after(self, last: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The best totals with each beginning of the columns, after one more row."""
+        out = np.zeros_like(last)
+        new = out[1:]
+        np.add(last[:-1], w[: len(new)], out=new)
+        np.maximum(new, last[1:], out=new)
+        np.maximum.accumulate(new, out=new)
+        return out
 
     def pairs(self) -> list[tuple[int, int]]:
-        """Rows and columns of a best alignment; large tables are halved along the rows."""
-        out, todo = [], [(0, len(self.x), 0, len(self.code))]
-        while todo:
-            lo, hi, left, right = todo.pop()
-            if lo >= hi or left >= right:
-                continue
-            if (hi - lo) * (right - left) > CELLS and hi - lo > 1:
-                mid = (lo + hi) // 2
-                ahead = self.totals(range(lo, mid), left, right)
-                behind = self.totals(range(hi - 1, mid - 1, -1), left, right, True)[::-1]
-                cut = left + int((ahead + behind).argmax())
-                todo += [(lo, mid, left, cut), (mid, hi, cut, right)]
+        """Rows and columns of a best alignment, the same however a table is divided."""
+        out, j = [], len(self.code)
+        todo = [(0, len(self.x), np.zeros(j + 1, np.int64))]
+        while todo and j:
+            lo, hi, last = todo.pop()
+            last = last[: j + 1]
+            if (hi - lo) * j > CELLS and hi - lo > 1:
+                step = -(-(hi - lo) // PARTS)
+                for begin in range(lo, hi, step):
+                    todo.append((begin, min(begin + step, hi), last))
+                    for i in range(begin, begin + step if begin + step < hi else begin):
+                        last = self.after(last, self.row(i))
                 continue
-            held = [np.zeros(right - left + 1, np.int64)]
-            weights = []
-            for i in range(lo, hi):
-                weights.append(self.row(i)[left:right])
-                last = held[-1]
-                held.append(np.append(0, np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights[-1]))))
-            i, j = hi - lo, right - left
+            weights = [self.row(i) for i in range(lo, hi)]
+            held = [last]
+            for w in weights:
+                held.append(self.after(held[-1], w))
+            i = hi - lo
             while i and j:
                 w = weights[i - 1][j - 1]
                 if w and held[i][j] == held[i - 1][j - 1] + w:
                     i, j = i - 1, j - 1
-                    out.append((lo + i, left + j))
+                    out.append((lo + i, j))
                 elif held[i][j] == held[i - 1][j]:
                     i -= 1
                 else:
@@ -321,18 +437,6 @@ class Weights:
         return out
 
 
-class Memo(dict):
-    """Matches of pairs of forms that one page has met, and the cells that it has spent on them."""
-
-    def __init__(self):
-        super().__init__()
-        self.cells = 0
-
-    def dense(self, a: Tree, x: list[int], b: Tree, y: list[int]) -> bool:
-        """Whether children x and y may be matched by all weights."""
-        return len(x) * len(y) <= DENSE and self.cells <= PAGE_CELLS and len({a.form[p] for p in x}) * len({b.form[q] for q in y}) <= PAIRS
-
-
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of pairs in the order of their first numbers, a longest run whose second ones rise."""
     tops: list[int] = []
@@ -349,72 +453,21 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def once(a: Tree, x: list[int], b: Tree, y: list[int]) -> list[tuple[int, int]]:
-    """Places of children in equal subtrees that each side has once, as many as keep their order."""
-    ours, theirs = ({w: k for k, w in enumerate(ws)} for ws in ([a.whole[p] for p in x], [b.whole[q] for q in y]))
-    counts = [dict.fromkeys(d, 0) for d in (ours, theirs)]
-    for t, nodes, n in ((a, x, counts[0]), (b, y, counts[1])):
-        for v in nodes:
-            n[t.whole[v]] += 1
-    return rising([(k, theirs[w]) for k, w in enumerate(a.whole[p] for p in x) if counts[0][w] == 1 and counts[1].get(w) == 1])
-
-
-def in_order(a: Tree, x: list[int], b: Tree, y: list[int]) -> list[tuple[int, int]]:
-    """Places of children paired by label, the nth with the nth, as many as keep their order."""
-    places: dict[int, list[int]] = {}
-    for k, q in enumerate(y):
-        places.setdefault(b.label[q], []).append(k)
-    taken, pairs = dict.fromkeys(places, 0), []
-    for k, p in enumerate(x):
-        held = places.get(a.label[p], [])
-        n = taken.get(a.label[p], 0)
-        if n < len(held):
-            pairs.append((k, held[n]))
-            taken[a.label[p]] = n + 1
-    return rising(pairs)
-
-
 def matched(a: Tree, i: int, b: Tree, j: int, memo: Memo) -> int:
-    """Nodes of the largest match of two subtrees that keeps labels, ancestors and order (simple tree matching).
-
-    Where children are too many or too different (see Memo.dense), those paired in order count, one each.
-    """
-    todo = [(i, j)]
-    while todo:
-        i, j = todo[-1]
-        key = (a.form[i], b.form[j])
-        x, y = a.children[i], b.children[j]
-        if key in memo:
-            pass
-        elif a.label[i] != b.label[j]:
-            memo[key] = 0
-        elif key[0] == key[1]:
-            memo[key] = a.count[i]
-        elif not x or not y:
-            memo[key] = 1
-        elif not memo.dense(a, x, b, y):
-            memo[key] = 1 + len(in_order(a, x, b, y))
-        else:
-            kinds, others = {a.form[p]: p for p in x}, {b.form[q]: q for q in y}
-            open_ = [(p, q) for f, p in kinds.items() for g, q in others.items() if a.label[p] == b.label[q] and (f, g) not in memo]
-            if open_:
-                todo += open_
-                continue
-            if len(kinds) == len(others) == 1:
-                memo[key] = 1 + min(len(x), len(y)) * memo.get((a.form[x[0]], b.form[y[0]]), 0)
-            else:
-                memo.cells += len(x) * len(y)
-                memo[key] = 1 + int(Weights(a, x, b, y, memo, 0).totals(range(len(x)), 0, len(y))[-1])
-        todo.pop()
-    return memo[key]
+    """Nodes of the largest match of two subtrees that keeps labels, ancestors and order (simple tree matching), for any sizes."""
+    depth, above = 0, j
+    while above:
+        depth, above = depth + 1, b.parent[above]
+    place = memo.level(b, depth).code[b.form[j]]
+    return int(memo.row(a, i, b, depth)[place])
 
 
 def slots(page: Tree, reference: Tree, memo: Memo) -> list[int]:
     """The node of the reference that each node of the page is aligned with, or -1."""
     out = [-1] * len(page.parent)
-    out[0], todo = 0, [(0, 0)]
+    out[0], todo = 0, [(0, 0, 0)]
     while todo:
-        i, j = todo.pop()
+        i, j, depth = todo.pop()
         n = page.count[j]
         if reference.whole[i] == page.whole[j]:
             out[j : j + n] = range(i, i + n)
@@ -429,24 +482,13 @@ def slots(page: Tree, reference: Tree, memo: Memo) -> list[int]:
             tail += 1
         met = [(x[k], y[k]) for k in range(head)] + [(x[-1 - k], y[-1 - k]) for k in range(tail)]
         x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-        fixed = [] if memo.dense(reference, x, page, y) else once(reference, x, page, y)
-        met += [(x[p], y[q]) for p, q in fixed]
-        for (p, q), (r, s) in zip([(-1, -1), *fixed], [*fixed, (len(x), len(y))], strict=True):
-            ours, theirs = x[p + 1 : r], y[q + 1 : s]
-            if not ours or not theirs:
-                continue
-            if not memo.dense(reference, ours, page, theirs):
-                met += [(ours[k], theirs[m]) for k, m in in_order(reference, ours, page, theirs)]
-                continue
-            for k in {reference.form[k]: k for k in ours}.values():
-                for m in {page.form[m]: m for m in theirs}.values():
-                    if reference.label[k] == page.label[m]:
-                        matched(reference, k, page, m, memo)
-            memo.cells += len(ours) * len(theirs)
-            met += [(ours[k], theirs[m]) for k, m in Weights(reference, ours, page, theirs, memo, EQUAL).pairs()]
+        if len(x) == len(y) == 1:
+            met += [(x[0], y[0])] if reference.label[x[0]] == page.label[y[0]] else []
+        elif x and y:
+            met += [(x[k], y[m]) for k, m in Weights(reference, x, page, y, depth + 1, memo).pairs()]
         for p, q in met:
             out[q] = p
-        todo += met
+        todo += [(p, q, depth + 1) for p, q in met]
     return out
 
 
@@ -550,8 +592,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     The text is the page's article (or main element; without one the body) without menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles and comments, and without blocks that are constant on the host: those that
     simple tree matching puts in one place with one text in LEAST_SHARE of its distinct pages, if it has LEAST_PAGES at
-    least and something varies. Nodes match by tag and order; classes and ids only tell what is dropped. Children that are too many or
-    too different for all weights are fixed where they are equal and paired in order between (see DENSE), and nothing is cut off.
+    least and something varies. Nodes match by tag and order; classes and ids only tell what is dropped. Matching is exact for pages of
+    any size, so its time grows with the product of the blocks of a page and its reference at each depth, and nothing is cut off.
     Character references are decoded; white space inside a block becomes one space; blocks are joined by two newlines. Null
     html: empty, so is its text; a null or odd url has host '' and no template. Repeated rows stay, and count once for a
     template; other columns are ignored; an empty table gives no rows.
