@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmeter.functions import phrases
+from voxmeter.functions import phrases, text
 from voxmeter.operators import corrections, intervals, linkage
 from voxmeter.plans import catalog
 from voxmeter.streaming import accumulate
@@ -194,3 +194,15 @@ def test_empty_segments_inside_others_count(spark, tmp_path):
     duck.execute(f"CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(CASE WHEN i % 7 = 0 THEN i * 600 // 7 ELSE i * 37 % 4000 END) AS ts, i % 3 AS user_id, 'kind' || i % 4 AS event_type, ({values})[i % 6 + 1]::DOUBLE AS value, '' AS props FROM range(400) t(i)")
     duck.execute(f"COPY events TO '{tmp_path}/events.parquet'")
     assert like_its_sql(spark, duck, tmp_path, "j17_overlap_join")
+
+
+def test_routes_work_each_text_out_once(spark, tmp_path):
+    """Marks of both texts are stripped once each in the plan, and the gate's run is that of the loop over characters."""
+    spark.createDataFrame([(i, i % 11) for i in range(40)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    plan = catalog.queries()["t29_routes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+    rng = random.Random(4)
+    said = spark.createDataFrame([("".join(rng.choice("灯\n𠀀a") for _ in range(rng.randint(0, 9))),) for _ in range(300)], "t string")
+    t = F.col("t")
+    told = said.select((text.longest_run(t) >= 3).alias("want"), text.has_run(t, 3).alias("got"), (text.words_held(t, ["灯", "𠀀a"]) > 0).alias("held"), text.any_held(t, ["灯", "𠀀a"]).alias("any")).collect()
+    assert all(r["want"] == r["got"] and r["held"] == r["any"] for r in told) and {r["got"] for r in told} == {r["any"] for r in told} == {True, False}

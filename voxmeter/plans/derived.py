@@ -11,7 +11,7 @@ from voxmeter.plans.evaluation import THR, r6
 from voxmeter.plans.fixtures import SEG_SQL, UTT_SQL, read, segments, utterances, weight_sql
 from voxmeter.plans.registry import query
 from voxmeter.sources import pdf
-from voxmeter.sources.session import named_dir
+from voxmeter.sources.session import named_dir, spread
 from voxmeter.streaming import accumulate, events
 
 
@@ -158,9 +158,14 @@ def command_scores(spark, d):
 SELECT id, CASE WHEN abs(sa - sb) >= 1e-6 THEN (sb > sa)::INT WHEN ca <> cb THEN cb::INT WHEN NOT (ca OR cb) THEN 0 ELSE (nb < na)::INT END AS idx, CASE WHEN abs(sa - sb) >= 1e-6 THEN printf('score_%.2f_vs_%.2f', sa, sb) WHEN ca <> cb THEN 'tie_valid_only_one' WHEN NOT (ca OR cb) THEN 'tie_both_invalid_fallback_src0' ELSE 'tie_both_valid_shorter' END AS reason FROM y""")
 def routes(spark, d):
     """Which of two transcripts to take, and why."""
-    a, b = F.col("a"), F.col("b")
-    told = read(spark, d, "part").selectExpr(*SENTENCES).select("id", text.pick_route(a, b, text.command_score(a), text.command_score(b)).alias("r"))
-    return told.select("id", "r.idx", "r.reason")
+    # Step by step, as columns of their own: an expression that another one holds several times is worked out as often.
+    rows = spread(read(spark, d, "part").select("p_partkey", "p_size")).selectExpr(*SENTENCES)
+    of = lambda what: (F.col(f"a_{what}"), F.col(f"b_{what}"))
+    rows = rows.withColumns({f"{c}_marks": text.strip_marks(F.col(c)) for c in "ab"})
+    hits = {f"{c}_hit{i}": h for c in "ab" for i, h in enumerate(text.word_hits(F.col(c)))}
+    rows = rows.withColumns({f"{c}_command": text.is_command(F.col(c), stripped=F.col(f"{c}_marks")) for c in "ab"} | hits)
+    rows = rows.withColumns({f"{c}_score": text.command_score(F.col(c), stripped=F.col(f"{c}_marks"), command=F.col(f"{c}_command"), hits=[F.col(f"{c}_hit{i}") for i in range(len(text.FAMILIES))]) for c in "ab"})
+    return rows.select("id", text.pick_route(F.col("a"), F.col("b"), *of("score"), of("marks"), of("command")).alias("r")).select("id", "r.idx", "r.reason")
 
 
 _limits = lambda p: f"(CASE WHEN t = '' THEN false ELSE run >= {p['run']} OR (n >= {p['len_abs']} AND n / greatest(m, 1) >= {p['len_ratio']}) OR (cjk / greatest(n, 1) < {p['cn']} AND n > 3) OR (various / greatest(n, 1) < {p['div']} AND n >= 10) OR (n >= 6 AND news > 0) OR ({p['short_len']} > 0 AND n <= {p['short_len']} AND pieces = 0) END)"

@@ -53,6 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: for rows that are few bytes but take long, as files are cut by bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def named_dir(spark: SparkSession, name: str) -> str:
     """A folder of this name that later runs find again: right under spark.checkpoint.dir, not in the application's own folder."""
     return f"{spark.conf.get('spark.checkpoint.dir', None) or shared_dir(spark)}/named/{name}"
