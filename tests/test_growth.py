@@ -206,3 +206,19 @@ def test_routes_work_each_text_out_once(spark, tmp_path):
     t = F.col("t")
     told = said.select((text.longest_run(t) >= 3).alias("want"), text.has_run(t, 3).alias("got"), (text.words_held(t, ["灯", "𠀀a"]) > 0).alias("held"), text.any_held(t, ["灯", "𠀀a"]).alias("any")).collect()
     assert all(r["want"] == r["got"] and r["held"] == r["any"] for r in told) and {r["got"] for r in told} == {r["any"] for r in told} == {True, False}
+
+
+def test_copies_are_one_group_and_few_groups_end_the_rounds(spark, monkeypatch):
+    """Sixty copies take no rounds of their own, vectors without length stay alone, and what is left ends in one task."""
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    names, inner = [], linkage.written
+    monkeypatch.setattr(linkage, "written", lambda df, name: names.append(name) or inner(df, name))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.standard_normal((2, 6)), [60, 7], axis=0), rng.standard_normal((40, 6)), np.zeros((3, 6))])
+    df = spark.createDataFrame([("r", i, [float(v) for v in row]) for i, row in enumerate(x)], "rec string, id long, v array<double>")
+    got, by = linkage.clustered(df, "rec", "id", "v", 0.6, large=20).collect(), {}
+    for row in got:
+        by.setdefault(row["cluster"], []).append(row["id"])
+    want = slow_clusters(x[:107], 0.6) + [[107], [108], [109]]
+    assert sorted(sorted(g) for g in by.values()) == want and all(min(g) == c for c, g in by.items())
+    assert 1 <= names.count("merged") <= 3
