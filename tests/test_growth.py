@@ -222,3 +222,26 @@ def test_copies_are_one_group_and_few_groups_end_the_rounds(spark, monkeypatch):
     want = slow_clusters(x[:107], 0.6) + [[107], [108], [109]]
     assert sorted(sorted(g) for g in by.values()) == want and all(min(g) == c for c, g in by.items())
     assert 1 <= names.count("merged") <= 3
+
+
+def test_phrases_that_overlap_themselves(spark):
+    """Phrases and sequences of two tokens, copies of phrases, long ends that come again inside: brute force."""
+    rng = random.Random(9)
+    for _ in range(3):
+        known = [[rng.randint(0, 1) for _ in range(rng.randint(1, 7))] for _ in range(9)]
+        known += known[:4] + [[0, 0, 0, 1], [0, 0, 1], [1, 0, 1, 0, 1, 1]]
+        rows = [(i, [rng.randint(0, 1) for _ in range(rng.randint(0, 10))]) for i in range(200)] + [(900, None)]
+        df, table = spark.createDataFrame(rows, "id long, s array<int>"), spark.createDataFrame(list(enumerate(known)), "p long, t array<int>")
+        got = [(r["id"], r["candidates"]) for r in phrases.next_tokens(df, "id", "s", table, "p", "t").collect()]
+        assert sorted(got) == [(i, expected(s or [], known)) for i, s in rows]
+
+
+def test_rows_do_not_meet_each_phrase(spark):
+    """Thirty thousand rows end with what thirty thousand phrases begin with: not one pair of both is made."""
+    import time
+
+    began = time.time()
+    df = spark.range(30_000).selectExpr("id", "array('x', 'a') AS s")
+    table = spark.range(30_000).selectExpr("id AS p", "array('a', concat('b', id % 3), 'c') AS t")
+    told = phrases.next_tokens(df, "id", "s", table, "p", "t").groupBy("candidates").count().collect()
+    assert [tuple(r) for r in told] == [(["a", "b0", "b1", "b2"], 30_000)] and time.time() - began < 60

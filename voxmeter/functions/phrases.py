@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmeter.sources.session import written
+
 
 def _longest(sequence: Column, phrase: Column) -> Column:
     """How many of a phrase's tokens, not all, the sequence ends with; null for none."""
@@ -67,15 +69,46 @@ def prefixes(phrases: DataFrame, phrase: str, tokens: str) -> DataFrame:
     return phrases.where(F.size(tokens) > 0).select(phrase, tokens, at).select(phrase, "n", F.slice(tokens, F.lit(1), F.col("n")).alias("prefix"), F.get(tokens, F.col("n")).alias("next"))
 
 
+def _border(beginning: Column) -> Column:
+    """How long the longest beginning of a beginning is, not all of it, that it also ends with; null for none."""
+    return _longest(beginning, beginning)
+
+
+def _ends(df: DataFrame, col: str) -> DataFrame:
+    """col, n, prefix: each end of the sequences, from one token to all."""
+    at = df.where(F.size(col) > 0).select(col, F.explode(F.sequence(F.lit(1), F.size(col))).alias("n"))
+    return at.select(col, "n", F.slice(col, -F.col("n"), F.col("n")).alias("prefix"))
+
+
+def _followers(nodes: DataFrame, trie: DataFrame, totals: DataFrame) -> DataFrame:
+    """node, later: the tokens that go on after a node of the trie (a beginning), each phrase counted at its longest open beginning.
+
+    The beginnings that a node ends with are open. A token goes on after one of them if more phrases go through both than through
+    the longer open beginnings right above it: those whose longest border it is, which share no phrase. So counts of phrases
+    do, and no phrase meets a sequence by itself.
+    """
+    open_ = _ends(nodes, "node").join(totals, ["n", "prefix"])
+    through = open_.select("node", "n", "prefix").join(trie, ["n", "prefix"]).select("node", "n", "next", "c")
+    longer = open_.select("node", "prefix", (-F.col("c")).alias("c"), _border(F.col("prefix")).alias("n")).where("n is not null").select("node", "n", F.get("prefix", F.col("n")).alias("next"), "c")
+    left = through.unionByName(longer).groupBy("node", "n", "next").agg(F.sum("c").alias("c")).where("c > 0")
+    return left.groupBy("node").agg(F.collect_set("next").alias("later"))
+
+
 def next_tokens(df: DataFrame, key: str, sequence: str, phrases: DataFrame, phrase: str, tokens: str) -> DataFrame:
-    """key, candidates of each row, for a table of phrases of any size: ends of sequences meet the trie's beginnings by equality."""
-    edges = prefixes(phrases, phrase, tokens)
-    longest = edges.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    """key, candidates of each row, for a table of phrases of any size: ends of sequences meet the trie's beginnings by equality.
+
+    What may follow depends on the longest beginning of a phrase that a sequence ends with alone, so each distinct end
+    is looked up once, whatever rows and phrases share it.
+    """
+    trie = written(prefixes(phrases, phrase, tokens).groupBy("n", "prefix", "next").agg(F.count(F.lit(1)).alias("c")), "trie")
+    inner = trie.where("n > 0")
+    totals = inner.groupBy("n", "prefix").agg(F.sum("c").alias("c"))
     # The most tokens of a beginning: one row.
-    rows = df.select(key, sequence).crossJoin(F.broadcast(longest))
-    ends = rows.where((F.size(sequence) > 0) & (F.col("most") > 0)).select(key, sequence, F.explode(F.sequence(F.lit(1), F.least(F.size(sequence), F.col("most")))).alias("n"))
-    ends = ends.select(key, "n", F.slice(sequence, -F.col("n"), F.col("n")).alias("prefix"))
-    met = ends.join(edges.where("n > 0"), ["n", "prefix"]).groupBy(key, phrase).agg(F.max_by("next", "n").alias("next"))
-    later = met.groupBy(key).agg(F.collect_set("next").alias("later"))
-    firsts = edges.where("n = 0").agg(F.collect_set("next").alias("firsts"))
-    return df.select(key).join(later, key, "left").crossJoin(F.broadcast(firsts)).select(key, F.array_sort(F.array_union(F.coalesce("later", F.slice("firsts", 1, 0)), "firsts")).alias("candidates"))
+    longest = trie.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    kept = F.least(F.size(sequence), F.col("most"))
+    rows = df.select(key, sequence).crossJoin(F.broadcast(longest)).select(key, F.when(kept > 0, F.slice(sequence, -kept, kept)).alias("tail"))
+    reached = _ends(rows.select("tail").distinct(), "tail").join(totals.select("n", "prefix"), ["n", "prefix"])
+    reached = written(reached.groupBy("tail").agg(F.max_by("prefix", "n").alias("node")), "reached")
+    later = reached.join(_followers(reached.select("node").distinct(), inner, totals), "node").select("tail", "later")
+    firsts = trie.where("n = 0").agg(F.collect_set("next").alias("firsts"))
+    return rows.join(later, "tail", "left").crossJoin(F.broadcast(firsts)).select(key, F.array_sort(F.array_union(F.coalesce("later", F.slice("firsts", 1, 0)), "firsts")).alias("candidates"))
